@@ -16,6 +16,7 @@ from .additive import search
 from .bpe import round_trip
 from .common import crc_mod, table
 from .jaccard import jaccard_join
+from .katz import katz_scores
 from .lattice import near_duplicates
 from .licenses import license_scan
 from .packing import pack
@@ -55,6 +56,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1).withColumnRenamed("id", "doc_id")
+
+
 def op8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
