@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEPTH, SALTS = 3, 32
 
@@ -50,6 +52,7 @@ def templates(pages: DataFrame, least_children: int = 16, variable: float = 0.5,
     known = pages.select("host", *[_segment(F.col("path"), k).alias(f"s{k}") for k in levels], "bad")
     tree = known.groupBy("host", *[f"s{k}" for k in levels]).agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
     for k in levels:
+        tree = stored(tree)  # each level reads it three times
         node = ["host", *[f"t{i}" for i in range(1, k)]]
         child = tree.where(f"s{k} is not null").groupBy(*node, f"s{k}").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
         whole = child.groupBy(*node).agg(F.count("*").alias("children"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")])
@@ -62,13 +65,13 @@ def templates(pages: DataFrame, least_children: int = 16, variable: float = 0.5,
         kept = kept.select(*[f"k_{c}" for c in node], "k_s", F.lit(True).alias("literal"))
         on = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in node] + [F.col(f"s{k}") == F.col("k_s")]
         tree = tree.join(kept, on, "left").withColumn(f"t{k}", F.when(F.col("literal"), F.col(f"s{k}")).when(F.col(f"s{k}").isNotNull(), "*")).drop(*[f"k_{c}" for c in node], "k_s", "literal")
-    return tree
+    return stored(tree)
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], least_purity: float = 0.5, smoothing: float = 10.0) -> DataFrame:
     """``pages(page_id, url)``, ``labels(page_id, bad int)`` -> ``(page_id, host, path, rule, verdict)``."""
     host, path = host_path(F.col("url"))
-    own = pages.select("page_id", host.alias("host"), path.alias("path"))
+    own = stored(pages.select("page_id", host.alias("host"), path.alias("path")))
     said = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     labelled = own.join(said, "page_id", "left").select("host", "path", "bad")
     total = labelled.agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
