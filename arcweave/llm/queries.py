@@ -47,7 +47,8 @@ def op4_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(toxic_labels(docs.where(crc_mod("doc_id", 3) != 1), table(spark, sf_dir, "labels")))
+    learnt = crc_mod("doc_id", 3) != 1
+    model = fit(toxic_labels(docs.where(learnt), table(spark, sf_dir, "labels").where(learnt)))
     scores = score_toxicity(docs, model).withColumnRenamed("id", "doc_id")
     return scores.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

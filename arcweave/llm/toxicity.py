@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are hashed character n-grams of the distinct lower-cased words of a text. Two training
-passes: log-count ratios r come from counts over all training rows (aggregated on the executors to
-``BUCKETS`` pairs of numbers), then a logistic regression on the scaled features f * r is fitted on at
-most ``most_rows`` of them, those with the smallest hashed ids. A score is the sigmoid of
+Features are hashed character n-grams of the distinct lower-cased words of a text. Training uses at
+most ``most_rows`` labelled rows, those with the smallest hashed ids, so their ids can be broadcast and
+no text is shuffled. Log-count ratios r come from counts over them (aggregated on the executors to
+``BUCKETS`` pairs of numbers), then a logistic regression on the scaled features f * r is fitted. A score is the sigmoid of
 bias + sum over distinct words of the word's weight, so scoring needs one dictionary look-up a word.
 
 Defined results: null and empty texts score as a text without words (the bias alone); rows with null
@@ -76,7 +76,7 @@ def _vectors(useful: np.ndarray):
     return run
 
 
-def fit(train: DataFrame, most_rows: int = 6000, steps: int = 200, least_ratio: float = 0.5, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(train: DataFrame, steps: int = 200, least_ratio: float = 0.5, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """``train(id, label int, text)`` -> bucket weights (already times r) and the bias.
 
     Buckets whose log-count ratio is under ``least_ratio`` in size carry next to nothing and get no weight.
@@ -92,10 +92,8 @@ def fit(train: DataFrame, most_rows: int = 6000, steps: int = 200, least_ratio:
         return np.zeros(BUCKETS), math.log(share / (1 - share))
     ratio = np.log((seen[1] + 1) / (rows[1] + 2)) - np.log((seen[0] + 1) / (rows[0] + 2))
     ratio[np.abs(ratio) < least_ratio] = 0
-    # the smallest hashed ids: the same rows however the table is partitioned
-    limit = train.select(F.xxhash64("id").alias("h")).orderBy("h").limit(most_rows).agg(F.max("h")).first()[0]
     useful = np.flatnonzero(ratio)
-    sample = train.where(F.xxhash64("id") <= limit).mapInArrow(_vectors(useful), "label int, buckets binary, counts binary").toPandas()
+    sample = train.mapInArrow(_vectors(useful), "label int, buckets binary, counts binary").toPandas()
     sample = sample.sort_values(["label", "buckets", "counts"], kind="stable")  # summation in one order
     y = sample["label"].to_numpy().astype(float)
     buckets = [np.frombuffer(x, np.int32) for x in sample["buckets"]]
@@ -144,10 +142,14 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], id_column:
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(_score(*model), "id long, score double")
 
 
-def toxic_labels(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` joined with ``labels(doc_id, toxic)`` as training rows ``(id, label, text)``; an id labelled twice takes its larger label."""
+def toxic_labels(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Training rows ``(id, label, text)``: those of ``docs`` that are among the ``most_rows`` rows of ``labels(doc_id, toxic)`` with the smallest hashed ids.
+
+    An id labelled twice takes its larger label. The sample is the same however the tables are partitioned.
+    """
     said = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("label"))
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).join(said, "id").select("id", "label", "text")
+    said = said.orderBy(F.xxhash64("id"), "id").limit(most_rows)
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).join(F.broadcast(said), "id").select("id", "label", "text")
 
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7, text_column: str = "text") -> DataFrame:
