@@ -326,11 +326,12 @@ def katz_scores(docs: DataFrame, learns, id_column: str = "doc_id", text_column:
     seen = np.array([0, *of])
     answers = told.where("seen is null").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("part", "counts"))).alias("told"))
     sent = batches.join(answers, "batch").mapInArrow(_ask_bigrams(parts, total, types), _SENT)
-    sent = sent.repartition(parts, F.when(F.col("part") < 0, F.xxhash64("batch")).otherwise(F.col("part"))).sortWithinPartitions("part", "batch")
+    sent = sent.repartition(parts, F.when(F.col("part") < 0, F.xxhash64("batch")).otherwise(F.col("part")))
     sums = [f"s{k}" for k in range(MOST + 2)]
-    stats = sent.mapInArrow(_count_bigrams(total, seen), "word long, " + ", ".join(f"{s} double" for s in sums)).groupBy("word").agg(*[F.sum(s).alias(s) for s in sums])
+    stats = sent.sortWithinPartitions("part", "batch").mapInArrow(_count_bigrams(total, seen), "word long, " + ", ".join(f"{s} double" for s in sums)).groupBy("word").agg(*[F.sum(s).alias(s) for s in sums])
     # counts of counts and at most HOT + 1 histories: one short row
     stats = stats.agg(F.collect_list(F.struct("word", *sums)).alias("stats"))
-    done = sent.crossJoin(F.broadcast(stats)).mapInArrow(_score_bigrams(total, seen), _DONE)
+    # sorted after the join: the optimiser drops a sort below it
+    done = sent.crossJoin(F.broadcast(stats)).sortWithinPartitions("part", "batch").mapInArrow(_score_bigrams(total, seen), _DONE)
     done = done.repartition("batch").sortWithinPartitions("batch", "part")
     return done.mapInArrow(_add_up(total), _OUT)
