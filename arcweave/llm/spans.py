@@ -95,9 +95,12 @@ def repeated_runs(docs: DataFrame, span: int = 3, longest: int = 12) -> DataFram
     total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = often.where(F.col("n") > total / 2000).select("run", F.col("first").alias("hot_first"))
     rest = often.where(F.col("n") <= total / 2000).select("run", "first")
+    # outer joins: every run passes once, marked with the first place of its kind or not; the hot ones are dealt by their place
     known = runs.join(F.broadcast(hot), "run", "left")
-    cold = known.where("hot_first is null").select("run", "id", "at", "again").join(rest, "run").select("id", "at", "again", "first")
-    later = known.where("hot_first is not null").select("id", "at", "again", F.col("hot_first").alias("first")).union(cold)
+    key = F.when(F.col("hot_first").isNull(), F.col("run")).otherwise(F.xxhash64("id", "at"))
+    rest = rest.withColumnRenamed("run", "of")
+    later = known.withColumn("key", key).join(rest, (F.col("key") == F.col("of")) & F.col("hot_first").isNull(), "left")
+    later = later.select("id", "at", "again", F.coalesce("hot_first", "first").alias("first")).where("first is not null")
     return later.where("again or id <> first").groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("starts"))
 
 
