@@ -22,7 +22,7 @@ from .licenses import license_scan
 from .packing import pack
 from .spans import dedup_texts
 from .toxicity import fit, score_toxicity, toxic_labels
-from .urls import url_filter
+from .urls import DEPTH, LOWER, UPPER, url_filter
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -73,9 +73,46 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
+def _url_sql(z: float = 2.58, least_children: int = 16, variable: float = 0.5, least_purity: float = 0.5, smoothing: float = 10.0) -> str:
+    """The URL filter as SQL: the same tree, level by level."""
+    parts = r"'(?s)^.*?://([^/?#]*)([^?#]*)'"
+    levels = range(1, DEPTH + 1)
+    segment = lambda k: f"CASE WHEN len(p) > {k + 1} THEN p[{k + 1}] || '/**' ELSE p[{k + 1}] END" if k == DEPTH else f"p[{k + 1}]"
+    ctes = [
+        f"own AS MATERIALIZED (SELECT page_id, translate(regexp_extract(coalesce(url, ''), {parts}, 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), {parts}, 2) AS path FROM pages)",
+        "said AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN (toxic = 1 OR quality = 0) IS NULL THEN NULL ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (toxic = 1 OR quality = 0) IS NOT NULL GROUP BY 1)",
+        "cut AS (SELECT o.page_id, host, string_split(regexp_replace(path, '[0-9]+', '{n}', 'g'), '/') AS p, bad FROM own o LEFT JOIN said s ON s.page_id = o.page_id)",
+        f"seg AS MATERIALIZED (SELECT page_id, host, {', '.join(f'{segment(k)} AS s{k}' for k in levels)}, bad FROM cut)",
+        "good AS (SELECT CASE WHEN count(bad) = 0 THEN 1.0::DOUBLE ELSE 1 - sum(bad)::DOUBLE / count(bad) END AS good FROM seg)",
+        f"tree0 AS MATERIALIZED (SELECT host, {', '.join(f's{k}' for k in levels)}, count(*) AS n, count(bad) AS lab, coalesce(sum(bad), 0)::BIGINT AS bad FROM seg GROUP BY ALL)",
+    ]
+    for k in levels:
+        node = ["host", *(f"t{i}" for i in range(1, k))]
+        same = lambda a, b: " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in node)  # noqa: E731,B023
+        ctes += [
+            f"child{k} AS (SELECT {', '.join(node)}, s{k} AS s, sum(n)::BIGINT AS n, sum(lab)::BIGINT AS lab, sum(bad)::BIGINT AS bad FROM tree{k - 1} WHERE s{k} IS NOT NULL GROUP BY ALL)",
+            f"whole{k} AS (SELECT {', '.join(node)}, count(*) AS children, sum(n)::BIGINT AS n, sum(lab)::BIGINT AS lab, sum(bad)::BIGINT AS bad FROM child{k} GROUP BY ALL)",
+            f"kept{k} AS (SELECT {', '.join(f'c.{x}' for x in node)}, c.s FROM child{k} c JOIN whole{k} w ON {same('c', 'w')} WHERE NOT (w.children >= {least_children} AND w.children >= {variable}::DOUBLE * w.n)"
+            f" AND pow(CAST(c.bad * (w.lab - c.lab) - (w.bad - c.bad) * c.lab AS DOUBLE), 2) * w.lab > {z * z!r}::DOUBLE * w.bad * CAST(w.lab - w.bad AS DOUBLE) * c.lab * (w.lab - c.lab))",
+            f"tree{k} AS MATERIALIZED (SELECT t.*, CASE WHEN k.s IS NOT NULL THEN t.s{k} WHEN t.s{k} IS NOT NULL THEN '*' END AS t{k} FROM tree{k - 1} t LEFT JOIN kept{k} k ON {same('t', 'k')} AND t.s{k} = k.s)",
+        ]
+    key = ", ".join(["host", *(f"t{k}" for k in levels)])
+    ctes += [
+        f"judged AS (SELECT *, (sum(lab) OVER w - sum(bad) OVER w + {smoothing}::DOUBLE * (SELECT good FROM good)) / (sum(lab) OVER w + {smoothing}::DOUBLE) AS purity FROM tree{DEPTH} WINDOW w AS (PARTITION BY {key}))",
+        f"refused AS (SELECT host, {', '.join(f's{k}' for k in levels)} FROM judged WHERE purity < {least_purity})",
+        "ruled AS (SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'"
+        " WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM own)",
+    ]
+    match = " AND ".join(f"f.{c} IS NOT DISTINCT FROM g.{c}" for c in ["host", *(f"s{k}" for k in levels)])
+    return (
+        f"WITH {', '.join(ctes)} SELECT r.page_id, r.host, r.path, r.rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'"
+        f" WHEN EXISTS (SELECT 1 FROM seg g JOIN refused f ON {match} WHERE g.page_id = r.page_id) THEN 'block' ELSE 'allow' END AS verdict FROM ruled r"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": _url_sql()}
