@@ -1,7 +1,8 @@
 """Substring dedup over sliding runs of sentences.
 
-A text is cut into sentences (after ``.``, ``!``, ``?`` and white space, or at a line end; longer
-ones every ``longest`` words). Every run of ``span`` consecutive sentences is hashed. Runs that occur
+A text is cut into sentences (after ``.``, ``!``, ``?`` and white space, or at a line end; those of
+more than ``longest`` words also after words that a hash picks, so that a word more or less
+upstream doesn't shift the cuts). Every run of ``span`` consecutive sentences is hashed. Runs that occur
 more than once are joined globally; all but the first occurrence (smallest id, then position) mark
 the sentences that they cover. A marked stretch of ``least_words`` words or more is removed, so that
 short stock phrases stay.
@@ -14,6 +15,7 @@ Case and the white space within a sentence don't count. Other columns pass throu
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +47,17 @@ def sentences(text: str, longest: int = 12) -> list[str]:
             continue
         words = _WORDS.findall(x)
         head = x[: len(x) - sum(map(len, words))]
-        pieces = ["".join(words[k : k + longest]) for k in range(0, len(words), longest)]
-        cut_up += [head + pieces[0], *pieces[1:]] if pieces else [x]
+        if len(words) <= longest:
+            cut_up.append(x)
+            continue
+        piece, n = head, 0
+        for word in words:
+            piece, n = piece + word, n + 1
+            if n == longest or zlib.crc32(word.strip().lower().encode("utf-8", "surrogatepass")) % 6 == 0:
+                cut_up.append(piece)
+                piece, n = "", 0
+        if piece:
+            cut_up.append(piece)
     return cut_up
 
 
