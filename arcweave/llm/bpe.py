@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -108,7 +109,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Coder(dict):
     """Pre-token -> its ids, for a bounded number of short pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 1_000_000):
         super().__init__()
         self.ranks, self.find, self.most = ranks, regex.compile(pattern).findall, most
         self.bytes_of = {rank: token for token, rank in ranks.items()}
@@ -132,11 +133,17 @@ class Coder(dict):
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def worker_coder(path: str, pattern: str) -> Coder:
+    """One coder for all tasks that a Python worker runs, so that what it remembers outlives a task."""
+    return Coder(read_ranks(path), pattern)
+
+
 def encoded(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(id, ids array<int>)`` for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(read_ranks(path), pattern)
+        coder = worker_coder(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -162,7 +169,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_i
     """``(id, n_tokens, ids_sha256, decoded_sha256)``: every text is encoded and its ids are decoded, in one pass that sends no ids anywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(read_ranks(path), pattern)
+        coder = worker_coder(path, pattern)
         digits = coder.digits.__getitem__
         for batch in batches:
             rows = []
