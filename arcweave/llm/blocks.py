@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 OUT = "id long, n_links long, root long"
+#: Pairs judged at a time.
+PAIRS = 16_384
 
 
 def _meetings(t: int, cell: int, a: dict, b: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -50,15 +52,20 @@ def _judge(t: int, cell: int, a: dict, b: dict, same: bool, linked: Callable) ->
     n, m = len(a["id"]), len(b["id"])
     if not n or not m:
         return
-    i, j = np.triu_indices(n, 1) if same else map(np.ravel, np.indices((n, m)))
-    good = a["id"][i] != b["id"][j]
-    i, j = i[good], j[good]
-    if len(i):
-        good = _meetings(t, cell, a, b, i, j)
-        i, j = i[good], j[good]
-    if len(i):
-        good = linked(a, b, i, j)
-        i, j = i[good], j[good]
+    i, j = np.triu_indices(n, 1) if same else map(np.ravel, np.indices((n, m), dtype=np.int32))
+    kept = []
+    for at in range(0, len(i), PAIRS):
+        p, q = i[at : at + PAIRS], j[at : at + PAIRS]
+        good = a["id"][p] != b["id"][q]
+        for judge in (lambda x, y: _meetings(t, cell, a, b, x, y), lambda x, y: linked(a, b, x, y)):
+            p, q = p[good], q[good]
+            if not len(p):
+                break
+            good = judge(p, q)
+        else:
+            p, q = p[good], q[good]
+        kept.append((p, q))
+    i, j = (np.concatenate([k[c] for k in kept]).astype(np.int64) if kept else np.empty(0, np.int64) for c in (0, 1))
     if not len(i):
         return
     ids = np.concatenate([a["id"]] if same else [a["id"], b["id"]])

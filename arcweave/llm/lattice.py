@@ -24,7 +24,7 @@ from .blocks import bucket_links
 from .common import mix64, stored
 from .components import components
 
-TABLES, PROBES, SCALE = 10, 5, 2.4
+TABLES, PROBES, SCALE = 8, 4, 2.2
 
 
 def neighbours() -> np.ndarray:
