@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import is_callback_style, is_entry_point, is_event_handler, is_flutter_widget, is_generated, is_test_segment
+from ..functions.predicates import is_callback_style, is_dependency_injection, is_entry_point, is_event_handler, is_flutter_widget, is_generated, is_react_component, is_test_segment
 from ..functions.text import compress_path, extension, parent, token_estimate
-from .traverse import bfs
+from .traverse import bfs, neighbours
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -35,6 +35,25 @@ def uncertain_edges(nodes: DataFrame) -> DataFrame:
     return nodes.select("nid", F.explode(F.array_compact(made)).alias("e")).select("nid", "e.source", "e.kind", "e.confidence")
 
 
+def role_flags(nodes: DataFrame) -> DataFrame:
+    """Framework roles of each node: widget, component, handler, callback, injection."""
+    name, kind, file = F.col("name"), F.col("kind"), F.col("file")
+    flags = {"widget": is_flutter_widget(name, kind), "component": is_react_component(name, kind, file), "handler": is_event_handler(name, kind), "callback": is_callback_style(name), "injection": is_dependency_injection(name)}
+    return nodes.select("nid", *[f.alias(k) for k, f in flags.items()])
+
+
+def audit_summary(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row of audit paths: counts by severity, distinct names and files of their roots."""
+    full = paths.join(nodes.select(F.col("nid").alias("root"), "name", "file"), "root")
+    return full.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low")], F.count_distinct("name").alias("entry_names"), F.count_distinct("file").alias("files"))
+
+
+def brief(nodes: DataFrame, edges: DataFrame, centrality: DataFrame, target: int) -> DataFrame:
+    """Callers and callees of one node, each once: ``(side, nid, name, file, pct)``."""
+    sides = neighbours(edges, target, "in").withColumn("side", F.lit("caller")).union(neighbours(edges, target, "out").withColumn("side", F.lit("callee"))).distinct()
+    return sides.join(nodes.select("nid", "name", "file"), "nid").join(centrality.select("nid", "pct"), "nid", "left").select("side", "nid", "name", "file", F.coalesce("pct", F.lit(0.0)).alias("pct"))
+
+
 def limitations(nodes: DataFrame) -> DataFrame:
     """Warnings ``(pattern, n)`` about what static analysis can't see: over 5 callbacks, over 3 handlers, any widgets."""
     name, kind = F.col("name"), F.col("kind")

@@ -526,6 +526,39 @@ def change_categories(spark, d):
     return summary.file_kinds(tables.nodes(spark, d).select("file").distinct())
 
 
+@_query(f"{_with()} SELECT nid, {_WIDGET} AS widget, (kind IN ('function', 'class') AND ends_with(file, '.tsx') AND regexp_matches(name, '^\\p{{Lu}}')) AS component, {_HANDLER} AS handler, {_CALLBACK} AS callback, regexp_matches(lower(name), '(factory|provider|injector|container)$|singleton') AS injection FROM nodes")
+def role_flags(spark, d):
+    return summary.role_flags(tables.nodes(spark, d))
+
+
+@_query(_SQL["audit_paths"].replace("SELECT sink, fin AS root", ", a AS (SELECT sink, fin AS root") + ") SELECT count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low, count(DISTINCT n.name) AS entry_names, count(DISTINCT n.file) AS files FROM a JOIN nodes n ON n.nid = a.root")
+def audit_summary(spark, d):
+    nodes, edges = _graph(spark, d)
+    return summary.audit_summary(traverse.audit_paths(nodes, edges, nodes.where("file = 'src/jobs/supply_3.py'").select("nid"), depth=4), nodes)
+
+
+@_query(f"{_with()}{_rank_ctes()}, s AS (SELECT DISTINCT 'caller' AS side, src AS nid FROM edges WHERE dst = {PART} AND kind = 'calls' UNION SELECT DISTINCT 'callee', dst FROM edges WHERE src = {PART} AND kind = 'calls') SELECT side, s.nid, name, file, round(pct, 6) AS pct FROM s JOIN nodes n ON n.nid = s.nid JOIN c ON c.nid = s.nid")
+def logic_brief(spark, d):
+    nodes, edges = _graph(spark, d)
+    return summary.brief(nodes, edges, rank.centrality(nodes, edges, tolerance=None), PART).withColumn("pct", F.round("pct", 6))
+
+
+@_query(f"{_with(_reach('u', _CHANGED, 'in', 3))} SELECT target, count(*) FILTER (WHERE hop > 0) AS affected, count(*) FILTER (WHERE hop = 1) AS callers FROM u GROUP BY target HAVING count(*) FILTER (WHERE hop > 0) > 0")
+def pr_summary(spark, d):
+    """Reach of each changed symbol within three hops."""
+    nodes, edges = _graph(spark, d)
+    changed = change.changed_files(nodes, spark.createDataFrame([("jobs/supply_1.py",), ("src/geo/regions.py",)], "changed string"))
+    return traverse.impact(edges, changed, 3).groupBy("target").agg(F.count("*").alias("affected"), F.count_if(F.col("hop") == 1).alias("callers"))
+
+
+@_query(f"{_with()} SELECT e.dst AS nid, count(*) AS n FROM edges e JOIN nodes n ON n.nid = e.src WHERE {_TEST_SEGMENT} GROUP BY e.dst")
+def tested_by(spark, d):
+    """How many test symbols call each node directly."""
+    nodes, edges = _graph(spark, d)
+    tests = nodes.where(predicates.is_test_segment(F.col("file"))).select(F.col("nid").alias("src"))
+    return edges.join(tests, "src", "left_semi").groupBy(F.col("dst").alias("nid")).agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

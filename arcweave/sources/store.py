@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of another version are as good as none: a new version of the engine starts from an empty store.
 VERSION, BUCKETS = "1", 64
 
 
@@ -18,11 +19,21 @@ def bucket(file="file"):
 
 def save(df: DataFrame, path: str) -> None:
     """Write a table of rows with a ``file`` column."""
-    df.withColumn("bucket", bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    df.withColumn("engine_version", F.lit(VERSION)).withColumn("bucket", bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).where("file is not null").drop("bucket")
+    return spark.read.parquet(path).where(F.col("file").isNotNull() & (F.col("engine_version") == VERSION)).drop("bucket", "engine_version")
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """The files that a kept table holds."""
+    return load(spark, path).select("file").distinct()
+
+
+def newer_than(listing: DataFrame, mtime) -> DataFrame:
+    """One row: whether any of ``listing(mtime)`` is newer; an empty listing is not."""
+    return listing.agg(F.coalesce(F.max("mtime") > F.lit(mtime), F.lit(False)).alias("newer"))
 
 
 def update(spark: SparkSession, path: str, fresh: DataFrame, gone: DataFrame) -> None:
@@ -33,7 +44,7 @@ def update(spark: SparkSession, path: str, fresh: DataFrame, gone: DataFrame) ->
     changed = fresh.select("file").union(gone.select("file")).distinct()
     touched = changed.select(bucket().alias("bucket")).distinct()
     kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(changed, "file", "left_anti").select(old.columns)
-    new = cut(kept.unionByName(fresh.withColumn("bucket", bucket()).select(old.columns)))
+    new = cut(kept.unionByName(fresh.withColumn("engine_version", F.lit(VERSION)).withColumn("bucket", bucket()).select(old.columns)))
     # a row without a file in each: a bucket that lost its last file is overwritten as well
     rows = new.unionByName(touched, allowMissingColumns=True).repartition("bucket")
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")

@@ -143,11 +143,19 @@ def test_incremental_store_equals_a_full_one(spark, tmp_path):
     store.update(spark, str(tmp_path / "x"), spark.createDataFrame(fresh, "file string, name string"), spark.createDataFrame([("f7.py",), ("f8.py",)], "file string"))
     want = sorted([r for r in rows if r[0] not in ("f3.py", "f7.py", "f8.py")] + fresh)
     assert sorted(map(tuple, store.load(spark, str(tmp_path / "x")).select("file", "name").collect())) == want
+    assert store.files(spark, str(tmp_path / "x")).count() == len(want)
     listing = spark.createDataFrame([("a", 1), ("b", 3)], "file string, mtime long")
     changed, gone = store.stale(listing, spark.createDataFrame([("b", 2), ("c", 1)], "file string, mtime long"))
+    assert [store.newer_than(listing, t).first()["newer"] for t in (2, 3)] == [True, False]
     assert {r["file"] for r in changed.collect()} == {"a", "b"} and [r["file"] for r in gone.collect()] == ["c"]
 
 
+def test_rows_of_another_version_are_none(spark, tmp_path, monkeypatch):
+    store.save(spark.createDataFrame([("a.py", 1)], "file string, x int"), str(tmp_path / "v"))
+    monkeypatch.setattr(store, "VERSION", "2")
+    assert store.load(spark, str(tmp_path / "v")).count() == 0
+
+
 def test_debounce_in_batch_and_as_a_stream(spark, tmp_path):
     rows = [("a", 0.00, "create"), ("a", 0.10, "modify"), ("a", 0.50, "remove"), ("b", 0.05, "modify")]
     changes = spark.createDataFrame(rows, "path string, s double, op string").select("path", F.timestamp_seconds("s").alias("ts"), "op")
