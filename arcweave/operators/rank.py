@@ -12,9 +12,10 @@ from ..plans.lineage import cut
 def centrality_raw(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, warm: DataFrame | None = None, every: int = 5, tolerance: float | None = 1e-9) -> DataFrame:
     """``(nid, raw)``. Parallel calls count; callers in test files weigh a tenth; the mass of nodes without calls is lost.
 
-    Each round is one join of the scores with the edges, which are aggregated and placed by source once,
-    and one aggregation by target. Every ``every`` rounds the scores are checkpointed and the loop
-    ends when none has moved by ``tolerance``. ``warm(nid, raw)`` seeds the rounds with earlier scores.
+    A round is one join of the shares, which are aggregated and placed by source once, with what the round
+    before gave, and one aggregation by target: only nodes with callers move, all others keep the base score.
+    Every ``every`` rounds the gains are checkpointed and the loop ends when no score has moved by
+    ``tolerance``. ``warm(nid, raw)`` seeds the rounds with earlier scores.
     """
     total = nodes.count()
     if not total:
@@ -24,22 +25,27 @@ def centrality_raw(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping
     out = calls.groupBy("src").agg(F.sum("n").alias("out"))
     shares = cut(calls.join(out, "src").join(weight, "src").select("src", "dst", (F.col("weight") * F.col("n") / F.col("out")).alias("share")).repartition("src"))
     base = (1 - damping) / total
-    ids = cut(nodes.select("nid"))
-    scores = ids.withColumn("raw", F.lit(1.0 / total))
-    if warm is not None:
-        scores = _rescaled(ids, shares, warm, base, damping)
-    before = scores
-    for k in range(1, rounds + 1):
-        gained = shares.join(scores, F.col("src") == F.col("nid")).groupBy(F.col("dst").alias("nid")).agg(F.sum(F.col("share") * F.col("raw")).alias("gain"))
-        scores = ids.join(gained, "nid", "left").select("nid", (F.lit(base) + damping * F.coalesce("gain", F.lit(0.0))).alias("raw"))
+    ids = nodes.select("nid")
+    passed = F.sum(F.col("share") * F.col("raw")).alias("gain")
+    if warm is None:
+        seed = shares.withColumn("raw", F.lit(1.0 / total))
+    else:
+        seed = shares.join(_rescaled(cut(ids), shares, warm, base, damping), F.col("src") == F.col("nid"))
+    gains = seed.groupBy(F.col("dst").alias("nid")).agg(passed)
+    before = None
+    for k in range(2, rounds + 1):
+        fed = shares.join(gains, F.col("src") == F.col("nid"), "left").select("dst", "share", (F.lit(base) + damping * F.coalesce("gain", F.lit(0.0))).alias("raw"))
+        gains = fed.groupBy(F.col("dst").alias("nid")).agg(passed)
         if k % every == 0 and k < rounds:
-            scores = cut(scores)
-            if tolerance is not None:
-                moved = scores.join(before.withColumnRenamed("raw", "old"), "nid").agg(F.max(F.abs(F.col("raw") - F.col("old")))).first()[0]
-                if moved is not None and moved < tolerance:
+            gains = cut(gains)
+            if tolerance is not None and before is not None:
+                moved = gains.join(before.withColumnRenamed("gain", "old"), "nid").agg(F.max(F.abs(F.col("gain") - F.col("old")))).first()[0]
+                if moved is None or damping * moved < tolerance:
                     break
-            before = scores
-    return scores
+            before = gains
+    if rounds < 1:
+        return ids.withColumn("raw", F.lit(1.0 / total))
+    return ids.join(gains, "nid", "left").select("nid", (F.lit(base) + damping * F.coalesce("gain", F.lit(0.0))).alias("raw"))
 
 
 def _rescaled(ids: DataFrame, shares: DataFrame, warm: DataFrame, base: float, damping: float) -> DataFrame:
