@@ -20,6 +20,7 @@ of the empty text. Other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -35,7 +36,7 @@ from .common import mix64, stored
 
 #: Counts up to MOST are discounted. END and START stand for themselves among the word hashes.
 MOST, END, START = 5, 1, 2
-BATCH_TOKENS, PART_TOKENS, HOT = 3_000_000, 2_000_000, 1000
+BATCH_TOKENS, PART_TOKENS, HOT = 1_200_000, 1_200_000, 1000
 
 
 def discounts(seen: np.ndarray) -> np.ndarray:
@@ -69,12 +70,14 @@ def unigram_logs(count: np.ndarray, total: int, seen: np.ndarray) -> np.ndarray:
 
 
 def _zip(x: np.ndarray) -> bytes:
-    raw = x.tobytes()
+    """Compressed by planes of bytes: the high bytes of small numbers take next to nothing."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unzip(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), kind)
+    flat = np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 class _Places(dict):
@@ -98,8 +101,8 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # places by frequency, so that tokens compress; START comes last
         often = np.bincount(flat, minlength=len(local) + 1)
         order = np.argsort(-often[:-1], kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         hashes = np.fromiter((END if w is None else xxhash.xxh3_64_intdigest(w) for w in local), np.uint64, len(local))[order]
         flat = rank[flat]
         counts = np.bincount(flat[np.repeat(kept, n)], minlength=len(order))
@@ -111,7 +114,7 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, fold, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1)):
             words = (text.as_py() or "").encode().lower().split()  # on bytes: A-Z and ASCII white space only
             words.append(None)
-            tokens.append(np.fromiter(map(local.__getitem__, words), np.int64, len(words)))
+            tokens.append(np.fromiter(map(local.__getitem__, words), np.int32, len(words)))
             ids.append(doc_id)
             train.append(fold)
             sizes.append(len(words))
@@ -178,20 +181,31 @@ def _ask_bigrams(parts: int, total: int, types: int):
                 words = np.frombuffer(row["words"], np.uint64)
                 count = np.empty(len(words), np.int64)
                 count[np.lexsort((words, words % np.uint64(parts)))] = np.concatenate([_unzip(x["counts"], np.int64) for x in row["told"]])
-                tokens, sizes, train = _unzip(row["tokens"], np.uint32).astype(np.int64), np.frombuffer(row["sizes"], np.uint32).astype(np.int64), np.frombuffer(row["train"], bool)
-                starts, docs = np.cumsum(sizes) - sizes, len(sizes)
+                tokens, sizes, train = _unzip(row["tokens"], np.uint32), np.frombuffer(row["sizes"], np.uint32).astype(np.int64), np.frombuffer(row["train"], bool)
+                starts, docs, batch = np.cumsum(sizes) - sizes, len(sizes), row["batch"]
                 base = np.add.reduceat(np.log10((count + 0.5) / (total + 0.5 * (types + 1)))[tokens], starts)
                 known = np.add.reduceat((count > 0)[tokens].astype(np.int64), starts)
                 yield _sent([(-1, row["batch"], docs, None, row["ids"], [train.tobytes(), sizes.tobytes(), known.tobytes(), base.tobytes()])])
-                first = np.concatenate([[0], tokens[:-1]])
-                first[starts] = len(words) - 1
-                doc = np.repeat(np.arange(docs), sizes)
-                key, times = np.unique((first * len(words) + tokens) * docs + doc, return_counts=True)
-                pair, doc = np.divmod(key, docs)
+                key = np.empty(len(tokens), np.int64)
+                key[1:] = tokens[:-1]
+                key[starts] = len(words) - 1
+                key *= len(words)
+                key += tokens
+                key *= docs
+                key += np.repeat(np.arange(docs, dtype=np.int32), sizes)
+                del tokens, row
+                key.sort()
+                new = np.flatnonzero(np.diff(key, prepend=-1))
+                times = np.diff(np.append(new, len(key))).astype(np.int32)
+                key = key[new]
+                doc = (key % docs).astype(np.int32)
+                pair = key // docs
+                del key
                 new = np.flatnonzero(np.diff(pair, prepend=-1))
                 learnt = np.add.reduceat(times * train[doc], new)
                 many = np.diff(np.append(new, len(pair)))
                 first, second = np.divmod(pair[new], len(words))
+                del pair
                 short = words[second] >> np.uint64(16)
                 to = (words[first] % np.uint64(parts)).astype(np.int64)
                 hot = count[first] * HOT > total
@@ -206,7 +220,7 @@ def _ask_bigrams(parts: int, total: int, types: int):
                     head = np.flatnonzero(np.diff(first[own], prepend=-1))
                     spread = np.repeat(new[own], many[own]) + np.arange(many[own].sum()) - np.repeat(np.cumsum(many[own]) - many[own], many[own])
                     parts_of = [words[first[own[head]]], count[first[own[head]]], np.diff(np.append(head, len(own))), short[own] & np.uint64(2**32 - 1), short[own] >> np.uint64(32), count[second[own]], learnt[own], many[own], doc[spread], times[spread]]
-                    rows.append((p, row["batch"], docs, [_zip(x.astype(t)) for x, t in zip(parts_of, _KINDS)], None, None))
+                    rows.append((p, batch, docs, [_zip(x.astype(t)) for x, t in zip(parts_of, _KINDS)], None, None))
                     if len(rows) == 16:
                         yield _sent(rows)
                         rows = []
@@ -227,13 +241,15 @@ class _Bigrams:
     def __init__(self, rows: list[dict], total: int, seen: np.ndarray):
         got = [[_unzip(x, t) for x, t in zip(r["blobs"], _KINDS)] for r in rows]
         self.sizes = [len(g[3]) for g in got]
-        self.got = got
         history = np.concatenate([np.repeat(g[0], g[2]) for g in got])
         history_count = np.concatenate([np.repeat(g[1], g[2]) for g in got])
         follower = np.concatenate([g[3].astype(np.uint64) | g[4].astype(np.uint64) << np.uint64(32) for g in got])
         second_count = np.concatenate([g[5] for g in got])
+        learnt = np.concatenate([g[6] for g in got])
+        self.docs = [g[7:] for g in got]
+        del got
         _, lead, self.at = np.unique(mix64(mix64(history + np.uint64(0x9E3779B97F4A7C15)) + follower), return_index=True, return_inverse=True)
-        self.count = np.bincount(self.at, np.concatenate([g[6] for g in got]), len(lead)).astype(np.int64)
+        self.count = np.bincount(self.at, learnt, len(lead)).astype(np.int64)
         self.names, self.owner = np.unique(history[lead], return_inverse=True)
         self.names_count = np.zeros(len(self.names), np.int64)
         self.names_count[self.owner] = history_count[lead]
@@ -285,9 +301,9 @@ def _score_bigrams(total: int, seen: np.ndarray):
                     held = np.log10(d[np.minimum(x.count, MOST + 1)] * x.count / below[x.owner])
                 log = np.where(x.count > 0, held, backoff[x.owner] + x.unigram) if total else np.zeros(len(x.count))
                 out, at = [], 0
-                for r, g, n in zip(rows, x.got, x.sizes):
-                    each = np.repeat(log[x.at[at : at + n]], g[7]) * g[9]
-                    out.append((r["batch"], part, np.bincount(g[8], each, r["docs"]).tobytes(), None, None))
+                for r, (many, doc, times), n in zip(rows, x.docs, x.sizes):
+                    each = np.repeat(log[x.at[at : at + n]], many) * times
+                    out.append((r["batch"], part, np.bincount(doc, each, r["docs"]).tobytes(), None, None))
                     at += n
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["batch", "part", "sums", "ids", "doc_rows"])
@@ -316,8 +332,18 @@ def katz_scores(docs: DataFrame, learns, id_column: str = "doc_id", text_column:
 
     ``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)``
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.coalesce(learns, F.lit(False)).alias("train"))
-    batches = stored(texts.mapInArrow(_batches, _BATCH))
+    # bucketed by batch: the answers are brought to the batches, which are never shuffled
+    name, buckets = f"katz_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts.mapInArrow(_batches, _BATCH).write.bucketBy(buckets, "batch").option("compression", "zstd").saveAsTable(name)
+    try:
+        return stored(_scores(spark.table(name)))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _scores(batches: DataFrame) -> DataFrame:
     parts = max(4, -(-(batches.agg(F.sum("n")).first()[0] or 0) // PART_TOKENS))
     asked = batches.select("batch", "words", "counts").mapInArrow(_ask_words(parts), _ASK).repartition(parts, "part").sortWithinPartitions("part", "batch")
     told = stored(asked.mapInArrow(_tell_words, _TOLD))
