@@ -18,6 +18,15 @@ CONFIDENCE = {"exact": 1.0, "same_file": 0.95, "via_import": 0.93, "unique_suffi
 UNKNOWN_RECEIVER, FANOUT, UNKNOWN_FANOUT, CONFIDENT = 0.55, 4, 2, 0.75
 
 
+def normalize_receiver(refs: DataFrame) -> DataFrame:
+    """References that name their own receiver or use ``::``, rewritten to what definitions are called; an option before ``resolve``.
+
+    ``self.m`` and ``this.m`` become ``.m``, a receiver of unknown type; ``Type::m`` becomes ``Type.m``.
+    """
+    plain = F.regexp_replace(F.regexp_replace("ref", "::", "."), r"^(self|this|super)\.", ".")
+    return refs.withColumn("ref", plain).distinct()
+
+
 def import_map(imports: DataFrame) -> DataFrame:
     """``imports(file, local, module[, seq])`` with one module per (file, local): the last written one; namespace aliases apart."""
     order = "seq" if "seq" in imports.columns else "module"

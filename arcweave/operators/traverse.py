@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import is_test_audit, severity
+from ..functions.predicates import SINKS, is_test_audit, severity
 from ..plans.lineage import cut
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:
@@ -84,6 +84,12 @@ def shortest_path(edges: DataFrame, source: int, target: int, depth: int = 8) ->
     return path.select("step", "nid")
 
 
+def audit_sinks(nodes: DataFrame, edges: DataFrame, targets: DataFrame, depth: int = 8, direction: str = "upstream") -> DataFrame:
+    """``(target, nid, name, hop)``: what each of ``targets(nid)`` reaches, or is reached from by default, that is named like a sink."""
+    found = impact(edges, targets, depth, direction)
+    return found.join(nodes, "nid").where(F.lower("name").rlike(SINKS)).select("target", "nid", "name", "hop")
+
+
 def audit_paths(nodes: DataFrame, edges: DataFrame, sinks: DataFrame, depth: int = 8, skip_tests: bool = True) -> DataFrame:
     """Simple call paths from each of ``sinks(nid)`` up to nodes without callers, or of ``depth`` nodes.
 

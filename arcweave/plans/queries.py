@@ -437,8 +437,7 @@ def audit_paths(spark, d):
 def audit_sinks(spark, d):
     """Dependents of a node whose names look like sinks."""
     nodes, edges = _graph(spark, d)
-    found = traverse.impact(edges, _ids(spark, NATION), 8)
-    return found.join(nodes, "nid").where(F.lower("name").rlike(predicates.SINKS)).select("nid", "name", "hop")
+    return traverse.audit_sinks(nodes, edges, _ids(spark, NATION)).select("nid", "name", "hop")
 
 
 @_query(f"{_with()}, h AS (SELECT nid, name FROM nodes WHERE contains(lower(name), 'customer')), t AS (SELECT count(*) AS total FROM h) SELECT h.*, total, 60 < total AS has_more, CASE WHEN 60 < total THEN 60 END::BIGINT AS next_offset FROM h, t ORDER BY nid LIMIT 20 OFFSET 40")

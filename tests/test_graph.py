@@ -109,3 +109,10 @@ def test_profile_thresholds(spark):
             role = "isolated" if up == down == 0 else "entry_point" if not up else "utility" if not down else "adapter" if (up <= 2 and down > 5) or (down <= 2 and up > 5) else "core_logic"
             level = "low" if up == down == 0 else ("medium" if down > 5 else "high") if not up else "high" if not down else "low" if up + down > 50 else "medium" if up + down > 20 else "high"
             assert (row["r"], row["c"]) == (role, level)
+
+
+def test_sinks_in_either_direction(spark):
+    nodes, edges = graph(spark, [(1, 2), (2, 3)])
+    nodes = nodes.withColumn("name", F.when(F.col("nid") == 1, "runQuery").when(F.col("nid") == 3, "sendMail").otherwise("plain"))
+    assert [r["nid"] for r in traverse.audit_sinks(nodes, edges, seed(spark, 2)).collect()] == [1]
+    assert [r["nid"] for r in traverse.audit_sinks(nodes, edges, seed(spark, 2), direction="downstream").collect()] == [3]

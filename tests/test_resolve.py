@@ -68,3 +68,12 @@ def test_partitioning_does_not_matter(spark):
             assert edges(spark, symbols[::-1], refs[::-1]).keys() == want.keys()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_receivers_can_be_normalised(spark):
+    symbols = [(1, "f", "a.py"), (2, "K.run", "b.py"), (3, "P.new", "c.rs")]
+    refs = spark.createDataFrame([(1, "a.py", "self.run"), (1, "a.py", "P::new")], REFS)
+    plain = resolve.resolve_edges(refs, spark.createDataFrame(symbols, SYMBOLS), spark.createDataFrame([], IMPORTS))
+    assert plain.count() == 0
+    rewritten = [tuple(r) for r in resolve.normalize_receiver(refs).collect()]
+    assert edges(spark, symbols, rewritten) == {(1, 2): ("unique_suffix", 0.44), (1, 3): ("exact", 1.0)}
