@@ -19,6 +19,7 @@ import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ from .common import stored
 SALTS = 64
 
 
+@lru_cache(maxsize=1)
 def byte_bpe(path: str):
-    """text -> ids for the tokenizer file ``path`` (byte-level BPE of the tokenizers library, no special tokens added).
+    """text -> ids, made once in a Python worker, for the tokenizer file ``path`` (byte-level BPE of the tokenizers library, no special tokens added).
 
     The merges of such a file, taken as ranks, are the same coder that tiktoken runs, several times
     faster; texts that hold the start of a special token's string are left to the tokenizers library.
@@ -49,12 +51,14 @@ def byte_bpe(path: str):
     # fixed value: the pattern of byte-level pre-tokenisation
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    slow: list[Tokenizer] = []  # loaded only when a text asks for it
 
     def encode(text: str) -> list[int]:
         if any(x in text for x in special):
-            return slow.encode(text, add_special_tokens=False).ids
+            if not slow:
+                slow.append(Tokenizer.from_file(path))
+                slow[0].encode_special_tokens = True
+            return slow[0].encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
