@@ -53,7 +53,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word -> stable unsigned 64-bit hash, remembered for a bounded number of words."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

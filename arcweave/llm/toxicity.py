@@ -114,7 +114,7 @@ def fit(train: DataFrame, steps: int = 200, least_ratio: float = 0.5, ridge: flo
 
 def _scored(weights: np.ndarray, bias: float, memo: dict[str, float], column: pa.Array) -> list[float]:
     texts = [set((t.as_py() or "").lower().split()) for t in column]
-    if len(memo) > 400_000:
+    if len(memo) > 200_000:
         memo.clear()
     new = list(set().union(*texts) - memo.keys())
     for k in range(0, len(new), 20_000):
