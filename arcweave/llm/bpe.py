@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BITS = 6
 MASK = (1 << BITS) - 1
 
@@ -149,7 +151,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
                 part = batch.slice(at, 200)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([coder.encode(t.as_py() or "") for t in part.column(1)], pa.list_(pa.int32()))], names=["id", "ids"])
 
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "id long, ids array<int>")
+    return small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "id long, ids array<int>")
 
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:
@@ -179,4 +181,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_i
             columns = list(zip(*rows)) if rows else [()] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import bucket_links
-from .common import WordHashes, mix64, stored
+from .common import WordHashes, mix64, small_batches, stored
 from .components import components
 
 #: Shape of the MinHash signature: BANDS bands of ROWS values find a pair of similarity 0.8 but for 2 in a million.
@@ -163,7 +163,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolera
     copies_of: smallest id with the same shingle set; class_id: smallest id reachable by links;
     n_links: other rows at similarity ``threshold`` or more (exact Jaccard), copies included.
     """
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    texts = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     profile = stored(texts.mapInArrow(_profile(words), "id long, same binary, cells array<long>"))
     some = profile.where("same is not null")
     classes = stored(some.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("cells").alias("home")).withColumn("id", F.xxhash64("same")))

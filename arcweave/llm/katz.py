@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stored
+from .common import mix64, small_batches, stored
 
 #: Counts up to MOST are discounted. END and START stand for themselves among the word hashes.
 MOST, END, START = 5, 1, 2
@@ -333,7 +333,7 @@ def katz_scores(docs: DataFrame, learns, id_column: str = "doc_id", text_column:
     ``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)``
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.coalesce(learns, F.lit(False)).alias("train"))
+    texts = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.coalesce(learns, F.lit(False)).alias("train"))
     # bucketed by batch: the answers are brought to the batches, which are never shuffled
     name, buckets = f"katz_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts.mapInArrow(_batches, _BATCH).write.bucketBy(buckets, "batch").option("compression", "zstd").saveAsTable(name)

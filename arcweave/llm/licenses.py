@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # The word pattern, the base phrases and the notices below, as they are worded in public licences.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -123,7 +125,7 @@ def _frequency(vocabulary: frozenset[str]):
 
 def license_scan(docs: DataFrame, notices: dict[str, list[str]] = NOTICES, base: dict[str, str] = BASE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(id, n_words, n_base, first_word, last_word, base_labels, labels, score)`` for each row."""
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    texts = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     vocabulary = frozenset(w for many in notices.values() for n in many for w in _template(n)[0]) | {w for p in base for w in p.split()}
     # as many rows as the templates have words
     counted = texts.select("text").mapInArrow(_frequency(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()

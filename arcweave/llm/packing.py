@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 
 SALTS = 64
 
@@ -175,7 +175,7 @@ def _placed(rows: np.ndarray):
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per piece: ``(id, piece, start, length, ids_crc32, sequence_id, offset)``."""
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    texts = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     pieces = stored(texts.mapInArrow(_pieces(tokenizer, capacity, end_id), "id long, piece int, start long, length long, ids_crc32 long"))
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
     groups = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))

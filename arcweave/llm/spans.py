@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import small_batches, stored
 
 _CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _WORDS = re.compile(r"\S+\s*")
@@ -120,7 +120,7 @@ def dedup_texts(docs: DataFrame, span: int = 3, longest: int = 12, least_words:
 
     A row that is nothing but repeats keeps its place with an empty text.
     """
-    starts = repeated_runs(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")), span, longest)
+    starts = repeated_runs(small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")), span, longest)
     starts = starts.withColumnsRenamed({"id": "__of", "starts": "__starts"})
     with_starts = docs.join(starts, F.coalesce(docs[id_column].cast("long"), F.lit(2**63 - 1)) == starts["__of"], "left").drop("__of")
     fields = [f for f in docs.schema.fields if f.name not in ("n_sentences", "n_removed", "words_removed")]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, small_batches
 
 BUCKETS, SIZES = 1 << 18, (3, 4, 5)
 
@@ -139,7 +139,7 @@ def _score(weights: np.ndarray, bias: float):
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(id, score)`` for every row of ``docs``; the model is ``BUCKETS`` numbers whatever the corpus is."""
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(_score(*model), "id long, score double")
+    return small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(_score(*model), "id long, score double")
 
 
 def toxic_labels(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -149,7 +149,7 @@ def toxic_labels(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, id_c
     """
     said = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("label"))
     said = said.orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).join(F.broadcast(said), "id").select("id", "label", "text")
+    return small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).join(F.broadcast(said), "id").select("id", "label", "text")
 
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7, text_column: str = "text") -> DataFrame:
@@ -163,4 +163,4 @@ def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], threshold: floa
                 part = batch.slice(at, 200)
                 yield part.filter(pa.array([x < threshold for x in _scored(*model, memo, part.column(at_text))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
