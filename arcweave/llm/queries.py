@@ -22,10 +22,13 @@ from .licenses import license_scan
 from .packing import pack
 from .spans import dedup_texts
 from .toxicity import fit, score_toxicity, toxic_labels
-from .urls import DEPTH, LOWER, UPPER, url_filter
+from .urls import LOWER, UPPER, url_filter
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
+#: Levels that the SQL of op1 spells out; the query has no such limit, so the two agree where no path has more segments.
+DEPTH = 3
+
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page counts as bad where ``labels`` calls the document of the same number toxic or of low quality."""

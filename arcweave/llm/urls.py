@@ -1,8 +1,7 @@
 """URL filter: host and path rules first, then a tree of path templates for each host.
 
 Only DataFrame functions run here. Digits in a path are masked; each host's paths then form a tree
-of ``DEPTH`` levels (deeper segments are one leaf, ``**``). From the root down, a branch stays
-literal only where its share of bad labels differs from its siblings' by a two-proportion z-test
+with a level for each segment, however deep. From the root down, a branch stays literal only where its share of bad labels differs from its siblings' by a two-proportion z-test
 and the node is not a variable one (many distinct children for its size); all others are merged
 into the wildcard branch ``*``. A template is rejected when its smoothed share of good labels falls
 below ``least_purity``; templates without labels keep the corpus's share and are never rejected
@@ -15,13 +14,16 @@ rule blocks is allowed. Columns other than the named ones are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DEPTH, SALTS = 3, 32
+SALTS = 32
+DEPTH = 8  # no limit of the operator: the levels that the brute-force test spells out
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -39,33 +41,44 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return found, verdict
 
 
-def _segment(path: Column, level: int) -> Column:
-    """Masked segment of a level; null where the path has ended; the last level holds all that is deeper."""
-    parts = F.split(F.regexp_replace(path, "[0-9]+", "{n}"), "/")
-    own = F.get(parts, F.lit(level))
-    return F.when(F.size(parts) > level + 1, F.concat(own, F.lit("/**"))).otherwise(own) if level == DEPTH else own
+def _masked(path: Column) -> Column:
+    return F.regexp_replace(path, "[0-9]+", "{n}")
 
 
 def templates(pages: DataFrame, least_children: int = 16, variable: float = 0.5, z: float = 2.58) -> DataFrame:
-    """``pages(host, path, bad int or null)`` -> ``(host, s1.., t1.., n, labelled, bad)``: each masked path and its template."""
-    levels = range(1, DEPTH + 1)
-    known = pages.select("host", *[_segment(F.col("path"), k).alias(f"s{k}") for k in levels], "bad")
-    tree = known.groupBy("host", *[f"s{k}" for k in levels]).agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-    for k in levels:
-        tree = stored(tree)  # each level reads it three times
-        node = ["host", *[f"t{i}" for i in range(1, k)]]
-        child = tree.where(f"s{k} is not null").groupBy(*node, f"s{k}").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
-        whole = child.groupBy(*node).agg(F.count("*").alias("children"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")])
-        both = child.alias("c").join(whole.alias("w"), [F.col(f"c.{c}").eqNullSafe(F.col(f"w.{c}")) for c in node])
-        both = both.select(*[F.col(f"c.{c}").alias(f"k_{c}") for c in node], F.col(f"s{k}").alias("k_s"), "children", "n", "labelled", "bad", "all_n", "all_labelled", "all_bad")
+    """``pages(host, path, bad int or null)`` -> ``(host, masked, t, n, labelled, bad)``: each masked path and its template, one entry a segment.
+
+    A group of paths that share a template so far grows on only while it holds several paths and both
+    good and bad labels: without them no branch below can differ from its siblings, all are ``*``.
+    """
+    known = pages.select("host", _masked(F.col("path")).alias("masked"), "bad")
+    tree = known.groupBy("host", "masked").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+    parts = F.split("masked", "/")
+    tree = tree.withColumn("s", F.slice(parts, F.lit(2), F.size(parts))).withColumn("t", F.array().cast("array<string>"))
+    counts, finished, level = ("n", "labelled", "bad"), [], 0
+    while True:
+        tree = stored(tree)  # each level reads it several times
+        mixed = tree.groupBy("host", "t").agg(F.count("*").alias("paths"), *[F.sum(c).alias(f"all_{c}") for c in ("labelled", "bad")])
+        mixed = mixed.where("paths > 1 and all_bad > 0 and all_bad < all_labelled").select(F.col("host").alias("k_host"), F.col("t").alias("k_t"), F.lit(True).alias("mixed"))
+        tree = tree.join(mixed, (F.col("host") == F.col("k_host")) & (F.col("t") == F.col("k_t")), "left").withColumn("open", F.col("mixed").isNotNull() & (F.size("s") > level)).drop("k_host", "k_t", "mixed")
+        tree = stored(tree)
+        finished.append(tree.where("not open").select("host", "masked", F.concat("t", F.array_repeat(F.lit("*"), F.size("s") - level)).alias("t"), *counts))
+        tree = tree.where("open").drop("open")
+        if tree.isEmpty():
+            break
+        level += 1
+        own = F.get("s", F.lit(level - 1))
+        child = tree.groupBy("host", "t", own.alias("own")).agg(*[F.sum(c).alias(c) for c in counts])
+        whole = child.groupBy("host", "t").agg(F.count("*").alias("children"), *[F.sum(c).alias(f"all_{c}") for c in counts])
+        both = child.join(whole, ["host", "t"])
         # (bad / labelled - rest_bad / rest)^2 > z^2 p (1 - p) (1 / labelled + 1 / rest), cleared of fractions
         rest, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
         apart = F.pow((F.col("bad") * rest - rest_bad * F.col("labelled")).cast("double"), F.lit(2.0)) * F.col("all_labelled") > F.lit(z * z) * F.col("all_bad") * (F.col("all_labelled") - F.col("all_bad")).cast("double") * F.col("labelled") * rest
         kept = both.where(~((F.col("children") >= least_children) & (F.col("children") >= variable * F.col("all_n")))).where(apart)
-        kept = kept.select(*[f"k_{c}" for c in node], "k_s", F.lit(True).alias("literal"))
-        on = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in node] + [F.col(f"s{k}") == F.col("k_s")]
-        tree = tree.join(kept, on, "left").withColumn(f"t{k}", F.when(F.col("literal"), F.col(f"s{k}")).when(F.col(f"s{k}").isNotNull(), "*")).drop(*[f"k_{c}" for c in node], "k_s", "literal")
-    return stored(tree)
+        kept = kept.select(F.col("host").alias("k_host"), F.col("t").alias("k_t"), "own", F.lit(True).alias("literal"))
+        tree = tree.join(kept, (F.col("host") == F.col("k_host")) & (F.col("t") == F.col("k_t")) & (own == F.col("own")), "left")
+        tree = tree.withColumn("t", F.concat("t", F.array(F.when(F.col("literal"), F.col("own")).otherwise("*")))).drop("k_host", "k_t", "own", "literal")
+    return stored(reduce(DataFrame.union, finished))
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], least_purity: float = 0.5, smoothing: float = 10.0) -> DataFrame:
@@ -77,13 +90,11 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     total = labelled.agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
     good = 1 - total["bad"] / total["n"] if total["n"] else 1.0
     tree = templates(labelled)
-    key = ["host", *[f"t{k}" for k in range(1, DEPTH + 1)]]
-    by = tree.groupBy(*key).agg(F.sum("labelled").alias("labelled_all"), F.sum("bad").alias("bad_all"))
+    by = tree.groupBy("host", "t").agg(F.sum("labelled").alias("labelled_all"), F.sum("bad").alias("bad_all"))
     purity = (F.col("labelled_all") - F.col("bad_all") + F.lit(smoothing * good)) / (F.col("labelled_all") + F.lit(smoothing))
-    refused = by.where(purity < least_purity).select(*[F.col(c).alias(f"k_{c}") for c in key])
-    parts = ["host", *[f"s{k}" for k in range(1, DEPTH + 1)]]
-    refused = tree.join(refused, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in key]).select(*[F.col(c).alias(f"r_{c}") for c in parts], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("r_salt"), F.lit("block").alias("refused"))
-    dealt = own.select("*", *[_segment(F.col("path"), k).alias(f"s{k}") for k in range(1, DEPTH + 1)], F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int").alias("salt"))
-    judged = dealt.join(refused, [F.col("salt") == F.col("r_salt"), *[F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in parts]], "left")
+    refused = by.where(purity < least_purity).select(F.col("host").alias("k_host"), F.col("t").alias("k_t"))
+    refused = tree.join(refused, (F.col("host") == F.col("k_host")) & (F.col("t") == F.col("k_t"))).select(F.col("host").alias("r_host"), F.col("masked").alias("r_masked"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("r_salt"), F.lit("block").alias("refused"))
+    dealt = own.select("*", _masked(F.col("path")).alias("masked"), F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int").alias("salt"))
+    judged = dealt.join(refused, (F.col("salt") == F.col("r_salt")) & (F.col("host") == F.col("r_host")) & (F.col("masked") == F.col("r_masked")), "left")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("refused"), F.lit("allow")).alias("verdict"))

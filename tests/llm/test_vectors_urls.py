@@ -174,3 +174,16 @@ def test_templates_against_brute_force(spark):
     found = {r["page_id"]: r["verdict"] for r in urls.url_filter(pages, labels, []).collect()}
     want = brute_templates(rows)
     assert [found[k] for k in range(len(rows))] == want and 100 < want.count("block") < 700
+
+
+def test_bad_branches_below_the_third_level(spark):
+    rows = []
+    for depth in range(4, 9):
+        # 60 clean and 40 bad pages a depth share everything but the segment at that depth
+        top = "/".join(["", f"d{'abcdefghi'[depth]}", *["x"] * (depth - 2)])
+        rows += [(f"{top}/news/{k}", 0) for k in range(60)] + [(f"{top}/spam/{k}", 1) for k in range(40)]
+    rows += [("/" + "y/" * 40, 0), ("/" + "y/" * 40 + "z", 1)]
+    pages = spark.createDataFrame([(k, f"http://h.test{p}") for k, (p, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, b) for k, (_, b) in enumerate(rows)], "page_id long, bad int")
+    found = {r["page_id"]: r["verdict"] for r in urls.url_filter(pages, labels, []).collect()}
+    assert all(found[k] == ("block" if b else "allow") for k, (p, b) in enumerate(rows[:-2]))
