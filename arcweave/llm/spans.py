@@ -4,8 +4,8 @@ A text is cut into sentences (after ``.``, ``!``, ``?`` and white space, or at a
 more than ``longest`` words also after words that a hash picks, so that a word more or less
 upstream doesn't shift the cuts). Every run of ``span`` consecutive sentences is hashed. Runs that occur
 more than once are joined globally; all but the first occurrence (smallest id, then position) mark
-the sentences that they cover. A marked stretch of ``least_words`` words or more is removed, so that
-short stock phrases stay.
+the sentences that they cover, and all marked sentences are removed, however short. Callers who want
+short stock phrases to stay can set ``least_words``: marked stretches of fewer words then stay.
 
 Defined results: a null text stays null and counts as empty; texts of fewer than ``span`` sentences
 are one run; rows that repeat an id count as one occurrence; rows whose id is null come last.
@@ -115,7 +115,7 @@ def repeated_runs(docs: DataFrame, span: int = 3, longest: int = 12) -> DataFram
     return later.where("again or id <> first").groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("starts"))
 
 
-def dedup_texts(docs: DataFrame, span: int = 3, longest: int = 12, least_words: int = 24, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def dedup_texts(docs: DataFrame, span: int = 3, longest: int = 12, least_words: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with repeated sentences taken out of the text, and ``n_sentences``, ``n_removed``, ``words_removed``.
 
     A row that is nothing but repeats keeps its place with an empty text.

@@ -70,6 +70,13 @@ def test_spans_odd_rows(documents):
     assert spans.dedup_texts(documents([])).count() == 0
 
 
+def test_short_repeated_spans_go(documents):
+    short, unspaced = "Ab cd. Ef gh. Ij kl. ", "".join(c * 30 + "\n" for c in "\u4e00\u4e8c\u4e09")
+    docs = [(1, short + "Mn op."), (2, "Qr st. Uv wx. " + short), (3, unspaced + "x"), (4, "y\nz\n" + unspaced)]
+    found = {r["doc_id"]: r["text"] for r in spans.dedup_texts(documents(docs)).collect()}
+    assert found == {1: docs[0][1], 2: "Qr st. Uv wx. ", 3: docs[2][1], 4: "y\nz\n"}
+
+
 # Jaccard
 
 
