@@ -8,7 +8,9 @@ the sentences that they cover, and all marked sentences are removed, however sho
 short stock phrases to stay can set ``least_words``: marked stretches of fewer words then stay.
 
 Defined results: a null text stays null and counts as empty; texts of fewer than ``span`` sentences
-are one run; rows that repeat an id count as one occurrence; rows whose id is null come last.
+are one run; rows that repeat an id count as one occurrence if they repeat the text as well, else each
+counts by itself, in the order of a hash of their texts; rows whose id is null count each by itself and
+come last.
 Case and the white space within a sentence don't count. Other columns pass through ``dedup_texts``.
 """
 
@@ -81,8 +83,9 @@ def _runs(span: int, longest: int):
                 for own in hashes:
                     seen: set[int] = set()
                     again += [h in seen or bool(seen.add(h)) for h in own]
-                columns = [pa.array([h for x in hashes for h in x], pa.int64()), part.column(0).take(pa.array(ids)), pa.array([k for m in n for k in range(m)], pa.int32()), pa.array(again, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, names=["run", "id", "at", "again"])
+                own = [part.column(k).take(pa.array(ids)) for k in (0, 2)]
+                columns = [pa.array([h for x in hashes for h in x], pa.int64()), *own, pa.array([k for m in n for k in range(m)], pa.int32()), pa.array(again, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=["run", "id", "row", "at", "again"])
 
     return run
 
@@ -98,21 +101,43 @@ def _removed(pieces: list[str], starts: list[int], span: int, least_words: int)
     return gone
 
 
+def with_row_keys(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``docs`` with ``__id`` and ``__row``, which tell rows apart and come out the same each time ``docs`` is read.
+
+    ``__row`` is 0 for an id that occurs once, a hash of the text for one that occurs again, and a stored number where
+    the id is null, as such rows can be equal. Only ids are counted, so tables without clashes pass through.
+    """
+    own = docs[id_column].cast("long")
+    counted = stored(docs.select(own.alias("__clash")).groupBy("__clash").agg(F.count("*").alias("rows")).where("rows > 1 or __clash is null"))
+    clashes, nulls = counted.where("__clash is not null").select("__clash"), counted.where("__clash is null")
+    keyed = docs.withColumn("__id", own)
+    out = keyed.where("__id is not null")
+    if clashes.isEmpty():
+        out = out.withColumn("__row", F.lit(0).cast("long"))
+    else:
+        out = out.join(clashes, F.col("__id") == F.col("__clash"), "left")
+        out = out.withColumn("__row", F.when(F.col("__clash").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text_column))).drop("__clash")
+    if nulls.isEmpty():
+        return out
+    numbered = stored(keyed.where("__id is null").withColumn("__row", F.monotonically_increasing_id()))
+    return out.unionByName(numbered.withColumn("__id", F.lit(2**63 - 1)))
+
+
 def repeated_runs(docs: DataFrame, span: int = 3, longest: int = 12) -> DataFrame:
-    """``docs(id long, text)`` -> ``(id, starts array<int>)``: where non-first occurrences of repeated runs begin."""
-    runs = stored(docs.mapInArrow(_runs(span, longest), "run long, id long, at int, again boolean").withColumn("id", F.coalesce("id", F.lit(2**63 - 1))))
-    often = stored(runs.groupBy("run").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"))
+    """``docs(id long, text, row long)`` -> ``(id, row, starts array<int>)``: where non-first occurrences of repeated runs begin."""
+    runs = stored(docs.mapInArrow(_runs(span, longest), "run long, id long, row long, at int, again boolean"))
+    often = stored(runs.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("id", "row")).alias("first")).where("n > 1"))
     # a run with more than a 2,000th of all occurrences is one of 2,000 at most: broadcast; the rest are joined by hash
     total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = often.where(F.col("n") > total / 2000).select("run", F.col("first").alias("hot_first"))
     rest = often.where(F.col("n") <= total / 2000).select("run", "first")
     # outer joins: every run passes once, marked with the first place of its kind or not; the hot ones are dealt by their place
     known = runs.join(F.broadcast(hot), "run", "left")
-    key = F.when(F.col("hot_first").isNull(), F.col("run")).otherwise(F.xxhash64("id", "at"))
+    key = F.when(F.col("hot_first").isNull(), F.col("run")).otherwise(F.xxhash64("id", "row", "at"))
     rest = rest.withColumnRenamed("run", "of")
     later = known.withColumn("key", key).join(rest, (F.col("key") == F.col("of")) & F.col("hot_first").isNull(), "left")
-    later = later.select("id", "at", "again", F.coalesce("hot_first", "first").alias("first")).where("first is not null")
-    return later.where("again or id <> first").groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    later = later.select("id", "row", "at", "again", F.coalesce("hot_first", "first").alias("first")).where("first is not null")
+    return later.where("again or id <> first.id or row <> first.row").groupBy("id", "row").agg(F.sort_array(F.collect_set("at")).alias("starts"))
 
 
 def dedup_texts(docs: DataFrame, span: int = 3, longest: int = 12, least_words: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -120,9 +145,10 @@ def dedup_texts(docs: DataFrame, span: int = 3, longest: int = 12, least_words:
 
     A row that is nothing but repeats keeps its place with an empty text.
     """
-    starts = repeated_runs(small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")), span, longest)
-    starts = starts.withColumnsRenamed({"id": "__of", "starts": "__starts"})
-    with_starts = docs.join(starts, F.coalesce(docs[id_column].cast("long"), F.lit(2**63 - 1)) == starts["__of"], "left").drop("__of")
+    keyed = with_row_keys(small_batches(docs), id_column, text_column)
+    starts = repeated_runs(keyed.select(F.col("__id").alias("id"), F.col(text_column).alias("text"), F.col("__row").alias("row")), span, longest)
+    starts = starts.withColumnsRenamed({"id": "__of", "row": "__of_row", "starts": "__starts"})
+    with_starts = keyed.join(starts, (F.col("__id") == F.col("__of")) & (F.col("__row") == F.col("__of_row")), "left")
     fields = [f for f in docs.schema.fields if f.name not in ("n_sentences", "n_removed", "words_removed")]
     schema = T.StructType([*fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("words_removed", T.LongType())])
     names = [f.name for f in fields]

@@ -77,6 +77,21 @@ def test_short_repeated_spans_go(documents):
     assert found == {1: docs[0][1], 2: "Qr st. Uv wx. ", 3: docs[2][1], 4: "y\nz\n"}
 
 
+def test_spans_of_rows_without_an_id_of_their_own(documents):
+    rng = random.Random(6)
+    text = lambda: ". ".join(prose(rng, 9) for _ in range(8)) + ". "
+    shared, mine, passage = text(), [text() for _ in range(6)], text()
+    # what repeats an earlier row goes from the row that has it, and nothing from the others of the same id
+    docs = [(1, shared + mine[0]), (None, mine[1] + shared), (None, mine[2]), (None, mine[3] + passage), (None, passage), (7, mine[4]), (7, shared + mine[5]), (9, None)]
+    found = [(r["doc_id"], r["text"]) for r in spans.dedup_texts(documents(docs, **CLASH)).collect()]
+    left = [t for i, t in found if i is None]
+    assert [t for i, t in found if i == 1] == [docs[0][1]] and {t for i, t in found if i == 7} == {mine[4], mine[5]}
+    assert mine[1] in left and mine[2] in left and sum(passage in t for t in left) == 1 and not any(shared in t for t in left)
+    assert sum(t.count(m) for t in left for m in mine[1:4]) == 3 and len(found) == 8
+    equal = spans.dedup_texts(documents([(None, passage), (None, passage), (3, mine[0]), (3, mine[0])])).collect()
+    assert sorted(r["text"] for r in equal) == sorted([passage, "", mine[0], mine[0]])
+
+
 # Jaccard
 
 
