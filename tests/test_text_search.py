@@ -50,6 +50,14 @@ def test_paths_and_predicates(spark):
     assert one(spark, predicates.is_entry_point(F.lit("get_user"), F.lit("function"), F.lit("api/x.py"))) and not one(spark, predicates.is_entry_point(F.lit("get_user"), F.lit("function"), F.lit("lib/x.py")))
 
 
+def test_lexicon_is_whole():
+    by = lexicon.clusters()
+    assert len(by) == 19 and all(words[0] == concept and len(words) == len(set(words)) for concept, words in by.items())
+    sizes = "auth 28 crypto 19 secret 10 payment 18 database 19 network 20 validate 12 user 16 file 12 log 12 cache 9 queue 14 error 11 test 10 parse 13 create 10 delete 8 get 9 set 8".split()
+    assert {concept: len(words) for concept, words in by.items()} == {c: int(n) for c, n in zip(sizes[::2], sizes[1::2])} and sum(map(len, by.values())) == 258
+    assert lexicon.related("redis", "cache") and lexicon.related("get", "lookup") and lexicon.concepts_for("query") == ["database", "get"]
+
+
 def test_lexicon():
     assert lexicon.related("login", "password") and not lexicon.related("login", "cache")
     assert lexicon.expand("zebra") == {"zebra"}
