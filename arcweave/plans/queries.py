@@ -312,6 +312,30 @@ def confidence_level(spark, d):
     return _profiled(spark, d).select("nid", "confidence")
 
 
+_ALL = "SELECT nid FROM nodes"
+_COUNTED = "SELECT target, count(*) AS n FROM {} WHERE hop > 0 GROUP BY target"
+_PROFILE_ALL_SQL = (
+    f"{_with(_reach('u', _ALL, 'in', 5), _reach('w', _ALL, 'out', 5))}, p AS (SELECT t.nid, coalesce(a.n, 0) AS upstream, coalesce(b.n, 0) AS downstream"
+    f" FROM nodes t LEFT JOIN ({_COUNTED.format('u')}) a ON a.target = t.nid LEFT JOIN ({_COUNTED.format('w')}) b ON b.target = t.nid)"
+)
+
+
+def _profiled_all(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _graph(spark, d)
+    return summary.profile(edges, nodes.select("nid"))
+
+
+@_query(_SQL["node_role"].replace(_PROFILE_SQL, _PROFILE_ALL_SQL))
+def node_role_all(spark, d):
+    """Of every node, where ``node_role`` has those of two files and five more."""
+    return _profiled_all(spark, d).select("nid", "upstream", "downstream", "role")
+
+
+@_query(_SQL["confidence_level"].replace(_PROFILE_SQL, _PROFILE_ALL_SQL))
+def confidence_level_all(spark, d):
+    return _profiled_all(spark, d).select("nid", "confidence")
+
+
 _CHANGED = "SELECT nid FROM nodes WHERE file IN ('src/jobs/supply_1.py', 'src/geo/regions.py')"
 _BLAST = (
     f"{_with(_reach('u', _CHANGED, 'in', 5), _reach('w', _CHANGED, 'out', 5))}, a AS MATERIALIZED (SELECT nid, hop FROM u WHERE hop > 0 UNION ALL SELECT nid, hop FROM w WHERE hop > 0), ids AS (SELECT DISTINCT nid FROM a),"
@@ -346,11 +370,11 @@ def changed_file_match(spark, d):
 _RANGES = "syms AS (SELECT l_orderkey * 8 + l_linenumber AS nid, concat('order_', CAST(l_orderkey AS VARCHAR)) AS file, 10 * l_linenumber AS line_start, 10 * l_linenumber + CAST(floor(l_quantity) AS INT) AS line_end FROM lineitem), ranges AS (SELECT concat('order_', CAST(o_orderkey AS VARCHAR)) AS file, 15 AS start, 35 AS stop FROM orders WHERE o_orderkey % 7 = 0)"
 
 
-def _ranges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _ranges(spark: SparkSession, d: str, changed: str = "o_orderkey % 7 = 0") -> tuple[DataFrame, DataFrame]:
     items, orders = tables.load(spark, d, "lineitem"), tables.load(spark, d, "orders")
     start = 10 * F.col("l_linenumber")
     symbols = items.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("nid"), F.concat(F.lit("order_"), F.col("l_orderkey").cast("string")).alias("file"), start.alias("line_start"), (start + F.floor("l_quantity").cast("int")).alias("line_end"))
-    return symbols, orders.where("o_orderkey % 7 = 0").select(F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("file"), F.lit(15).alias("start"), F.lit(35).alias("stop"))
+    return symbols, orders.where(changed).select(F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("file"), F.lit(15).alias("start"), F.lit(35).alias("stop"))
 
 
 @_query(f"WITH {_RANGES} SELECT nid, file FROM syms s WHERE EXISTS (SELECT 1 FROM ranges r WHERE r.file = s.file AND (s.line_end = 0 OR (r.start <= s.line_end AND s.line_start <= r.stop)))")
@@ -363,6 +387,17 @@ def files_without_hits(spark, d):
     return change.files_without_hits(*_ranges(spark, d))
 
 
+@_query(_SQL["changed_ranges"].replace(" WHERE o_orderkey % 7 = 0", ""))
+def changed_ranges_all(spark, d):
+    """With a changed range in every order, where ``changed_ranges`` has one in every seventh."""
+    return change.changed_ranges(*_ranges(spark, d, "true"))
+
+
+@_query(_SQL["files_without_hits"].replace(" WHERE o_orderkey % 7 = 0", ""))
+def files_without_hits_all(spark, d):
+    return change.files_without_hits(*_ranges(spark, d, "true"))
+
+
 @_query(
     "WITH h AS (SELECT o_orderkey, o_custkey % 900 AS c, o_orderkey % 5 AS n FROM orders WHERE o_orderkey % 11 <> 0) SELECT o_orderkey, CASE WHEN n = 0 THEN greatest(c, 1) ELSE c END AS start,"
     " CASE WHEN n = 4 THEN c WHEN n = 0 THEN greatest(c, 1) ELSE c + n - 1 END AS stop FROM h"

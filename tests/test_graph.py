@@ -116,3 +116,30 @@ def test_sinks_in_either_direction(spark):
     nodes = nodes.withColumn("name", F.when(F.col("nid") == 1, "runQuery").when(F.col("nid") == 3, "sendMail").otherwise("plain"))
     assert [r["nid"] for r in traverse.audit_sinks(nodes, edges, seed(spark, 2)).collect()] == [1]
     assert [r["nid"] for r in traverse.audit_sinks(nodes, edges, seed(spark, 2), direction="downstream").collect()] == [3]
+
+
+def test_profiles_and_ranges_cover_everything(spark):
+    from arcweave.operators import summary
+    from arcweave.plans import queries as plans
+
+    data = "/root/testdata/sf0.001"
+    nodes = plans._graph(spark, data)[0].count()
+    found = plans.queries()
+    assert found["node_role_all"](spark, data).select("nid").distinct().count() == found["confidence_level_all"](spark, data).count() == nodes
+    orders = {f"order_{r[0]}" for r in spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey").collect()}
+    hit = {r["file"] for r in found["changed_ranges_all"](spark, data).collect()}
+    missed = {r["file"] for r in found["files_without_hits_all"](spark, data).collect()}
+    assert hit & orders | missed == orders and not hit & missed
+
+    pairs = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 7), (7, 8), (9, 4), (9, 8)]
+
+    def reach(node, pairs, hops=5):
+        seen = at = {node}
+        for _ in range(hops):
+            at = {b for a, b in pairs if a in at} - seen
+            seen = seen | at
+        return len(seen) - 1
+
+    edges = spark.createDataFrame([(a, b, "calls") for a, b in pairs], "src long, dst long, kind string")
+    rows = summary.profile(edges, spark.createDataFrame([(k,) for k in range(1, 11)], "nid long")).collect()
+    assert {r["nid"]: (r["upstream"], r["downstream"]) for r in rows} == {k: (reach(k, [(b, a) for a, b in pairs]), reach(k, pairs)) for k in range(1, 11)}
