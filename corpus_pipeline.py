@@ -26,16 +26,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked at a similarity of 0.8 or more the document with the smallest id stays.
 
-    Rows that share an id stand or fall together and leave one row, unless the id is null: those stay.
+    Rows that share an id are documents of their own, equal or near ones as any others; blank ones leave one row an id.
+    Rows whose id is null stay.
     """
-    found = jaccard_join(docs).where("id is not null").groupBy("id").agg(F.max(F.col("id") == F.col("class_id")).alias("stays"), F.count("*").alias("rows"))
-    found = stored(found.where("not stays or rows > 1"))
-    kept = docs.join(found.where("not stays").select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(docs.columns)
-    again = found.where("stays and rows > 1").select(F.col("id").alias("doc_id"))
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(once)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = stored(jaccard_join(docs).where("id <> class_id").select(F.col("id").alias("doc_id")))
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # numbers in the order of the ids tell the rows apart
+    order = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    keyed = stored(docs.orderBy("doc_id", F.xxhash64("text")).withColumn("__key", order))
+    gone = stored(jaccard_join(keyed, id_column="__key").where("id <> class_id").select(F.col("id").alias("__key")))
+    kept = keyed.join(gone, "__key", "left_anti").select(docs.columns)
+    blank = F.col("doc_id").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"(?U)^[\s\x1c-\x1f]*$")
+    return kept.where(~blank).union(kept.where(blank).dropDuplicates(["doc_id"]))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,17 @@ def test_repeated_rows_leave_one(spark, folder):
     assert corpus_pipeline.near_duplicates(spark, docs.where("false"), path).count() == 0
 
 
+def test_clashing_ids_are_judged_by_row(spark):
+    from tests.llm.conftest import DOCS
+
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (2, b), (2, c), (2, c), (3, b), (4, a), (4, d), (5, ""), (5, " "), (5, None), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    kept = [(r["doc_id"], (r["text"] or "").strip()) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a), (2, b), (2, c), (4, d), (5, ""), (None, a), (None, a)], key=repr)
+
+
 def test_registered_queries(spark):
     found = queries.queries()
     assert sorted(int(name[2:].split("_")[0]) for name in found) == list(range(1, 11))
