@@ -187,3 +187,14 @@ def test_bad_branches_below_the_third_level(spark):
     labels = spark.createDataFrame([(k, b) for k, (_, b) in enumerate(rows)], "page_id long, bad int")
     found = {r["page_id"]: r["verdict"] for r in urls.url_filter(pages, labels, []).collect()}
     assert all(found[k] == ("block" if b else "allow") for k, (p, b) in enumerate(rows[:-2]))
+
+
+def test_pairs_near_the_threshold_meet():
+    rng = np.random.default_rng(7)
+    a, b = rng.standard_normal((2, 20_000, 128))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (lattice.file_under(v, np.zeros(len(v), np.int64)) for v in (a, b))
+    met = ((x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)).any(1)
+    assert (~met).sum() <= 10
