@@ -1,8 +1,9 @@
 """Substring dedup over sliding runs of sentences.
 
-A text is cut into sentences (after ``.``, ``!``, ``?`` and white space, or at a line end; those of
-more than ``longest`` words also after words that a hash picks, so that a word more or less
-upstream doesn't shift the cuts). Every run of ``span`` consecutive sentences is hashed. Runs that occur
+A text is cut into sentences: after ``.``, ``!``, ``?`` and white space, after their full-width forms, or at a line end. Sentences of
+up to ``longest`` words stay whole. Longer ones, as text without punctuation, are cut after words that a
+hash picks, so that a word more or less upstream doesn't shift the cuts: as wholes they would
+never repeat where a passage begins or ends within them. Every run of ``span`` consecutive sentences is hashed. Runs that occur
 more than once are joined globally; all but the first occurrence (smallest id, then position) mark
 the sentences that they cover, and all marked sentences are removed, however short. Callers who want
 short stock phrases to stay can set ``least_words``: marked stretches of fewer words then stay.
@@ -11,7 +12,8 @@ Defined results: a null text stays null and counts as empty; texts of fewer than
 are one run; rows that repeat an id count as one occurrence if they repeat the text as well, else each
 counts by itself, in the order of a hash of their texts; rows whose id is null count each by itself and
 come last.
-Case and the white space within a sentence don't count. Other columns pass through ``dedup_texts``.
+Case and the white space within a sentence don't count. Other columns pass through ``dedup_texts``, but
+columns of the input that are called n_sentences, n_removed or words_removed give way to its own.
 """
 
 from __future__ import annotations
@@ -29,38 +31,36 @@ from pyspark.sql import types as T
 
 from .common import small_batches, stored
 
-_CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+_CUT = re.compile(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])\s*|\n\s*")  # linear, however long a run of white space is
 _WORDS = re.compile(r"\S+\s*")
+#: Most words of a piece of a sentence that is too long.
+PIECE = 12
 
 
-def sentences(text: str, longest: int = 12) -> list[str]:
+def sentences(text: str, longest: int = 20) -> list[str]:
     """The pieces of ``text``, each with the white space after it: joined they give the text again."""
-    out, at = [], 0
+    whole, at = [], 0
     for cut in _CUT.finditer(text):
-        if cut.end() > at:
-            out.append(text[at : cut.end()])
+        if text[at : cut.end()].strip():
+            whole.append(text[at : cut.end()])
             at = cut.end()
     if at < len(text):
-        out.append(text[at:])
-    cut_up = []
-    for x in out:
-        if x.count(" ") < longest:
-            cut_up.append(x)
-            continue
-        words = _WORDS.findall(x)
-        head = x[: len(x) - sum(map(len, words))]
+        whole.append(text[at:])
+    out = []
+    for sentence in whole:
+        words = _WORDS.findall(sentence) if len(sentence.split()) > longest else ()
         if len(words) <= longest:
-            cut_up.append(x)
+            out.append(sentence)
             continue
-        piece, n = head, 0
+        piece, n = sentence[: len(sentence) - sum(map(len, words))], 0
         for word in words:
             piece, n = piece + word, n + 1
-            if n == longest or zlib.crc32(word.strip().lower().encode("utf-8", "surrogatepass")) % 6 == 0:
-                cut_up.append(piece)
+            if n == PIECE or zlib.crc32(word.strip().lower().encode("utf-8", "surrogatepass")) % 6 == 0:
+                out.append(piece)
                 piece, n = "", 0
         if piece:
-            cut_up.append(piece)
-    return cut_up
+            out.append(piece)
+    return out
 
 
 def run_hashes(pieces: list[str], span: int) -> list[int]:
@@ -123,7 +123,7 @@ def with_row_keys(docs: DataFrame, id_column: str, text_column: str) -> DataFram
     return out.unionByName(numbered.withColumn("__id", F.lit(2**63 - 1)))
 
 
-def repeated_runs(docs: DataFrame, span: int = 3, longest: int = 12) -> DataFrame:
+def repeated_runs(docs: DataFrame, span: int = 3, longest: int = 20) -> DataFrame:
     """``docs(id long, text, row long)`` -> ``(id, row, starts array<int>)``: where non-first occurrences of repeated runs begin."""
     runs = stored(docs.mapInArrow(_runs(span, longest), "run long, id long, row long, at int, again boolean"))
     often = stored(runs.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("id", "row")).alias("first")).where("n > 1"))
@@ -140,7 +140,7 @@ def repeated_runs(docs: DataFrame, span: int = 3, longest: int = 12) -> DataFram
     return later.where("again or id <> first.id or row <> first.row").groupBy("id", "row").agg(F.sort_array(F.collect_set("at")).alias("starts"))
 
 
-def dedup_texts(docs: DataFrame, span: int = 3, longest: int = 12, least_words: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def dedup_texts(docs: DataFrame, span: int = 3, longest: int = 20, least_words: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with repeated sentences taken out of the text, and ``n_sentences``, ``n_removed``, ``words_removed``.
 
     A row that is nothing but repeats keeps its place with an empty text.

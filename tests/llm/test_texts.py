@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -29,17 +30,49 @@ def odd(n=3):
 # substring dedup
 
 
-def brute_spans(docs, span=3, least=24):
-    first, out = {}, {}
-    rows = sorted(docs, key=lambda r: r[0])
-    for i, t in rows:
-        for at, h in enumerate(spans.run_hashes(spans.sentences(t), span)):
-            first.setdefault(h, (i, at))
-    for i, t in rows:
-        pieces = spans.sentences(t)
-        starts = [at for at, h in enumerate(spans.run_hashes(pieces, span)) if first[h] != (i, at)]
-        gone = spans._removed(pieces, starts, span, least)
-        out[i] = "".join(p for p, g in zip(pieces, gone) if not g)
+def own_sentences(text, longest=20):
+    """The rule for sentences, word by word: (words, text) of each."""
+    out, held = [], []
+
+    def close():
+        if held:
+            out.append(held[:])
+            held.clear()
+
+    for gap, word, after in re.findall(r"(^\s*)?(\S+)(\s*)", text):
+        held.append(gap + word + after)
+        if "\n" in after or (after and word[-1] in ".!?"):
+            close()
+    close()
+    cut = []
+    for words in out:
+        if len(words) <= longest:
+            cut.append("".join(words))
+            continue
+        piece = []
+        for w in words:
+            piece.append(w)
+            if len(piece) == 12 or zlib.crc32(w.strip().lower().encode()) % 6 == 0:
+                cut.append("".join(piece))
+                piece = []
+        cut += ["".join(piece)] * bool(piece)
+    return cut
+
+
+def brute_spans(docs, span=3):
+    """Texts without what a non-first run of ``span`` sentences covers, with runs as they are instead of hashes."""
+    seen, out = set(), {}
+    for i, t in sorted(docs, key=lambda r: r[0]):
+        pieces = own_sentences(t or "")
+        plain = [tuple(p.lower().split()) for p in pieces]
+        gone = set()
+        for at in range(max(1, len(plain) - span + 1)):
+            run = tuple(plain[at : at + span])
+            if any(run):
+                if run in seen:
+                    gone.update(range(at, min(at + span, len(plain))))
+                seen.add(run)
+        out[i] = "".join(p for k, p in enumerate(pieces) if k not in gone)
     return out
 
 
@@ -60,6 +93,10 @@ def test_spans_cut_and_join():
     for k in range(300):
         t = "".join(rng.choice(["a", "bc ", ". ", "\n", "! ", " ", "é?", "x " * 30]) for _ in range(rng.randint(0, 40)))
         assert "".join(spans.sentences(t)) == t
+        assert [p for p in spans.sentences(t) if p.strip()] == own_sentences(t)
+    blank = " " * 1_000_000
+    assert spans.sentences(blank) == [blank] and len(spans.sentences("a." + blank + "b\n" + blank)) == 2
+    assert spans.sentences("\u4e00\u4e8c\u3002\u4e09\uff01 \u56db") == ["\u4e00\u4e8c\u3002", "\u4e09\uff01 ", "\u56db"]
 
 
 def test_spans_odd_rows(documents):
