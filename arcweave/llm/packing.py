@@ -5,8 +5,9 @@ decreasing treats pieces of equal length alike, so it needs only how many there
 those counts (at most ``capacity`` numbers) go to the driver, which packs them with a segment tree
 over the remaining capacities. The tightest open bin that fits is found in logarithmic time, for a
 run of equal pieces at once, and the outcome is what placing them one by one would give. The plan
-says where the pieces of each length with ranks a..b go; ranks are dealt out on the executors in
-salted groups, so that one very common length is no hot spot.
+says where the pieces of each length with ranks a..b go; its size is bounded by the capacity, and it is a
+table that the pieces are joined with. Ranks are dealt out on the executors in groups of about
+``SALT_PIECES``, so that one very common length is no hot spot; full pieces need no rank.
 
 Defined results: a null text is empty; an empty text is one token; a document longer than the
 capacity has its short piece first; repeated rows are packed as often as they occur; a null id is
@@ -16,6 +17,7 @@ kept as null. Other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,7 +30,28 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored
 
-SALTS = 64
+#: White space runs from this length on are left to the tokenizers library: the fast coder's pattern gives up on very long ones.
+LONG_GAP = 50_000
+#: Pieces of equal length that get their ranks in one task, and ranks that one row of the plan's index covers.
+SALT_PIECES, RANKS = 50_000, 32
+_GAP = re.compile(r"\s+")
+
+
+def _has_long_gap(text: str) -> bool:
+    return len(text) >= LONG_GAP and any(m.end() - m.start() >= LONG_GAP for m in _GAP.finditer(text))
+
+
+def merges_are_ranks(model: dict, byte: dict[str, int]) -> bool:
+    """Whether a tokenizer file is plain byte-level BPE whose merges, in order, make the ids that follow the single bytes."""
+    bpe, before = model["model"], model["pre_tokenizer"] or {}
+    plain = bpe["type"] == "BPE" and not any(bpe.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    plain = plain and model["normalizer"] is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if not plain or not all(c in bpe["vocab"] for c in byte):
+        return False
+    made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in bpe["merges"]]
+    ids = [bpe["vocab"].get(x, -1) for x in made]
+    known = set(byte) | set(made) | {x["content"] for x in model["added_tokens"]}
+    return ids == sorted(set(ids)) and (not ids or ids[0] > max(bpe["vocab"][c] for c in byte)) and known >= set(bpe["vocab"])
 
 
 @lru_cache(maxsize=1)
@@ -36,7 +59,8 @@ def byte_bpe(path: str):
     """text -> ids, made once in a Python worker, for the tokenizer file ``path`` (byte-level BPE of the tokenizers library, no special tokens added).
 
     The merges of such a file, taken as ranks, are the same coder that tiktoken runs, several times
-    faster; texts that hold the start of a special token's string are left to the tokenizers library.
+    faster. The file is checked for that; else, and for texts that hold the string of a special token or a very
+    long run of white space, the tokenizers library does the work.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -45,23 +69,22 @@ def byte_bpe(path: str):
         model = json.load(f)
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
-    ranks = {bytes(byte[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if all(c in byte for c in token)}
     special = [x["content"] for x in model["added_tokens"]]
-    ranks = {k: v for k, v in ranks.items() if k.decode("utf-8", "replace") not in special}
-    # fixed value: the pattern of byte-level pre-tokenisation
-    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     slow: list[Tokenizer] = []  # loaded only when a text asks for it
 
-    def encode(text: str) -> list[int]:
-        if any(x in text for x in special):
-            if not slow:
-                slow.append(Tokenizer.from_file(path))
-                slow[0].encode_special_tokens = True
-            return slow[0].encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
+    def library(text: str) -> list[int]:
+        if not slow:
+            slow.append(Tokenizer.from_file(path))
+            slow[0].encode_special_tokens = True
+        return slow[0].encode(text, add_special_tokens=False).ids
 
-    return encode
+    if not merges_are_ranks(model, byte):
+        return library
+    ranks = {bytes(byte[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in special}
+    # fixed value: the pattern of byte-level pre-tokenisation
+    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: library(text) if any(x in text for x in special) or _has_long_gap(text) else fast.encode_ordinary(text)
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -154,42 +177,34 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def _placed(rows: np.ndarray):
-    """Adds sequence_id and offset to (id, piece, start, length, ids_crc32, rank)."""
-    key = rows[:, 0] << 44 | rows[:, 1]
-    order = np.argsort(key)
-    rows, key = rows[order], key[order]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
-            own = rows[np.searchsorted(key, length << 44 | rank, "right") - 1] if batch.num_rows else rows[:0]
-            place, within = np.divmod(rank - own[:, 1], np.maximum(own[:, 4], 1))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(5)), pa.array(own[:, 3] + place, pa.int64()), pa.array(own[:, 5] + within * length, pa.int64())],
-                names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-            )
-
-    return run
-
-
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per piece: ``(id, piece, start, length, ids_crc32, sequence_id, offset)``."""
-    texts = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    pieces = stored(texts.mapInArrow(_pieces(tokenizer, capacity, end_id), "id long, piece int, start long, length long, ids_crc32 long"))
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    groups = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    # at most capacity * SALTS rows
-    counted = sorted((r["length"], r["salt"], r["n"]) for r in groups.collect())
-    counts: dict[int, int] = defaultdict(int)
-    before = []
-    for length, salt, n in counted:
-        before.append((length, salt, counts[length]))
-        counts[length] += n
     spark = docs.sparkSession
-    before = spark.createDataFrame(before or [(0, 0, 0)], "length long, salt int, before long")
-    window = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("own", F.row_number().over(window)).join(F.broadcast(before), ["length", "salt"])
-    ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("own") - 1 + F.col("before")).alias("rank"))
+    texts = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    pieces = texts.mapInArrow(_pieces(tokenizer, capacity, end_id), "id long, piece int, start long, length long, ids_crc32 long")
+    pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()))
+    columns = ["id", "piece", "start", "length", "ids_crc32"]
+    # a full piece is a sequence of its own: nothing to plan
+    full = pieces.where(F.col("length") == capacity).select(*columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    short = pieces.where(F.col("length") < capacity)
+    counted = short.groupBy("length").agg(F.count("*").alias("n"))
+    counts = {r["length"]: r["n"] for r in counted.collect()}  # fewer than ``capacity`` rows
+    # ranks: each length is dealt in as many groups as it needs, and a group begins where those before it end
+    salts = F.ceil(F.col("n") / SALT_PIECES).cast("long")
+    dealt = short.join(F.broadcast(counted.select(F.col("length").alias("of"), salts.alias("salts"))), F.col("length") == F.col("of"))
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts"))).drop("of", "salts")
+    groups = dealt.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.select(F.col("length").alias("g_length"), F.col("salt").alias("g_salt"), before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row"))
+    ranked = dealt.withColumn("own", own).join(groups, (F.col("length") == F.col("g_length")) & (F.col("salt") == F.col("g_salt")))
+    ranked = ranked.select(*columns, (F.col("own") - 1 + F.col("before")).alias("rank"))
+    # the plan as a table: a row for every RANKS ranks that it covers, so that pieces find theirs by an equi-join
     rows = np.array(plan(counts, capacity), np.int64).reshape(-1, 6)
-    return ranked.mapInArrow(_placed(rows), "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    names = ["p_length", "first", "pieces", "first_bin", "per", "base"]
+    planned = stored(spark.createDataFrame(pa.table([pa.array(rows[:, k]) for k in range(6)], names=names)))
+    spread = planned.withColumn("block", F.explode(F.expr(f"sequence(first div {RANKS}, (first + pieces - 1) div {RANKS})")))
+    fits = (F.col("length") == F.col("p_length")) & (F.expr(f"rank div {RANKS}") == F.col("block")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("pieces"))
+    place = F.col("rank") - F.col("first")
+    placed = ranked.join(spread, fits).select(*columns, (F.col("first_bin") + F.floor(place / F.col("per"))).alias("sequence_id"), (F.col("base") + place % F.col("per") * F.col("length")).alias("offset"))
+    return placed.union(full)

@@ -367,6 +367,48 @@ def test_packing_odd_rows(documents):
     assert packing.pack(documents([]), path).count() == 0
 
 
+def test_packing_very_long_runs(documents):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder = Tokenizer.from_file(path)
+    docs = [(1, " " * 2_000_000), (2, "a" * 2_000_000), (3, "x\n" + "\n" * 60_000 + " y"), (4, "y " * 60_000), (None, "same"), (None, "same")]
+    rows = packing.pack(documents(docs), path).collect()
+    for i, t in docs[:4]:
+        ids, at = np.array([*coder.encode(t, add_special_tokens=False).ids, 0], "<u4"), 0
+        for r in sorted((r for r in rows if r["id"] == i), key=lambda r: r["piece"]):
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    full = [r["sequence_id"] for r in rows if r["length"] == 2048]
+    assert len(full) == len(set(full)) > 1000 and not set(full) & {r["sequence_id"] for r in rows if r["length"] < 2048}
+    assert sum(r["id"] is None for r in rows) == 2
+
+
+def test_packing_of_many_equal_pieces(documents, monkeypatch):
+    monkeypatch.setattr(packing, "SALT_PIECES", 50)
+    rng = random.Random(81)
+    docs = [(k, " ".join(["a"] * rng.choice([700, 700, 700, 300, 5]))) for k in range(900)]
+    rows = packing.pack(documents(docs), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in bins.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))]
+    assert len(rows) == 900 and sorted(2048 - sum(n for _, n in own) for own in bins.values()) == naive_bins([r["length"] for r in rows], 2048)
+
+
+def test_merges_must_be_ranks():
+    import json
+
+    model = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    byte = {c: 0 for c in model["model"]["vocab"] if len(c) == 1 and model["model"]["vocab"][c] < 256}
+    assert packing.merges_are_ranks(model, byte)
+    assert not packing.merges_are_ranks(model | {"normalizer": {"type": "NFC"}}, byte)
+    assert not packing.merges_are_ranks(model | {"pre_tokenizer": {"type": "Whitespace"}}, byte)
+    assert not packing.merges_are_ranks(model | {"model": model["model"] | {"merges": model["model"]["merges"][::-1]}}, byte)
+
+
 # byte-level BPE
 
 
