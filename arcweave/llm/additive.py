@@ -10,14 +10,15 @@ Every row is indexed and every query meets every code: codes are held in groups
 queries stream past them in parts, so memory is bounded, and only each part's best lists move on.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
-part, nor do those whose length isn't the commonest one (ties: the larger); rows with a null id take no
-part; rows that repeat an id are one candidate (the one that scores best) and never a neighbour of
-that id. Ties go to the smaller id. Other columns are ignored.
+part, nor do rows with a null id; vectors of different lengths have no inner product, so each length
+has an index of its own; rows that repeat an id are one candidate (the one that scores best) and never a
+neighbour of that id; an id that asks with several vectors asks with one of them for each length. Ties go to the smaller id. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -185,14 +186,29 @@ def search(vectors: DataFrame, is_query, k: int = 20, rerank: int = 256, sample:
     vector = F.col(vector_column).cast("array<double>")
     fit = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(vector, lambda x: x != 0) & F.col(id_column).isNotNull()
     own = vectors.where(F.coalesce(fit, F.lit(False))).select(F.col(id_column).cast("long").alias("vec_id"), vector.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    sizes = own.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("asking")).orderBy(F.desc("n"), F.desc("size")).first()
-    if sizes is None:
+    # one row for each length that occurs
+    lengths = own.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("asking")).where("asking > 0").orderBy("size").collect()
+    scored = [_scored(own.where(F.size("vector") == size), size, n, asking, rerank, sample) for size, n, asking in lengths]
+    if not scored:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size, n, asking = sizes
-    own = own.where(F.size("vector") == size)
-    limit = own.select(F.xxhash64("vec_id").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    fitted = own.where(F.xxhash64("vec_id") <= limit).select("vec_id", "vector").toPandas().sort_values("vec_id", kind="stable")
-    books = train(np.stack(fitted["vector"].tolist()[: 2 * sample]))
+    scored = reduce(DataFrame.union, scored).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def sampled(own: DataFrame, sample: int) -> np.ndarray:
+    """At most ``sample`` distinct vectors, those with the smallest hashes of id and vector, in one order."""
+    by = F.xxhash64("vec_id", "vector")
+    limit = own.select(by.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    # repeated rows have equal hashes; they are dropped before anything moves to the driver
+    fitted = own.where(by <= limit).groupBy("vec_id", "vector").agg(F.lit(1)).select("vec_id", "vector").toPandas()
+    rows = sorted(zip(fitted["vec_id"].tolist(), map(tuple, fitted["vector"].tolist())))
+    return np.array([v for _, v in rows])
+
+
+def _scored(own: DataFrame, size: int, n: int, asking: int, rerank: int, sample: int) -> DataFrame:
+    """``(query_id, vec_id, score)`` with exact scores of the ``rerank`` best rows of each query, all vectors being of one length."""
+    books = train(sampled(own, sample))
     groups, parts = -(-n // GROUP), max(1, -(-asking // QUERIES))
     codes = own.select("vec_id", "vector").mapInArrow(_index(books, groups, parts), _PACK)
     asks = own.where("asks").dropDuplicates(["vec_id"]).select("vec_id", "vector")
@@ -207,6 +223,4 @@ def search(vectors: DataFrame, is_query, k: int = 20, rerank: int = 256, sample:
         groups = -(-groups // 64)
     near = stored(best.select("query_id", F.explode("best").alias("c")).select("query_id", (-F.col("c.back")).alias("vec_id")).distinct())
     pairs = near.join(own.select(F.col("vec_id"), F.col("vector").alias("v")), "vec_id").join(asks.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q")), "query_id")
-    scored = pairs.select("query_id", "vec_id", "q", "v").mapInArrow(_exact(size), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.select("query_id", "vec_id", "q", "v").mapInArrow(_exact(size), "query_id long, vec_id long, score double")

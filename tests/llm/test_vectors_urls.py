@@ -100,6 +100,29 @@ def test_search_few_and_none(vectors):
     assert additive.search(vectors(ODD[:7]), F.lit(True)).count() == 0
 
 
+def test_search_of_several_lengths(vectors):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((30, 2)).astype(np.float32), rng.standard_normal((20, 3)).astype(np.float32)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)] + [(100 + k, v.tolist(), 0) for k, v in enumerate(y)]
+    found = {}
+    for r in additive.search(vectors(rows), F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for q in (0, 20, 100):
+        own, at = (x, q) if q < 100 else (y, q - 100)
+        score = own.astype(float) @ own[at].astype(float)
+        want = [int(i) + q - at for i in np.lexsort((np.arange(len(own)), -score)) if i != at][:20]
+        assert [found[q][k] for k in sorted(found[q])] == want
+    assert sorted(found) == [0, 20, 100]
+
+
+def test_sample_is_bounded_in_rows(vectors):
+    rows = [(k % 3, [float(k % 50), 1.0], 0) for k in range(600)]
+    own = vectors(rows).selectExpr("vec_id", "cast(embedding as array<double>) as vector")
+    assert len(additive.sampled(own, 40)) <= 40
+
+
 URLS = [
     (1, "https://a.example.net/en/1", "example.net/en/", "allow"), (2, "https://a.example.net/de/1", "net/", "block"), (3, "HTTP://A.Example.COM/de/x?y", "example.com/de/", "block"), (4, "x://notexample.com/de/", None, "allow"),
     (5, "https://q.org/fr/", "org/fr/", "allow"), (6, "https://b.net", None, "allow"), (7, None, None, "allow"), (8, "no scheme", None, "allow"), (9, "", None, "allow"), (10, "a://net/", "net/", "block"), (11, "a://b://c.net/x#y", None, "allow"),
