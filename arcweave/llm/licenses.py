@@ -1,15 +1,17 @@
 """License scan with a positional rare-token index.
 
-Templates are short licence notices. The index holds, for each template, the positions of its
-rarest words; rarity is the inverse document frequency of the template words, counted over all
-documents. For each file the rarest indexed words that it contains are looked up; every
-occurrence votes for the place where the template would have to begin, so the postings of several
-words are intersected by relative position. A place with enough votes is verified: the mandatory key
-phrases must stand there word for word, and the share of template words found in place is the
-score. Base phrases are templates that must match in full.
+Templates are licence texts and the short notices that stand for them; in each some key phrases are
+mandatory. The index holds the positions of the words of those phrases. For each file its licence words are
+looked up from the highest inverse document frequency (counted over all documents) down. The
+first word of a template gives the places where the template would have to begin, the next ones are
+intersected with them by relative position; a template that lacks one of its words in the file is never
+placed. At each place that is left the key phrases must stand word for word, and the share (by inverse
+document frequency) of template words found in place is the score. Base phrases are templates
+that must match in full.
 
 Defined results: a null text is empty; a text without words has no labels, places or score (0.0);
 repeated rows and null ids are scanned like any other row; ties of rarity go by the word itself.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,25 +27,78 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-# The word pattern, the base phrases and the notices below, as they are worded in public licences.
+# The word pattern, the base phrases, and the public texts and notices below.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: label -> notices; the words in brackets are the mandatory key phrases of a notice.
+_NO_WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose"
+_BSD_HEAD = "[redistribution and use in source and binary forms] with or without modification [are permitted] provided that the following conditions are met"
+_BSD_TERMS = (
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+    " redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+#: label -> whole texts and notices; the words in brackets are the mandatory key phrases.
 NOTICES = {
-    "apache-2.0": ["licensed under the [apache license version 2 0]", "you may obtain a copy of the license at http www [apache org licenses] license 2 0"],
-    "bsd": ["[redistribution and use in source and binary forms] with or without modification [are permitted] provided that the following conditions are met"],
+    "apache-2.0": [
+        "licensed under the [apache license version 2 0]",
+        "you may obtain a copy of the license at http www [apache org licenses] license 2 0",
+        "licensed under the [apache license version 2 0] the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www [apache org licenses] license 2 0"
+        " unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
+        " see the license for the specific language governing permissions and limitations under the license",
+    ],
+    "bsd": [
+        _BSD_HEAD,
+        f"{_BSD_HEAD} 1 {_BSD_TERMS.replace(' redistributions in', ' 2 redistributions in')}",
+        f"{_BSD_HEAD} {_BSD_TERMS} neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
+    "bsl-1.0": [
+        "[boost software license version 1 0]",
+        "[permission is hereby granted free of charge to any person or organization] obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software",
+    ],
     "cc-by": ["licensed under [cc by] 4 0", "licensed under the [creative commons attribution] 4 0 international license"],
     "cc-by-nc": ["licensed under [cc by nc] 4 0", "licensed under the [creative commons attribution noncommercial] 4 0 international license"],
     "cc-by-sa": ["licensed under [cc by sa] 4 0", "licensed under the [creative commons attribution sharealike] 4 0 international license"],
     "cc0": ["[cc0 1 0] universal public domain dedication", "to the extent possible under law the author has [waived all copyright]"],
-    "gpl-2.0": ["licensed under the gnu [general public license version 2]"],
-    "gpl-3.0": ["licensed under the gnu [general public license version 3]", "under the terms of the gnu [general public license] as published by the free software foundation either [version 3] of the license"],
-    "isc": ["[permission to use copy modify and or distribute this software] for any purpose with or without fee is hereby granted"],
-    "lgpl": ["licensed under the gnu [lesser general public license]"],
-    "mit": ["released under the [mit license]", "[permission is hereby granted free of charge] to any person obtaining a copy of this software"],
-    "mpl-2.0": ["this source code form is subject to the terms of the [mozilla public license] v 2 0"],
+    "gpl-2.0": [
+        "licensed under the gnu [general public license version 2]",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu [general public license] as published by the free software foundation either [version 2] of the license or at your option any later version",
+    ],
+    "gpl-3.0": [
+        "licensed under the gnu [general public license version 3]",
+        "under the terms of the gnu [general public license] as published by the free software foundation either [version 3] of the license",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu [general public license] as published by the free software foundation either [version 3] of the license or at your option any later version"
+        " this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    ],
+    "isc": [
+        "[permission to use copy modify and or distribute this software] for any purpose with or without fee is hereby granted",
+        "[permission to use copy modify and or distribute this software] for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+        " the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"
+        " in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits"
+        " whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ],
+    "lgpl": [
+        "licensed under the gnu [lesser general public license]",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu [lesser general public license] as published by the free software foundation",
+    ],
+    "mit": [
+        "released under the [mit license]",
+        "[permission is hereby granted free of charge] to any person obtaining a copy of this software",
+        "[permission is hereby granted free of charge] to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"
+        " and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+        f" {_NO_WARRANTY} and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ],
+    "mpl-2.0": [
+        "this source code form is subject to the terms of the [mozilla public license] v 2 0",
+        "this source code form is subject to the terms of the [mozilla public license] v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    ],
     "proprietary": ["[all rights reserved] unauthorized copying of this file via any medium is strictly prohibited"],
-    "unlicense": ["this is free and unencumbered software [released into the public domain]"],
+    "unlicense": [
+        "this is free and unencumbered software [released into the public domain]",
+        "this is free and unencumbered software [released into the public domain] anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ],
+    "zlib": [
+        "[this software is provided as is without any express or implied warranty in no event will the authors be held liable] for any damages arising from the use of this software"
+        " permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    ],
 }
 
 
@@ -68,47 +123,58 @@ def _template(text: str) -> tuple[list[str], list[tuple[int, int]]]:
 
 
 class Index:
-    """Postings word -> [(template, position)] of each template's rarest words, given document frequencies."""
+    """Postings word -> [(template, position)] of the words of mandatory phrases, given document frequencies."""
 
     def __init__(self, notices: dict[str, list[str]], base: dict[str, str], documents: int, frequency: dict[str, int], rarest: int = 4, least_share: float = 0.7):
-        self.least_share = least_share
+        self.rarest, self.least_share = rarest, least_share
         self.templates = [(label, *_template(n), False) for label, many in sorted(notices.items()) for n in many]
         self.templates += [(label, *_template(f"[{phrase}]"), True) for phrase, label in sorted(base.items())]
         self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) for t in self.templates for w in t[1]}
-        self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        self.need = []
-        for k, (_, words, _, exact) in enumerate(self.templates):
-            rare = sorted(set(words), key=lambda w: (-self.idf[w], w))[:rarest]
-            if exact:
-                rare = rare[:1]
-            at = [(w, p) for p, w in enumerate(words) if w in rare]
-            for w, p in at:
-                self.postings[w].append((k, p))
-            self.need.append(max(1, math.ceil(self.least_share * len(at))))
+        self.postings: dict[str, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.mandatory = []
+        for k, (_, words, phrases, _) in enumerate(self.templates):
+            for a, b in phrases:
+                for p in range(a, b):
+                    self.postings[words[p]][k].append(p)
+            self.mandatory.append({w for a, b in phrases for w in words[a:b]})
+        self.order = {w: at for at, w in enumerate(sorted(self.postings, key=lambda w: (-self.idf[w], w)))}
+        self.postings = {w: dict(own) for w, own in self.postings.items()}
+
+    def places(self, words: list[str]) -> dict[int, set[int]]:
+        """template -> where it may begin: the file's licence words, highest inverse document frequency first, intersected by relative position."""
+        at: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in self.postings:
+                at.setdefault(w, []).append(i)
+        out: dict[int, set[int]] = {}
+        looked: Counter = Counter()
+        for w in sorted(at, key=self.order.__getitem__):
+            for k, positions in self.postings[w].items():
+                if looked[k] == self.rarest or (k in out and not out[k]) or not self.mandatory[k] <= at.keys():
+                    continue
+                looked[k] += 1
+                starts = {i - p for i in at[w] for p in positions if i >= p}
+                out[k] = out[k] & starts if k in out else starts
+        return out
 
     def scan(self, words: list[str]) -> tuple[list[int], set[str], set[str], float]:
         """Base places, base labels, labels of the method, best score."""
-        postings = self.postings
-        votes: Counter = Counter()
-        for i, w in enumerate(words):
-            if w in postings:
-                for k, p in postings[w]:
-                    votes[k, i - p] += 1
-        places, base, labels, best = [], set(), set(), 0.0
-        for (k, at), n in votes.items():
+        found, base, labels, best = [], set(), set(), 0.0
+        for k, starts in self.places(words).items():
             label, own, phrases, exact = self.templates[k]
-            if at < 0 or n < self.need[k] or not all(words[at + a : at + b] == own[a:b] for a, b in phrases):
-                continue
-            if exact:
-                places.append(at)
-                base.add(label)
-                best = 1.0
-                continue
-            share = sum(self.idf[w] for w, x in zip(own, words[at : at + len(own)]) if w == x) / (sum(self.idf[w] for w in own) or 1.0)
-            if share >= self.least_share:
-                labels.add(label)
-                best = max(best, share)
-        return places, base, labels, min(best, 1.0)
+            for at in starts:
+                if not all(words[at + a : at + b] == own[a:b] for a, b in phrases):
+                    continue
+                if exact:
+                    found.append(at)
+                    base.add(label)
+                    best = 1.0
+                    continue
+                share = sum(self.idf[w] for w, x in zip(own, words[at : at + len(own)]) if w == x) / (sum(self.idf[w] for w in own) or 1.0)
+                if share >= self.least_share:
+                    labels.add(label)
+                    best = max(best, share)
+        return found, base, labels, min(best, 1.0)
 
 
 def _frequency(vocabulary: frozenset[str]):

@@ -244,6 +244,50 @@ def test_licences_against_brute_force(documents):
         assert 0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
 
 
+def brute_labels(words, idf, least=0.7):
+    """Labels and the best score by trying every template at every place."""
+    labels, best = set(), 0.0
+    for label, many in licenses.NOTICES.items():
+        for text in many:
+            own, keys, inside = [], [], False
+            for part in text.split():
+                inside = inside or part.startswith("[")
+                own.append(part.strip("[]"))
+                keys.append(inside)
+                inside = inside and not part.endswith("]")
+            for at in range(len(words)):
+                seen = words[at : at + len(own)] + [None] * max(0, at + len(own) - len(words))
+                if all(x == w for x, w, key in zip(seen, own, keys) if key):
+                    share = sum(idf[w] for x, w in zip(seen, own) if x == w) / sum(idf[w] for w in own)
+                    if share >= least:
+                        labels.add(label)
+                        best = max(best, share)
+    return labels, best
+
+
+def test_whole_licence_texts_against_brute_force(documents):
+    rng = random.Random(61)
+    texts = [n.replace("[", "").replace("]", "") for many in licenses.NOTICES.values() for n in many]
+    docs = []
+    for k, t in enumerate(texts * 3):
+        words = t.split()
+        for _ in range(rng.choice([0, 1, len(words) // 8, len(words) // 3])):
+            words[rng.randrange(len(words))] = rng.choice(["license", "odd", "the"])
+        docs.append((k, f"{prose(rng, 20)} {' '.join(words)} {prose(rng, 15)} {rng.choice(texts)[:60] if k % 4 == 0 else ''}"))
+    docs += [(900 + k, prose(rng, 50)) for k in range(20)]
+    found = {r["id"]: r for r in licenses.license_scan(documents(docs)).collect()}
+    split = {i: licenses.words_of(t) for i, t in docs}
+    vocabulary = {w.strip("[]") for many in licenses.NOTICES.values() for n in many for w in n.split()} | {w for p in licenses.BASE for w in p.split()}
+    idf = {w: math.log((len(docs) + 1) / (sum(w in own for own in map(set, split.values())) + 1)) for w in vocabulary}
+    for i, words in split.items():
+        labels, best = brute_labels(words, idf)
+        base = set(filter(None, found[i]["base_labels"].split(",")))
+        assert set(filter(None, found[i]["labels"].split(","))) == labels | base, docs[i]
+        assert found[i]["score"] == (1.0 if base else pytest.approx(min(best, 1.0)))
+    labelled = [found[k]["labels"] for k in range(len(texts))]
+    assert sum(map(bool, labelled)) > len(texts) * 0.6
+
+
 def test_licences_odd_rows(documents):
     rows = licenses.license_scan(documents(odd(), **CLASH)).collect()
     assert len(rows) == 9 and {(r["n_words"], r["labels"], r["score"]) for r in rows if r["id"] in (1, 2, 3)} == {(0, "", 0.0)}
