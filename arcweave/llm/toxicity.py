@@ -2,7 +2,7 @@
 
 Features are hashed character n-grams of the distinct lower-cased words of a text. Training uses at
 most ``most_rows`` labelled rows, those with the smallest hashed ids, so their ids can be broadcast and
-no text is shuffled. Log-count ratios r come from counts over them (aggregated on the executors to
+no text is shuffled; ``most_cells`` bounds what the regression holds. Log-count ratios r come from counts over them (aggregated on the executors to
 ``BUCKETS`` pairs of numbers), then a logistic regression on the scaled features f * r is fitted. A score is the sigmoid of
 bias + sum over distinct words of the word's weight, so scoring needs one dictionary look-up a word.
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches
+from .common import mix64, small_batches, stored
 
 BUCKETS, SIZES = 1 << 18, (3, 4, 5)
 
@@ -70,16 +70,18 @@ def _vectors(useful: np.ndarray):
                 part = batch.slice(at, 200)
                 own = [_features(t.as_py()) for t in part.column(2)]
                 own = [(place[b[place[b] >= 0]], n[place[b] >= 0].astype(np.int32)) for b, n in own]
-                columns = [part.column(1), *(pa.array([x[k].tobytes() for x in own], pa.binary()) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays(columns, names=["label", "buckets", "counts"])
+                columns = [part.column(1), *(pa.array([x[k].tobytes() for x in own], pa.binary()) for k in (0, 1)), pa.array([len(x[0]) for x in own], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["label", "buckets", "counts", "cells"])
 
     return run
 
 
-def fit(train: DataFrame, steps: int = 200, least_ratio: float = 0.5, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(train: DataFrame, steps: int = 200, least_ratio: float = 0.5, ridge: float = 1e-4, most_cells: int = 20_000_000) -> tuple[np.ndarray, float]:
     """``train(id, label int, text)`` -> bucket weights (already times r) and the bias.
 
-    Buckets whose log-count ratio is under ``least_ratio`` in size carry next to nothing and get no weight.
+    Buckets whose log-count ratio is under ``least_ratio`` in size carry next to nothing and get no weight. Ratios
+    come from all of ``train``; the regression's rows go to the driver, in the order of a hash of their features
+    as long as they hold ``most_cells`` features at most, which bounds the memory however long the texts are.
     """
     train = train.where("id is not null and label in (0, 1)").select("id", F.col("label").cast("int").alias("label"), "text")
     summed = train.mapInArrow(_counts, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -93,7 +95,12 @@ def fit(train: DataFrame, steps: int = 200, least_ratio: float = 0.5, ridge: flo
     ratio = np.log((seen[1] + 1) / (rows[1] + 2)) - np.log((seen[0] + 1) / (rows[0] + 2))
     ratio[np.abs(ratio) < least_ratio] = 0
     useful = np.flatnonzero(ratio)
-    sample = train.mapInArrow(_vectors(useful), "label int, buckets binary, counts binary").toPandas()
+    vectors = stored(train.mapInArrow(_vectors(useful), "label int, buckets binary, counts binary, cells long").withColumn("h", F.xxhash64("label", "buckets", "counts")))
+    sizes = vectors.groupBy("h").agg(F.sum("cells").alias("cells")).orderBy("h").collect()
+    room = np.searchsorted(np.cumsum([r["cells"] for r in sizes]), most_cells, "right")
+    if room < len(sizes):
+        vectors = vectors.where(F.col("h") < sizes[max(room, 1)]["h"])
+    sample = vectors.select("label", "buckets", "counts").toPandas()
     sample = sample.sort_values(["label", "buckets", "counts"], kind="stable")  # summation in one order
     y = sample["label"].to_numpy().astype(float)
     buckets = [np.frombuffer(x, np.int32) for x in sample["buckets"]]
@@ -143,13 +150,23 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], id_column:
 
 
 def toxic_labels(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Training rows ``(id, label, text)``: those of ``docs`` that are among the ``most_rows`` rows of ``labels(doc_id, toxic)`` with the smallest hashed ids.
+    """Training rows ``(id, label, text)``: at most ``most_rows`` of ``docs``, those of the labelled ids with the smallest hashes.
 
-    An id labelled twice takes its larger label. The sample is the same however the tables are partitioned.
+    An id labelled twice takes its larger label; one that occurs in several rows brings them all, and is left out if
+    they don't fit. The sample is the same however the tables are partitioned.
     """
     said = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("label"))
-    said = said.orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    return small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).join(F.broadcast(said), "id").select("id", "label", "text")
+    said = said.orderBy(F.xxhash64("id"), "id").limit(most_rows).withColumn("h", F.xxhash64("id"))
+    own = F.col(id_column).cast("long").alias("id")
+    # at most ``most_rows`` ids; rows are counted by the id column alone
+    found = docs.select(own).join(F.broadcast(said), "id").groupBy("id", "label", "h").agg(F.count("*").alias("rows")).orderBy("h", "id").collect()
+    chosen, left = [], most_rows
+    for r in found:
+        if r["rows"] <= left:
+            chosen.append((r["id"], r["label"]))
+            left -= r["rows"]
+    said = docs.sparkSession.createDataFrame(chosen, "id long, label int")
+    return small_batches(docs).select(own, F.col(text_column).alias("text")).join(F.broadcast(said), "id").select("id", "label", "text")
 
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7, text_column: str = "text") -> DataFrame:

@@ -213,6 +213,58 @@ def test_toxicity_on_held_out_rows(spark, documents):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.where("doc_id >= 400").collect()} == {k for k in range(400, 600) if k % 5}
 
 
+def plain_bucket(gram):
+    """The bucket of one n-gram in plain integers."""
+    mask, x = 2**64 - 1, 0
+    for c in gram:
+        x = (x * 1_000_003 + ord(c)) & mask
+    x = (x + len(gram)) & mask
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = ((x ^ x >> 33) * factor) & mask
+    return (x ^ x >> 33) % toxicity.BUCKETS
+
+
+def test_toxicity_against_brute_force(spark, documents):
+    rng = random.Random(51)
+    docs = [(k, prose(rng, rng.randint(0, 25)) + (f" Zgr\u00f6mp{rng.choice('abc')}" if k % 4 == 0 else "")) for k in range(120)]
+    said = {k: int(k % 4 == 0) for k in range(80)}
+    labels = spark.createDataFrame(list(said.items()), "doc_id long, toxic int")
+    df = documents(docs)
+    found = {r["id"]: r["score"] for r in toxicity.score_toxicity(df, toxicity.fit(toxicity.toxic_labels(df, labels))).collect()}
+    features = {}
+    for i, t in docs:
+        features[i] = Counter(plain_bucket(f"<{w}>"[a : a + n]) for w in set(t.lower().split()) for n in (3, 4, 5) for a in range(len(w) + 2 - n + 1))
+    rows = [Counter(), Counter()]
+    size = [sum(v == c for v in said.values()) for c in (0, 1)]
+    for i, c in said.items():
+        rows[c].update(set(features[i]))
+    ratio = {b: math.log((rows[1][b] + 1) / (size[1] + 2)) - math.log((rows[0][b] + 1) / (size[0] + 2)) for b in {*rows[0], *rows[1]}}
+    useful = sorted(b for b, r in ratio.items() if abs(r) >= 0.5)
+    x = np.array([[features[i][b] * ratio[b] for b in useful] for i in said])
+    y = np.array(list(said.values()), float)
+    w = np.zeros(len(useful) + 1)
+    w[-1] = math.log((size[1] + 1) / (size[0] + 1))
+    mean, square = np.zeros_like(w), np.zeros_like(w)
+    for k in range(1, 201):
+        off = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y
+        slope = np.append(x.T @ off / len(y) + 1e-4 * w[:-1], off.mean())
+        mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
+        w = w - 0.05 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
+    for i, t in docs:
+        z = w[-1] + sum(features[i][b] * ratio[b] * w[k] for k, b in enumerate(useful))
+        assert found[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+
+
+def test_toxicity_samples_are_bounded(spark, documents):
+    docs = [(k // 4, f"word{k} other{k % 7}") for k in range(200)] + [(99, "many rows")] * 60
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)] + [(99, 1)], "doc_id long, toxic int")
+    rows = toxicity.toxic_labels(documents(docs), labels, most_rows=42).collect()
+    assert len(rows) == 40 and all(sum(r["id"] == i for r in rows) == 4 for i in {r["id"] for r in rows})
+    train = toxicity.toxic_labels(documents(docs), labels)
+    weights, bias = toxicity.fit(train, least_ratio=0.01, most_cells=100)
+    assert weights.any() and math.isfinite(bias)
+
+
 def test_toxicity_odd_rows(spark, documents):
     labels = spark.createDataFrame([(4, 1), (4, 0), (5, 0), (None, 1), (1, 0), (2, None)], "doc_id long, toxic int")
     df = documents(odd(), **CLASH)
