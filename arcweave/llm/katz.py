@@ -1,16 +1,20 @@
-"""Language-model scoring: a bigram model with Katz backoff and Good-Turing discounts.
-
-Recursion for each token: a bigram seen in training has its discounted relative frequency; any other has
-the history's backoff weight times the unigram probability, and an unseen word the mass that the
-unigram discounts leave (one unknown type). Backoff weights are exact: the mass that a history's
-discounts leave, over the unigram mass of what it wasn't seen with, so each history sums to one.
-
-Texts are tokenised once into batches of a bounded number of tokens. A batch asks the partition of
-each word once, however often it holds it, and then each partition of bigrams once for each
-of its distinct bigrams; counts never travel per token. The tables are spread by the hash of the
-word or history. Histories with more than a thousandth of all tokens (a thousand at most) are spread
-by the following word as well; their backoff sums are added up and go to every partition. Words are
-known by 64-bit hashes, followers of a history by 48 bits.
+"""Language-model scoring: an n-gram model with Katz backoff and Good-Turing discounts.
+
+Recursion for each token, from the longest history (``order`` - 1 words) down: an n-gram seen in training has its
+discounted relative frequency; any other has its history's backoff weight times the probability with a
+history that is a word shorter, and an unseen word the mass that the unigram discounts leave (one unknown
+type). Backoff weights are exact: the mass that a history's discounts leave, over the lower-order mass
+of what it wasn't seen with, so each history sums to one. A history that wasn't seen weighs one.
+
+Texts are tokenised once into batches of a bounded number of tokens. Then each order is one exchange: a
+batch asks the part of the n-gram table that owns a history once for each of its distinct n-grams, with
+their training counts; the part adds up the counts of all batches, keeps them as its rows of the table, and answers
+with the sums and with what the backoff weights of the histories need. N-grams are pairs of numbers that the
+orders below have given out, (history, word), so nothing but words is known by a hash (of 64 bits).
+The sum of the lower-order probabilities that a backoff weight needs is made from counts that come with the
+question, as whatever follows a history has been seen after the shorter one as well. Histories with more
+than a thousandth of all tokens (a thousand at most) are spread by the following word; the sums of their
+parts are added up and go to every batch.
 
 Defined results: a null text is empty; an empty text is the end token alone; without training tokens
 everything has probability one; counts of counts that Good-Turing can't use give way to one pseudo-count
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
@@ -70,14 +75,28 @@ def unigram_logs(count: np.ndarray, total: int, seen: np.ndarray) -> np.ndarray:
 
 
 def _zip(x: np.ndarray) -> bytes:
-    """Compressed by planes of bytes: the high bytes of small numbers take next to nothing."""
-    raw = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Numbers that aren't negative, compressed by planes of bytes: the high bytes of small ones take next to nothing."""
+    most = int(x.max(initial=0))
+    size = next(k for k in (1, 2, 4, 8) if most < 256**k)
+    raw = np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(len(x), size).T).tobytes()
+    return bytes([size]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unzip(raw: bytes) -> np.ndarray:
+    size = raw[0]
+    flat = np.frombuffer(pa.decompress(raw[9:], int.from_bytes(raw[1:9], "little"), codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, -1).T).view(f"<u{size}").ravel().astype(np.int64)
 
 
-def _unzip(raw: bytes, kind) -> np.ndarray:
-    flat = np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+def _zip_sorted(x: np.ndarray) -> bytes:
+    """Numbers that mostly rise, by their steps; a step down is an odd number."""
+    step = np.diff(x, prepend=0)
+    return _zip(step << 1 ^ step >> 63)
+
+
+def _unzip_sorted(raw: bytes) -> np.ndarray:
+    step = _unzip(raw)
+    return np.cumsum(step >> 1 ^ -(step & 1))
 
 
 class _Places(dict):
@@ -106,7 +125,7 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = np.fromiter((END if w is None else xxhash.xxh3_64_intdigest(w) for w in local), np.uint64, len(local))[order]
         flat = rank[flat]
         counts = np.bincount(flat[np.repeat(kept, n)], minlength=len(order))
-        values = [place << 32 | k, list(ids), kept.tobytes(), n.tobytes(), _zip(flat.astype(np.uint32)), np.append(hashes, np.uint64(START)).tobytes(), _zip(np.append(counts, kept.sum()).astype(np.uint32)), int(n.sum())]
+        values = [place << 32 | k, list(ids), kept.tobytes(), n.tobytes(), _zip(flat), np.append(hashes, np.uint64(START)).tobytes(), _zip(np.append(counts, kept.sum())), int(n.sum())]
         kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5, pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=names)
 
@@ -134,8 +153,205 @@ def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield value, list(own)
 
 
-_ASK = "part int, batch long, words binary, counts binary"
-_TOLD = "batch long, part int, counts binary, seen array<long>"
+_ASK = "part int, batch long, blobs array<binary>"
+_TOLD = "n int, part int, batch long, blobs array<binary>, sums array<double>, hot array<array<double>>"
+
+
+def _asked(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "batch", "blobs"])
+
+
+def _told(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["n", "part", "batch", "blobs", "sums", "hot"])
+
+
+def _in_parts(to: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order by part, and where each part's items end."""
+    order = np.argsort(to, kind="stable")
+    return order, np.searchsorted(to[order], np.arange(parts + 1))
+
+
+class Model:
+    """What is known of all orders up to one: totals, discounts, and the sums of hot histories."""
+
+    def __init__(self, parts: int, total: int, types: int, seen: np.ndarray):
+        self.parts, self.total, self.types, self.seen = parts, total, types, seen
+        d = discounts(seen)
+        #: by order: discount factors of counts 0..MOST + 1; all ones where Good-Turing can't be used
+        self.discount = {1: d if d.any() else np.ones(MOST + 2)}
+        self.words_below = total + (not d.any())
+        self.hot: dict[int, dict[int, np.ndarray]] = {}
+
+    def learn(self, n: int, seen: np.ndarray, hot: dict[int, np.ndarray]) -> None:
+        d = discounts(seen)
+        self.discount[n], self.hot[n] = d if d.any() else np.ones(MOST + 2), hot
+
+    def is_hot(self, count: np.ndarray) -> np.ndarray:
+        return count * HOT > self.total
+
+
+class _Grams:
+    """The distinct n-grams of one order in a batch, in the order in which they are asked for."""
+
+    count: np.ndarray  # in training, over all batches
+    ids: np.ndarray
+    least: np.ndarray  # of each history, the least count of what follows it (MOST + 1: none is discounted)
+    backoff: np.ndarray  # log10 of each history's backoff weight
+
+    def __init__(self, at: np.ndarray, history: np.ndarray, word: np.ndarray):
+        self.at, self.history, self.word = at, history, word
+
+
+class _Batch:
+    """One batch of tokens and what its answers so far say of its n-grams."""
+
+    def __init__(self, row: dict, model: Model):
+        self.model, self.batch = model, row["batch"]
+        self.sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
+        self.train, self.ids = np.frombuffer(row["train"], bool), row["ids"]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.place = np.arange(self.sizes.sum()) - np.repeat(self.starts, self.sizes)
+        self.learnt = np.repeat(self.train, self.sizes)
+        told: dict[int, list[dict]] = {}
+        for x in row["told"]:
+            told.setdefault(x["n"], []).append(x)
+        self._words(np.frombuffer(row["words"], np.uint64), _unzip(row["tokens"]), told.get(1, []))
+        self.grams: dict[int, _Grams] = {}
+        for n in range(2, max(model.discount) + 1):
+            self.grams[n] = self._find(n)
+            self._hear(n, told.get(n, []))
+
+    def _words(self, words: np.ndarray, tokens: np.ndarray, told: list[dict]) -> None:
+        parts = self.model.parts
+        order = np.lexsort((words, words % np.uint64(parts)))
+        count, ids = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        count[order] = np.concatenate([_unzip(x["blobs"][0]) for x in told])
+        ids[order] = np.concatenate([_unzip(x["blobs"][1]) * parts + x["part"] for x in told])
+        # words are renumbered by their ids; START was the last
+        by = np.argsort(ids)
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        self.count, self.word_ids, self.start, self.tokens = count[by], ids[by], rank[-1], rank[tokens]
+
+    def _history(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts and ids of the (n-1)-grams as histories, and by position the one before it."""
+        if n == 2:
+            before = np.empty(len(self.tokens), np.int64)
+            before[1:] = self.tokens[:-1]
+            before[self.starts] = self.start
+            return self.count, self.word_ids, before
+        g = self.grams[n - 1]
+        before = np.full(len(self.tokens), -1, np.int64)
+        before[1:] = g.at[:-1]
+        before[self.place < n - 2] = -1
+        return g.count, g.ids, before
+
+    def _home(self, n: int, ids: np.ndarray) -> np.ndarray:
+        return (mix64(ids.astype(np.uint64) + np.uint64(n)) % np.uint64(self.model.parts)).astype(np.int64)
+
+    def _find(self, n: int) -> _Grams:
+        """Distinct n-grams by the part, the id and the word of their history; those of unseen histories come last."""
+        count, ids, before = self._history(n)
+        home = self._home(n, ids)
+        home[count == 0] = self.model.parts
+        by = np.lexsort((ids, home))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        there = np.flatnonzero(before >= 0)
+        width = len(self.count)
+        key, inverse = np.unique(rank[before[there]] * width + self.tokens[there], return_inverse=True)
+        at = np.full(len(self.tokens), -1, np.int64)
+        at[there] = inverse
+        history, word = np.divmod(key, width)
+        g = _Grams(at, by[history], word)
+        g.times = np.bincount(inverse[self.learnt[there]], minlength=len(key))
+        # only n-grams of seen histories are asked for
+        g.asked = int(np.searchsorted(key, int((count > 0).sum()) * width))
+        g.to = home[g.history[: g.asked]]
+        hot = self.model.is_hot(count[g.history[: g.asked]])
+        g.to[hot] = (g.to[hot] + (mix64(self.word_ids[g.word[: g.asked][hot]].astype(np.uint64)) % np.uint64(self.model.parts)).astype(np.int64)) % self.model.parts
+        g.order, g.ends = _in_parts(g.to, self.model.parts)
+        return g
+
+    def _rows(self, g: _Grams, part: int) -> tuple[np.ndarray, np.ndarray]:
+        """N-grams asked of a part, and where a history's first one is among them."""
+        own = g.order[g.ends[part] : g.ends[part + 1]]
+        return own, np.flatnonzero(np.diff(g.history[own], prepend=-1))
+
+    def _hear(self, n: int, told: list[dict]) -> None:
+        """Take in the answers to what ``_find`` asks; an order that hasn't been asked yet has none."""
+        g, (count, ids, _) = self.grams[n], self._history(n)
+        g.count, g.ids = np.zeros(len(g.history), np.int64), np.zeros(len(g.history), np.int64)
+        g.least, needs = np.full(len(count), MOST + 1, np.int64), []
+        for x in told:
+            own, head = self._rows(g, x["part"])
+            g.count[own], g.ids[own] = _unzip(x["blobs"][0]), _unzip_sorted(x["blobs"][1]) * self.model.parts + x["part"]
+            names = g.history[own[head]]
+            g.least[names] = _unzip(x["blobs"][2])
+            at = names[_unzip_sorted(x["blobs"][3])]
+            needs.append((at, _unzip(x["blobs"][4]).reshape(MOST, len(at)), np.frombuffer(x["blobs"][5], "<f8")))
+        d = self.model.discount[n]
+        if n in self.model.hot:
+            for name in np.flatnonzero(self.model.is_hot(count)).tolist():
+                if int(ids[name]) in self.model.hot[n]:
+                    sums = self.model.hot[n][int(ids[name])]
+                    g.least[name] = sums[0]
+                    needs.append((np.array([name]), sums[1 : MOST + 1, None], sums[MOST + 1 :]))
+        #: what a history's counts are divided by: one more where nothing is discounted, to leave mass for the rest
+        g.below = count + (d[g.least] >= 1)
+        g.backoff = np.zeros(len(count))
+        for at, of, low in needs:
+            mass = (of * np.arange(1, MOST + 1)[:, None] * (1 - d[1 : MOST + 1, None])).sum(0)
+            left = np.where(d[g.least[at]] >= 1, 1.0, mass) / g.below[at]
+            g.backoff[at] = np.log10(left) - np.log10(1 - low)
+
+    def ask(self, n: int) -> Iterator[tuple]:
+        """Rows (part, batch, blobs) that ask for the n-grams of the next order."""
+        g, (count, ids, _) = self._find(n), self._history(n)
+        if n == 2:
+            low_count, below = self.count[g.word], np.full(len(count), self.model.words_below)
+        else:
+            # the shorter history, and the n-gram without its first word, end at the same positions
+            lower, there = self.grams[n - 1], np.flatnonzero(g.at >= 0)
+            low_at = np.empty(len(g.history), np.int64)
+            low_at[g.at[there]] = lower.at[there]
+            low_count = lower.count[low_at]
+            below = np.zeros(len(count), np.int64)
+            below[g.history] = lower.below[lower.history[low_at]]
+        for part in np.flatnonzero(np.diff(g.ends)).tolist():
+            own, head = self._rows(g, part)
+            names = g.history[own[head]]
+            sizes = np.diff(np.append(head, len(own)))
+            yield part, self.batch, [_zip_sorted(ids[names]), _zip(sizes), _zip(count[names]), _zip(below[names]), _zip(self.word_ids[g.word[own]]), _zip(low_count[own]), _zip(g.times[own])]
+
+    def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By text: base score, known tokens, and the model's log10 probability."""
+        model = self.model
+        base = np.log10((self.count + 0.5) / (model.total + 0.5 * (model.types + 1)))[self.tokens]
+        log = unigram_logs(self.count, model.total, model.seen)[self.tokens]
+        for n, g in self.grams.items():
+            there = np.flatnonzero(g.at >= 0)
+            d, at = model.discount[n], g.at[there]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                held = np.log10(d[np.minimum(g.count, MOST + 1)] * g.count / g.below[g.history])
+            log[there] = np.where(g.count[at] > 0, held[at], g.backoff[g.history[at]] + log[there])
+        add = lambda x: np.add.reduceat(x, self.starts)
+        return add(base), add((self.count > 0)[self.tokens].astype(np.int64)), add(log)
+
+
+def _each(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[_Batch]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield _Batch(b.slice(k, 1).to_pylist()[0], model)
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows, as dicts, of each part; they come sorted by it."""
+    rows = (b.slice(k, 1).to_pylist()[0] for b in batches for k in range(b.num_rows))
+    for part, own in groupby(rows, itemgetter("part")):
+        yield part, list(own)
 
 
 def _ask_words(parts: int):
@@ -143,170 +359,88 @@ def _ask_words(parts: int):
         for b in batches:
             for k in range(b.num_rows):
                 batch, words, counts = (b.column(c)[k].as_py() for c in range(3))
-                words, counts = np.frombuffer(words, np.uint64), _unzip(counts, np.uint32)
+                words, counts = np.frombuffer(words, np.uint64), _unzip(counts)
                 to = (words % np.uint64(parts)).astype(np.int64)
                 order = np.lexsort((words, to))
                 ends = np.searchsorted(to[order], np.arange(parts + 1))
-                cut = [order[ends[p] : ends[p + 1]] for p in range(parts)]
-                columns = [pa.array(range(parts), pa.int32()), pa.array([batch] * parts, pa.int64()), pa.array([words[x].tobytes() for x in cut], pa.binary()), pa.array([counts[x].tobytes() for x in cut], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "batch", "words", "counts"])
+                cut = [order[lo:hi] for lo, hi in zip(ends, ends[1:])]
+                rows = [(p, batch, [words[own].tobytes(), _zip(counts[own])]) for p, own in enumerate(cut) if len(own)]
+                yield _asked(rows)
 
     return run
 
 
 def _tell_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Global counts in the order asked; and, without a batch, (tokens, types, counts of counts)."""
-    for part, rows in _by_key(batches, "part"):
-        words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
-        asked = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
-        unique, at = np.unique(words, return_inverse=True)
-        total = np.bincount(at, asked, len(unique)).astype(np.int64)
-        ends = np.cumsum([0, *(len(r["words"]) // 8 for r in rows)])
-        told = [_zip(total[at[lo:hi]]) for lo, hi in zip(ends, ends[1:])]
-        total = total[unique != START]
-        seen = [int(total.sum()), int((total > 0).sum()), *(int((total == r).sum()) for r in range(1, MOST + 2))]
-        columns = [pa.array([r["batch"] for r in rows] + [None], pa.int64()), pa.array([part] * (len(rows) + 1), pa.int32()), pa.array([*told, None], pa.binary()), pa.array([None] * len(rows) + [seen], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["batch", "part", "counts", "seen"])
-
-
-_SENT = "part int, batch long, docs int, blobs array<binary>, ids array<long>, doc_rows array<binary>"
-_KINDS = (np.uint64, np.int64, np.uint32, np.uint32, np.uint16, np.int64, np.uint32, np.uint32, np.uint32, np.uint32)
-
-
-def _ask_bigrams(parts: int, total: int, types: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                row = b.slice(k, 1).to_pylist()[0]
-                words = np.frombuffer(row["words"], np.uint64)
-                count = np.empty(len(words), np.int64)
-                count[np.lexsort((words, words % np.uint64(parts)))] = np.concatenate([_unzip(x["counts"], np.int64) for x in row["told"]])
-                tokens, sizes, train = _unzip(row["tokens"], np.uint32), np.frombuffer(row["sizes"], np.uint32).astype(np.int64), np.frombuffer(row["train"], bool)
-                starts, docs, batch = np.cumsum(sizes) - sizes, len(sizes), row["batch"]
-                base = np.add.reduceat(np.log10((count + 0.5) / (total + 0.5 * (types + 1)))[tokens], starts)
-                known = np.add.reduceat((count > 0)[tokens].astype(np.int64), starts)
-                yield _sent([(-1, row["batch"], docs, None, row["ids"], [train.tobytes(), sizes.tobytes(), known.tobytes(), base.tobytes()])])
-                key = np.empty(len(tokens), np.int64)
-                key[1:] = tokens[:-1]
-                key[starts] = len(words) - 1
-                key *= len(words)
-                key += tokens
-                key *= docs
-                key += np.repeat(np.arange(docs, dtype=np.int32), sizes)
-                del tokens, row
-                key.sort()
-                new = np.flatnonzero(np.diff(key, prepend=-1))
-                times = np.diff(np.append(new, len(key))).astype(np.int32)
-                key = key[new]
-                doc = (key % docs).astype(np.int32)
-                pair = key // docs
-                del key
-                new = np.flatnonzero(np.diff(pair, prepend=-1))
-                learnt = np.add.reduceat(times * train[doc], new)
-                many = np.diff(np.append(new, len(pair)))
-                first, second = np.divmod(pair[new], len(words))
-                del pair
-                short = words[second] >> np.uint64(16)
-                to = (words[first] % np.uint64(parts)).astype(np.int64)
-                hot = count[first] * HOT > total
-                to[hot] = (to[hot] + (short[hot] % np.uint64(parts)).astype(np.int64)) % parts
-                order = np.argsort(to, kind="stable")
-                ends = np.searchsorted(to[order], np.arange(parts + 1))
-                rows = []
-                for p in range(parts):
-                    own = order[ends[p] : ends[p + 1]]
-                    if not len(own):
-                        continue
-                    head = np.flatnonzero(np.diff(first[own], prepend=-1))
-                    spread = np.repeat(new[own], many[own]) + np.arange(many[own].sum()) - np.repeat(np.cumsum(many[own]) - many[own], many[own])
-                    parts_of = [words[first[own[head]]], count[first[own[head]]], np.diff(np.append(head, len(own))), short[own] & np.uint64(2**32 - 1), short[own] >> np.uint64(32), count[second[own]], learnt[own], many[own], doc[spread], times[spread]]
-                    rows.append((p, batch, docs, [_zip(x.astype(t)) for x, t in zip(parts_of, _KINDS)], None, None))
-                    if len(rows) == 16:
-                        yield _sent(rows)
-                        rows = []
-                if rows:
-                    yield _sent(rows)
-
-    return run
-
-
-def _sent(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.binary())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "batch", "docs", "blobs", "ids", "doc_rows"])
-
-
-class _Bigrams:
-    """All that batches asked of one partition, counted."""
-
-    def __init__(self, rows: list[dict], total: int, seen: np.ndarray):
-        got = [[_unzip(x, t) for x, t in zip(r["blobs"], _KINDS)] for r in rows]
-        self.sizes = [len(g[3]) for g in got]
-        history = np.concatenate([np.repeat(g[0], g[2]) for g in got])
-        history_count = np.concatenate([np.repeat(g[1], g[2]) for g in got])
-        follower = np.concatenate([g[3].astype(np.uint64) | g[4].astype(np.uint64) << np.uint64(32) for g in got])
-        second_count = np.concatenate([g[5] for g in got])
-        learnt = np.concatenate([g[6] for g in got])
-        self.docs = [g[7:] for g in got]
-        del got
-        _, lead, self.at = np.unique(mix64(mix64(history + np.uint64(0x9E3779B97F4A7C15)) + follower), return_index=True, return_inverse=True)
-        self.count = np.bincount(self.at, learnt, len(lead)).astype(np.int64)
-        self.names, self.owner = np.unique(history[lead], return_inverse=True)
-        self.names_count = np.zeros(len(self.names), np.int64)
-        self.names_count[self.owner] = history_count[lead]
-        self.hot = self.names_count * HOT > total
-        self.unigram = unigram_logs(second_count[lead], total, seen)
-        # per history: mass of counts 1..MOST, of larger ones, and unigram mass of the words seen
-        capped = np.minimum(self.count, MOST + 1)
-        self.mass = np.stack([np.bincount(self.owner, np.where(capped == r, self.count, 0), len(self.names)) for r in range(1, MOST + 2)] + [np.bincount(self.owner, np.where(self.count > 0, 10.0**self.unigram, 0), len(self.names))])
-
-
-def _count_bigrams(total: int, seen: np.ndarray):
-    """Rows (word, 7 sums): counts of counts under a null word, backoff sums under each hot history."""
+    """Answers (counts, numbers), the part's table (hashes, counts by number), and its (tokens, types, counts of counts).
 
+    Words are numbered by falling counts: common ones get small numbers, which take little room in n-grams.
+    """
+    for part, rows in _by_part(batches):
+        asked = [np.frombuffer(r["blobs"][0], np.uint64) for r in rows]
+        words, at = np.unique(np.concatenate(asked), return_inverse=True)
+        total = np.bincount(at, np.concatenate([_unzip(r["blobs"][1]) for r in rows]), len(words)).astype(np.int64)
+        by = np.argsort(-total, kind="stable")
+        number = np.empty(len(by), np.int64)
+        number[by] = np.arange(len(by))
+        ends = np.cumsum([0, *map(len, asked)])
+        for r, lo, hi in zip(rows, ends, ends[1:]):
+            yield _told([(1, part, r["batch"], [_zip(total[at[lo:hi]]), _zip(number[at[lo:hi]])], None, None)])
+        own = total[words != START]
+        sums = [own.sum(), (own > 0).sum(), *((own == r).sum() for r in range(1, MOST + 2))]
+        yield _told([(1, part, None, [words[by].tobytes(), _zip(total[by])], list(map(float, sums)), None)])
+
+
+def _ask(n: int, model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _by_key(batches, "part"):
-            if part < 0:
-                continue
-            x = _Bigrams(rows, total, seen)
-            of = [float((x.count == r).sum()) for r in range(1, MOST + 2)]
-            words = [None, *x.names[x.hot].view(np.int64).tolist()]
-            sums = [[*of, 0.0], *x.mass[:, x.hot].T.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), *(pa.array([s[k] for s in sums], pa.float64()) for k in range(MOST + 2))], names=["word", *(f"s{k}" for k in range(MOST + 2))])
+        for own in _each(batches, model):
+            rows = []
+            for row in own.ask(n):
+                rows.append(row)
+                if len(rows) == 16:
+                    yield _asked(rows)
+                    rows = []
+            if rows:
+                yield _asked(rows)
 
     return run
 
 
-_DONE = "batch long, part int, sums binary, ids array<long>, doc_rows array<binary>"
+def _tell(n: int, model: Model):
+    """Answers, the part's table (histories, sizes, words, counts), its counts of counts, and the sums of hot histories."""
 
-
-def _score_bigrams(total: int, seen: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _by_key(batches, "part"):
-            if part < 0:
-                out = [(r["batch"], -1, None, r["ids"], r["doc_rows"]) for r in rows]
-            else:
-                x = _Bigrams(rows, total, seen)
-                stats = {s["word"]: [s[f"s{k}"] for k in range(MOST + 2)] for s in rows[0]["stats"]}
-                d = discounts(np.array([0, *stats.pop(None, [0] * (MOST + 2))[: MOST + 1]]))
-                mass = x.mass.copy()
-                for k in np.flatnonzero(x.hot).tolist():
-                    mass[:, k] = stats[int(x.names[k : k + 1].view(np.int64)[0])]
-                # nothing discounted: one pseudo-count leaves mass for the rest
-                discounted = (mass[:MOST] * (1 - d[1 : MOST + 1, None])).sum(0) if d.any() else np.zeros(len(x.names))
-                below = np.where(discounted > 0, x.names_count, x.names_count + 1)
-                left = np.where(discounted > 0, discounted / np.maximum(x.names_count, 1), 1 / below)
-                d = d if d.any() else np.ones(MOST + 2)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    backoff = np.where(x.names_count > 0, np.log10(left) - np.log10(1 - mass[-1]), 0.0)
-                    held = np.log10(d[np.minimum(x.count, MOST + 1)] * x.count / below[x.owner])
-                log = np.where(x.count > 0, held, backoff[x.owner] + x.unigram) if total else np.zeros(len(x.count))
-                out, at = [], 0
-                for r, (many, doc, times), n in zip(rows, x.docs, x.sizes):
-                    each = np.repeat(log[x.at[at : at + n]], many) * times
-                    out.append((r["batch"], part, np.bincount(doc, each, r["docs"]).tobytes(), None, None))
-                    at += n
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["batch", "part", "sums", "ids", "doc_rows"])
+        for part, rows in _by_part(batches):
+            got = [[(_unzip_sorted if k == 0 else _unzip)(x) for k, x in enumerate(r["blobs"])] for r in rows]
+            spread = lambda k: np.concatenate([np.repeat(g[k], g[1]) for g in got])
+            flat = lambda k: np.concatenate([g[k] for g in got])
+            history, word = spread(0), flat(4)
+            order = np.lexsort((word, history))
+            history, word = history[order], word[order]
+            new = np.flatnonzero((np.diff(history, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
+            at = np.empty(len(order), np.int64)
+            at[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+            history, word, lead = history[new], word[new], order[new]
+            count = np.bincount(at, flat(6), len(new)).astype(np.int64)
+            history_count, below, low = spread(2)[lead], spread(3)[lead], flat(5)[lead]
+            head = np.flatnonzero(np.diff(history, prepend=-1))
+            sizes = np.diff(np.append(head, len(history)))
+            owner = np.repeat(np.arange(len(head)), sizes)
+            capped = np.minimum(count, MOST + 1)
+            least = np.minimum.reduceat(np.where(count > 0, capped, MOST + 1), head)
+            of = np.stack([np.bincount(owner[capped == r], minlength=len(head)) for r in range(1, MOST + 1)])
+            lower = np.bincount(owner, np.where(count > 0, model.discount[n - 1][np.minimum(low, MOST + 1)] * low / np.maximum(below, 1), 0.0), len(head))
+            done = 0
+            for r, g in zip(rows, got):
+                own = at[done : done + len(g[4])]
+                done += len(g[4])
+                first = np.cumsum(g[1]) - g[1]
+                names = owner[own[first]]
+                need = np.flatnonzero(np.minimum.reduceat(count[own], first) == 0)
+                blobs = [_zip(count[own]), _zip_sorted(own), _zip(least[names]), _zip_sorted(need), _zip(of[:, names[need]].ravel()), lower[names[need]].astype("<f8").tobytes()]
+                yield _told([(n, part, r["batch"], blobs, None, None)])
+            hot = np.flatnonzero(model.is_hot(history_count[head])).tolist()
+            hot = [[float(history[head[k]]), float(least[k]), *map(float, of[:, k]), float(lower[k])] for k in hot]
+            yield _told([(n, part, None, [_zip_sorted(history[head]), _zip(sizes), _zip(word), _zip(count)], [float((count == r).sum()) for r in range(1, MOST + 2)], hot)])
 
     return run
 
@@ -314,21 +448,18 @@ def _score_bigrams(total: int, seen: np.ndarray):
 _OUT = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _add_up(total: int):
+def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_key(batches, "batch"):
-            ids, (train, sizes, known, base) = rows[0]["ids"], rows[0]["doc_rows"]
-            score = np.zeros(len(ids))
-            for r in rows[1:]:
-                score += np.frombuffer(r["sums"])
-            columns = [pa.array(ids, pa.int64()), pa.array(~np.frombuffer(train, bool)), pa.array(np.frombuffer(sizes, np.int64)), pa.array(np.frombuffer(known, np.int64)), pa.array(np.full(len(ids), total), pa.int64()), pa.array(np.frombuffer(base)), pa.array(score)]
+        for own in _each(batches, model):
+            base, known, score = own.scores()
+            columns = [pa.array(own.ids, pa.int64()), pa.array(~own.train), pa.array(own.sizes), pa.array(known), pa.array(np.full(len(own.ids), model.total), pa.int64()), pa.array(base), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _OUT.split(", ")])
 
     return run
 
 
-def katz_scores(docs: DataFrame, learns, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``docs``; the model learns from those where the Column ``learns`` holds.
+def katz_scores(docs: DataFrame, learns, order: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per row of ``docs``; the model, of n-grams up to ``order`` words, learns from those where the Column ``learns`` holds.
 
     ``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)``
     """
@@ -338,26 +469,36 @@ def katz_scores(docs: DataFrame, learns, id_column: str = "doc_id", text_column:
     name, buckets = f"katz_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts.mapInArrow(_batches, _BATCH).write.bucketBy(buckets, "batch").option("compression", "zstd").saveAsTable(name)
     try:
-        return stored(_scores(spark.table(name)))
+        batches = spark.table(name)
+        model, tables = ngram_tables(batches, order)
+        return stored(_answered(batches, tables).mapInArrow(_score(model), _OUT))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _scores(batches: DataFrame) -> DataFrame:
+def _answered(batches: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """Batches with the answers of all orders so far, in order of the parts."""
+    told = reduce(DataFrame.union, tables).where("batch is not null").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("n", "part", "blobs"))).alias("told"))
+    return batches.join(told, "batch")
+
+
+def ngram_tables(batches: DataFrame, order: int) -> tuple[Model, list[DataFrame]]:
+    """The model, and for each order a stored table: answers by batch, and a row for each part of the n-gram table (batch null).
+
+    A part's row holds, compressed, the histories (ids that the order below gave out), how many words follow each,
+    the words' ids and the counts; an n-gram's own id is its place in the row times the number of parts, plus the part.
+    """
     parts = max(4, -(-(batches.agg(F.sum("n")).first()[0] or 0) // PART_TOKENS))
-    asked = batches.select("batch", "words", "counts").mapInArrow(_ask_words(parts), _ASK).repartition(parts, "part").sortWithinPartitions("part", "batch")
-    told = stored(asked.mapInArrow(_tell_words, _TOLD))
-    sums = told.where("seen is not null").select([F.sum(F.col("seen")[k]).alias(f"s{k}") for k in range(MOST + 3)]).first()
-    total, types, *of = [x or 0 for x in sums]
-    seen = np.array([0, *of])
-    answers = told.where("seen is null").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("part", "counts"))).alias("told"))
-    sent = batches.join(answers, "batch").mapInArrow(_ask_bigrams(parts, total, types), _SENT)
-    sent = sent.repartition(parts, F.when(F.col("part") < 0, F.xxhash64("batch")).otherwise(F.col("part")))
-    sums = [f"s{k}" for k in range(MOST + 2)]
-    stats = sent.sortWithinPartitions("part", "batch").mapInArrow(_count_bigrams(total, seen), "word long, " + ", ".join(f"{s} double" for s in sums)).groupBy("word").agg(*[F.sum(s).alias(s) for s in sums])
-    # counts of counts and at most HOT + 1 histories: one short row
-    stats = stats.agg(F.collect_list(F.struct("word", *sums)).alias("stats"))
-    # sorted after the join: the optimiser drops a sort below it
-    done = sent.crossJoin(F.broadcast(stats)).sortWithinPartitions("part", "batch").mapInArrow(_score_bigrams(total, seen), _DONE)
-    done = done.repartition("batch").sortWithinPartitions("batch", "part")
-    return done.mapInArrow(_add_up(total), _OUT)
+    placed = lambda asked: asked.repartition(parts, "part").sortWithinPartitions("part", "batch")
+    tables = [stored(placed(batches.select("batch", "words", "counts").mapInArrow(_ask_words(parts), _ASK)).mapInArrow(_tell_words, _TOLD))]
+    added = lambda n, size: [int(x or 0) for x in tables[n - 1].where("sums is not null").select([F.sum(F.col("sums")[k]) for k in range(size)]).first()]
+    total, types, *of = added(1, MOST + 3)
+    model = Model(parts, total, types, np.array([0, *of]))
+    for n in range(2, order + 1):
+        asked = _answered(batches, tables).mapInArrow(_ask(n, model), _ASK)
+        tables.append(stored(placed(asked).mapInArrow(_tell(n, model), _TOLD)))
+        # at most HOT histories, each in as many rows as there are parts: added up before they move
+        hot = tables[-1].where("sums is not null").select(F.explode("hot").alias("h")).groupBy(F.col("h")[0].alias("id"))
+        hot = hot.agg(F.min(F.col("h")[1]), *[F.sum(F.col("h")[k]) for k in range(2, MOST + 3)]).collect()
+        model.learn(n, np.array([0, *added(n, MOST + 1)]), {int(r[0]): np.array(r[1:], float) for r in hot})
+    return model, tables

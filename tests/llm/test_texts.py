@@ -350,40 +350,65 @@ def test_licences_odd_rows(documents):
 # Katz
 
 
-@pytest.mark.parametrize("batch", [200, 3_000_000])
-def test_katz_against_brute_force(documents, monkeypatch, batch):
+@pytest.mark.parametrize("order, batch, hot", [(3, 200, 1000), (3, 3_000_000, 1000), (2, 200, 20), (4, 300, 20), (1, 300, 1000)])
+def test_katz_against_brute_force(documents, monkeypatch, order, batch, hot):
     monkeypatch.setattr(katz, "BATCH_TOKENS", batch)
+    monkeypatch.setattr(katz, "HOT", hot)
     rng = random.Random(7)
     docs = [(k, " ".join(f"v{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(0, 40)))) for k in range(120)]
+    docs += [(200 + k, docs[k][1]) for k in range(0, 60, 3)]
     from pyspark.sql import functions as F
 
-    found = {r["id"]: r for r in katz.katz_scores(documents(docs), F.col("doc_id") % 5 != 1).collect()}
+    found = {r["id"]: r for r in katz.katz_scores(documents(docs), F.col("doc_id") % 5 != 1, order).collect()}
     tokens = {i: [*t.encode().lower().split(), None] for i, t in docs}
-    one, two, heads = Counter(), Counter(), Counter()
+    counts = [Counter() for _ in range(order + 1)]  # counts[n]: n-grams; a text begins with one "<s>", which is no token
     for i, own in tokens.items():
         if i % 5 != 1:
-            one.update(own)
-            for pair in zip(["<s>", *own], own):
-                two[pair] += 1
-                heads[pair[0]] += 1
-    total, types = sum(one.values()), len(one)
-    d1, d2 = (katz.discounts(np.array([0, *(sum(v == r for v in c.values()) for r in range(1, 7))])) for c in (one, two))
-    assert d1.any() and d2.any()
-    p1 = {w: d1[min(c, 6)] * c / total for w, c in one.items()}
-    unknown = 1 - sum(p1.values())
-    below, back = {}, {}
-    for h, n in heads.items():
-        own = {b: c for (a, b), c in two.items() if a == h}
-        below[h] = n if any(d2[min(c, 6)] < 1 for c in own.values()) else n + 1
-        back[h] = (1 - sum(d2[min(c, 6)] * c / below[h] for c in own.values())) / (1 - sum(p1[b] for b in own))
-    p2 = lambda a, b: d2[min(two[a, b], 6)] * two[a, b] / below[a] if (a, b) in two else back.get(a, 1.0) * p1.get(b, unknown)
-    for h in list(heads)[:20]:
-        assert sum(p2(h, w) for w in one) + back[h] * unknown == pytest.approx(1)
+            for n in range(1, order + 1):
+                padded = own if n == 1 else ["<s>", *own]
+                counts[n].update(tuple(padded[k : k + n]) for k in range(len(padded) - n + 1))
+    total, types = sum(counts[1].values()), len(counts[1])
+    d = [None, *(katz.discounts(np.array([0, *(sum(v == r for v in c.values()) for r in range(1, 7))])) for c in counts[1:])]
+    d = [x if x is None or x.any() else np.ones(7) for x in d]
+    assert (d[1] < 1).any()
+    unknown = 1 - sum(d[1][min(c, 6)] * c / total for c in counts[1].values())
+    followers = defaultdict(dict)
+    for c in counts[2:]:
+        for gram, k in c.items():
+            followers[gram[:-1]][gram[-1]] = k
+
+    def p(history, w):
+        n = len(history) + 1
+        if not history:
+            return d[1][min(counts[1][w,], 6)] * counts[1][w,] / total if (w,) in counts[1] else unknown
+        after = followers.get(history)
+        if after is None:
+            return p(history[1:], w)
+        below = sum(after.values()) + all(d[n][min(c, 6)] >= 1 for c in after.values())
+        if w in after:
+            return d[n][min(after[w], 6)] * after[w] / below
+        return (1 - sum(d[n][min(c, 6)] * c / below for c in after.values())) / (1 - sum(p(history[1:], v) for v in after)) * p(history[1:], w)
+
+    for h in [*followers][:: max(1, len(followers) // 40)]:
+        assert sum(p(h, w) for (w,) in counts[1]) + p(h, "no such word") == pytest.approx(1)
     for i, own in tokens.items():
-        r = found[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i % 5 == 1, len(own), sum(w in one for w in own), total)
-        assert r["base_score"] == pytest.approx(sum(math.log10((one[w] + 0.5) / (total + 0.5 * (types + 1))) for w in own))
-        assert r["score"] == pytest.approx(sum(math.log10(p2(a, b)) for a, b in zip(["<s>", *own], own)))
+        r, padded = found[i], ["<s>", *own]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i % 5 == 1, len(own), sum((w,) in counts[1] for w in own), total)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[1][w,] + 0.5) / (total + 0.5 * (types + 1))) for w in own))
+        want = sum(math.log10(p(tuple(padded[max(0, k - order + 1) : k]) if order > 1 else (), padded[k])) for k in range(1, len(padded)))
+        assert r["score"] == pytest.approx(want)
+
+
+def test_katz_tables_hold_all_counts(spark, documents):
+    rng = random.Random(17)
+    docs = [(k, " ".join(f"v{int(rng.paretovariate(0.9))}" for _ in range(30))) for k in range(50)]
+    texts = documents(docs).selectExpr("doc_id as id", "text", "true as train")
+    batches = spark.createDataFrame(texts.mapInArrow(katz._batches, katz._BATCH).toArrow())
+    _, tables = katz.ngram_tables(batches, 3)
+    for n, table in enumerate(tables[1:], 2):
+        held = sorted(c for r in table.where("batch is null").collect() for c in katz._unzip(r["blobs"][3]).tolist())
+        want = Counter(tuple(own[k : k + n]) for own in (["<s>", *t.split(), None] for _, t in docs) for k in range(len(own) - n + 1))
+        assert held == sorted(want.values())
 
 
 def test_katz_odd_rows(documents):
