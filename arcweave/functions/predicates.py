@@ -15,8 +15,9 @@ TEST_SERVICE = r"/(test|spec|fixture|mock)|__tests__|\.(test|spec)\.|_test\."
 TEST_AUDIT = r"test|spec"
 GENERATED = r"\.min\.(js|css)$|\.(chunk|bundle)\.|/(dist|build|generated)/|/resources/(monitor|static)/"
 HASHED = r"(^|/)[^./]*\.[0-9a-f]{8,}\.[^/]*$"
-#: Lower-cased names that read like the end of a data flow worth auditing.
-SINKS = r"exec|query|eval|system|spawn|write|delete|insert|update|send|render|redirect|deserialize|unmarshal|open|load|fetch|request|command"
+# What a lower-cased name contains that reads like the end of a data flow worth auditing.
+SINK_WORDS = ["query", "exec", "eval", "write", "delete", "connect", "send", "request", "fetch", "open", "read_file", "spawn", "database", "sql", "db", "auth", "login", "password"]
+SINKS = "|".join(SINK_WORDS)
 
 
 def is_test_ranking(file: Column) -> Column:

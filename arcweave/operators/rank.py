@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import is_test_ranking
-from ..plans.lineage import cut
+from ..plans.lineage import cut, placed
 
 
 def centrality_raw(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, warm: DataFrame | None = None, every: int = 5, tolerance: float | None = 1e-9) -> DataFrame:
@@ -14,8 +14,8 @@ def centrality_raw(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping
 
     A round is one join of the shares, which are aggregated and placed by source once, with what the round
     before gave, and one aggregation by target: only nodes with callers move, all others keep the base score.
-    Every ``every`` rounds the gains are checkpointed and the loop ends when no score has moved by
-    ``tolerance``. ``warm(nid, raw)`` seeds the rounds with earlier scores.
+    Every ``every`` rounds the gains become a table and the loop ends when no score has moved by
+    ``tolerance``, or by 1e-5 of an even share in graphs so large that this is less. ``warm(nid, raw)`` seeds the rounds with earlier scores.
     """
     total = nodes.count()
     if not total:
@@ -23,7 +23,7 @@ def centrality_raw(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping
     calls = edges.where("kind = 'calls'").groupBy("src", "dst").agg(F.count("*").alias("n"))
     weight = nodes.select(F.col("nid").alias("src"), F.when(is_test_ranking(F.col("file")), 0.1).otherwise(1.0).alias("weight"))
     out = calls.groupBy("src").agg(F.sum("n").alias("out"))
-    shares = cut(calls.join(out, "src").join(weight, "src").select("src", "dst", (F.col("weight") * F.col("n") / F.col("out")).alias("share")).repartition("src"))
+    shares = placed(calls.join(out, "src").join(weight, "src").select("src", "dst", (F.col("weight") * F.col("n") / F.col("out")).alias("share")), "src")
     base = (1 - damping) / total
     ids = nodes.select("nid")
     passed = F.sum(F.col("share") * F.col("raw")).alias("gain")
@@ -40,7 +40,7 @@ def centrality_raw(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping
             gains = cut(gains)
             if tolerance is not None and before is not None:
                 moved = gains.join(before.withColumnRenamed("gain", "old"), "nid").agg(F.max(F.abs(F.col("gain") - F.col("old")))).first()[0]
-                if moved is None or damping * moved < tolerance:
+                if moved is None or damping * moved < min(tolerance, 1e-5 / total):
                     break
             before = gains
     if rounds < 1:
@@ -61,10 +61,12 @@ def _rescaled(ids: DataFrame, shares: DataFrame, warm: DataFrame, base: float, d
 def percentile(scores: DataFrame) -> DataFrame:
     """``(nid, raw, pct)``: the share of the other nodes strictly below; ties share it; a single node has 1.
 
+    Scores are equal if they are to seven digits of an even share, as sums in another order differ a little.
     No global window: the distinct scores are range-partitioned, counted by partition, and each gets the
     counts before its partition plus a running sum within it.
     """
-    scores = scores.withColumn("raw", F.round("raw", 12))
+    total = scores.count()
+    scores = scores.withColumn("raw", F.round(F.col("raw") * total, 7) / total)
     values = cut(scores.groupBy("raw").agg(F.count("*").alias("n")).repartitionByRange("raw").withColumn("part", F.spark_partition_id()))
     whole = values.groupBy("part").agg(F.sum("n").alias("m"))
     # one row for each partition

@@ -8,7 +8,7 @@ fan-out limits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import module_path, parent, suffixes
@@ -79,7 +79,8 @@ def resolve_edges(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> Da
     single = found.where("nid is not null").withColumn("dst", F.col("nid"))
     limit = F.when(F.col("unknown"), UNKNOWN_FANOUT).otherwise(FANOUT)
     several = found.where((F.col("resolution") == "ambiguous") & (F.col("n") <= limit))
-    few = definitions(symbols).select("key", F.col("nid").alias("dst"), F.count("*").over(Window.partitionBy("key")).alias("m")).where(F.col("m") <= FANOUT).drop("m")
+    # only definitions of ambiguous names within the limit are expanded: a common name's are dropped by its count
+    few = definitions(symbols).select("key", F.col("nid").alias("dst")).join(several.select("key").distinct(), "key", "left_semi")
     drawn = single.select("src", "file", "ref", "key", "unknown", "resolution", "dst").union(several.join(few, "key").select("src", "file", "ref", "key", "unknown", "resolution", "dst")).where("src <> dst")
     base = F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair])[F.col("resolution")]
     drawn = drawn.withColumn("base", F.when(F.col("unknown"), base * UNKNOWN_RECEIVER).otherwise(base))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import is_callback_style, is_dependency_injection, is_entry_point, is_event_handler, is_flutter_widget, is_generated, is_react_component, is_test_segment
 from ..functions.text import compress_path, extension, parent, token_estimate
-from .traverse import bfs, neighbours
+from ..plans.lineage import cut
+from .traverse import hop_counts, neighbours, reach
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -88,13 +89,45 @@ def reasons(upstream: Column, downstream: Column, direct: Column) -> Column:
 
 def profile(edges: DataFrame, targets: DataFrame, depth: int = 5) -> DataFrame:
     """``(nid, upstream, downstream, direct, role, confidence, reasons)`` of each of ``targets(nid)``."""
-    seeds = targets.select(F.col("nid").alias("target"), "nid").distinct()
-    count = lambda side, name: bfs(edges, seeds, depth, side).where("hop > 0").groupBy("target").agg(F.count("*").alias(name), F.count_if(F.col("hop") == 1).alias(f"{name}_1"))
-    both = seeds.select("target").join(count("in", "upstream"), "target", "left").join(count("out", "downstream"), "target", "left").na.fill(0)
+    seeds = targets.select("nid").distinct()
+
+    def count(side: str, name: str) -> DataFrame:
+        hops = hop_counts(*reach(edges, seeds, depth, side))
+        return hops.groupBy("target").agg(F.sum("n").alias(name), F.sum(F.when(F.col("hop") == 1, F.col("n")).otherwise(0)).alias(f"{name}_1"))
+
+    both = seeds.select(F.col("nid").alias("target")).join(count("in", "upstream"), "target", "left").join(count("out", "downstream"), "target", "left").na.fill(0)
     up, down = F.col("upstream"), F.col("downstream")
     return both.select(F.col("target").alias("nid"), up, down, F.col("upstream_1").alias("direct"), role(up, down).alias("role"), confidence_level(up, down).alias("confidence"), reasons(up, down, F.col("upstream_1")).alias("reasons"))
 
 
+def inspect_role(entry: Column, callers: Column, callees: Column) -> Column:
+    """The role that an inspection shows, by direct calls alone."""
+    return F.when(entry, "entry_point").when(callers == 0, "unreachable").when(callees == 0, "utility").otherwise("internal")
+
+
+def inspected(nodes: DataFrame, degrees: DataFrame, centrality: DataFrame) -> DataFrame:
+    """``(nid, callers, callees, pct, entry, role)`` of each of ``nodes``."""
+    own = nodes.select("nid", is_entry_point(F.col("name"), F.col("kind"), F.col("file")).alias("entry")).join(degrees, "nid", "left").join(centrality.select("nid", "pct"), "nid", "left")
+    own = own.select("nid", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("callees", F.lit(0)).alias("callees"), F.coalesce("pct", F.lit(0.0)).alias("pct"), "entry")
+    return own.withColumn("role", inspect_role(F.col("entry"), F.col("callers"), F.col("callees")))
+
+
+def onboard(nodes: DataFrame, edges: DataFrame, centrality: DataFrame, k: int = 20) -> DataFrame:
+    """A guide to a codebase as rows ``(section, rank, name, detail, value)``.
+
+    total: symbols and connections; language: each extension; entry: the first ``k`` entry points by name; hotspot: the ``k`` most central symbols.
+    """
+    none = F.lit(None)
+    totals = nodes.agg(F.count("*").cast("double").alias("value")).select(F.lit("total").alias("section"), F.lit(1).cast("long").alias("rank"), F.lit("symbols").alias("name"), none.cast("string").alias("detail"), "value")
+    calls = edges.agg(F.count("*").cast("double").alias("value")).select(F.lit("total"), F.lit(2).cast("long"), F.lit("connections"), none.cast("string"), "value")
+    languages = nodes.select(extension(F.col("file")).alias("ext")).distinct().where("ext <> ''").select(F.lit("language"), none.cast("long"), "ext", none.cast("string"), none.cast("double"))
+    # ranks over ``k`` rows
+    by_name = Window.partitionBy(F.lit(1)).orderBy("name", "nid")
+    entries = entry_points(nodes).orderBy("name", "nid").limit(k).withColumn("rank", F.row_number().over(by_name).cast("long")).select(F.lit("entry"), "rank", "name", "file", none.cast("double"))
+    top = hotspots(nodes, centrality, k).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("pct"), "nid")).cast("long"))
+    return totals.union(calls).union(languages).union(entries).union(top.select(F.lit("hotspot"), "rank", "name", "file", "pct"))
+
+
 def hotspots(nodes: DataFrame, centrality: DataFrame, k: int = 20) -> DataFrame:
     return centrality.orderBy(F.desc("pct"), "nid").limit(k).join(nodes.select("nid", "name", "file"), "nid").select("nid", "name", "file", "pct")
 
@@ -153,41 +186,62 @@ def map_view(nodes: DataFrame, centrality: DataFrame, budget: int = 1024, focus:
                 if used + len(text) + 50 > room and out:
                     break
                 used += len(text) + 50
-                out.append((len(out) + 1, row.nid, row.path, text, round(row.score, 2)))
+                out.append((len(out) + 1, row.nid, row.path, text, math.copysign(math.floor(abs(row.score) * 100 + 0.5) / 100, row.score)))
         return pd.DataFrame(out, columns=["rank", "nid", "path", "signature", "centrality"])
 
     return near.groupBy(F.lit(1).alias("g")).applyInPandas(lambda group: fold(group), "rank long, nid long, path string, signature string, centrality double")
 
 
 def slice_context(nodes: DataFrame, edges: DataFrame, target: int, budget: int = 4000, depth: int = 2, pinned: list[int] | None = None) -> DataFrame:
-    """Nodes around ``target`` within a budget of tokens: ``(nid, depth, tokens, pinned, reason)``.
+    """Nodes around ``target`` within a budget of tokens: ``(nid, depth, tokens, pinned, reason)``, and one row of a null node with the total and why it stops.
 
     Nearest first, by node number within a hop; a node too large for what is left is skipped and smaller ones may
-    follow; pinned nodes are always in. reason: complete, token_budget or max_depth. The fold is fed in order and holds only its running total.
+    follow; pinned nodes are always in. reason, the same on each row: token_budget if a node didn't fit, else max_depth if
+    there are nodes beyond, else complete. Each node costs a token or more, so at most ``budget`` of them and the pinned ones go to the driver.
     """
     spark = edges.sparkSession
-    seed = spark.range(1).select(F.lit(target).cast("long").alias("target"), F.lit(target).cast("long").alias("nid"))
-    reach = bfs(edges, seed, depth + 1 if depth else 0, "both").select("nid", "hop")
+    seed = spark.range(1).select(F.lit(target).cast("long").alias("nid"))
+    beyond = depth + 1 if depth else 0
+    found = cut(reach(edges, seed, beyond, "both")[1].select("nid", "hop"))
     tokens = token_estimate(F.col("qualified_name"), F.col("file"), F.col("signature"), F.col("line_end") - F.col("line_start"))
     keep = pinned or []
-    rows = reach.join(nodes, "nid").select("nid", "hop", tokens.alias("tokens"), F.col("nid").isin(keep).alias("pinned") if keep else F.lit(False).alias("pinned"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used, reason = 0, "complete"
-        for batch in batches:
-            out = []
-            for row in batch.itertuples():
-                if depth and row.hop > depth:
-                    reason = "max_depth" if reason == "complete" else reason
-                elif row.pinned or not budget or used + row.tokens <= budget:
-                    used += row.tokens
-                    out.append((row.nid, row.hop, row.tokens, row.pinned, reason))
-                else:
-                    reason = "token_budget"
-            out.append((None, None, used, False, reason))
-            yield pd.DataFrame(out, columns=["nid", "depth", "tokens", "pinned", "reason"])
-
-    return rows.orderBy("hop", "nid").coalesce(1).mapInPandas(fold, "nid long, depth int, tokens long, pinned boolean, reason string")
+    rows = found.join(nodes, "nid").select("nid", "hop", tokens.alias("tokens"), F.col("nid").isin(keep).alias("pinned") if keep else F.lit(False).alias("pinned"))
+    inside = cut(rows.where(F.col("hop") <= depth) if depth else rows)
+    deeper = depth and not found.where(F.col("hop") > depth).isEmpty()
+    if not budget:
+        taken, dropped = inside.select("nid", F.col("hop").alias("depth"), "tokens", "pinned"), False
+        used = inside.agg(F.sum("tokens")).first()[0] or 0
+    else:
+        taken, used, dropped = _within(inside, budget)
+    reason = "token_budget" if dropped else "max_depth" if deeper else "complete"
+    return taken.union(spark.createDataFrame([(None, None, used, False)], taken.schema)).withColumn("reason", F.lit(reason))
+
+
+def _within(rows: DataFrame, budget: int) -> tuple[DataFrame, int, bool]:
+    """What fits of ``rows(nid, hop, tokens, pinned)`` in order, the tokens used, and whether any row didn't fit.
+
+    Rows go to the driver hop by hop, in order, in slices; a node that costs more than what is left can't
+    fit later either, so each slice is filtered by that first. There are at most ``budget`` takers and a slice holds at most that many.
+    """
+    spark = rows.sparkSession
+    out, used, dropped, after = [], 0, False, None
+    most = max(1, budget)
+    while True:
+        left = budget - used
+        ahead = rows if after is None else rows.where((F.col("hop") > after[0]) | ((F.col("hop") == after[0]) & (F.col("nid") > after[1])))
+        if not dropped:
+            dropped = not ahead.where((F.col("tokens") > left) & ~F.col("pinned")).isEmpty()
+        own = ahead.where((F.col("tokens") <= left) | F.col("pinned")).orderBy("hop", "nid").limit(most).collect()
+        for r in own:
+            if r["pinned"] or used + r["tokens"] <= budget:
+                used += r["tokens"]
+                out.append((r["nid"], r["hop"], r["tokens"], r["pinned"]))
+            else:
+                dropped = True
+        if len(own) < most:
+            break
+        after = own[-1]["hop"], own[-1]["nid"]
+    return spark.createDataFrame(out, "nid long, depth int, tokens long, pinned boolean"), used, dropped
 
 
 def file_graph(nodes: DataFrame, edges: DataFrame, file: str) -> DataFrame:

@@ -1,17 +1,23 @@
 """Traversals: breadth-first search from many sources, impact, paths and audits.
 
 Frontiers are DataFrames; a hop is an equi-join with the edges, an aggregation and an anti-join with what
-has been seen. Each frontier is checkpointed: it feeds the next hop and what has been seen, and would
-be computed anew for each otherwise. The loop ends when a frontier is empty.
+has been seen. Each frontier is a table: it feeds the next hop and what has been seen, and its size is
+known, so small ones are broadcast and large ones shuffled. The loop ends when a frontier is empty.
+
+Where only who reaches whom and after how many hops counts, 64 sources are the bits of one number
+(``reach``), so the rows grow with the nodes, not with pairs of nodes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import SINKS, is_test_audit, severity
-from ..plans.lineage import cut
+from ..plans.lineage import cut, placed
+
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:
     """``(at, to, kind)``: out follows calls, in goes to callers, both ignores direction."""
@@ -25,7 +31,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int = 0, direction: str = "in
 
     entry_edge: kind of the first hop on a least path, the smallest of several; null at hop 0.
     """
-    step = cut(directed(edges, direction).distinct().repartition("at"))
+    step = placed(directed(edges, direction).distinct(), "at")
     frontier = cut(seeds.select("target", "nid").distinct().withColumn("hop", F.lit(0)).withColumn("entry_edge", F.lit(None).cast("string")))
     seen, hop = frontier, 0
     while not depth or hop < depth:
@@ -42,6 +48,34 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int = 0, direction: str = "in
     return seen
 
 
+def reach(edges: DataFrame, seeds: DataFrame, depth: int = 0, direction: str = "in") -> tuple[DataFrame, DataFrame]:
+    """``seeds(nid)`` -> their numbers ``(nid, k)`` and ``(nid, block, hop, bits)``: the seeds that first reach a node at that hop.
+
+    Bit b of block c stands for seed 64 c + b; hop 0 is each seed itself; depth 0 is unlimited.
+    """
+    numbers = cut(seeds.select("nid").distinct().withColumn("k", F.monotonically_increasing_id()))
+    step = placed(directed(edges, direction).select("at", "to").distinct(), "at")
+    frontier = cut(numbers.select("nid", F.expr("k div 64").alias("block"), F.lit(0).alias("hop"), F.expr("shiftleft(1L, cast(k % 64 as int))").alias("bits")))
+    seen, hop = frontier, 0
+    while not depth or hop < depth:
+        hop += 1
+        came = frontier.join(step, F.col("nid") == F.col("at")).groupBy(F.col("to").alias("nid"), "block").agg(F.bit_or("bits").alias("bits"))
+        known = seen.groupBy("nid", "block").agg(F.bit_or("bits").alias("known"))
+        fresh = came.join(known, ["nid", "block"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0)))))
+        frontier = cut(fresh.where("bits <> 0").select("nid", "block", F.lit(hop).alias("hop"), "bits"))
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier)
+    return numbers, seen
+
+
+def hop_counts(numbers: DataFrame, reached: DataFrame) -> DataFrame:
+    """``(target, hop, n)`` of what ``reach`` gives: how many nodes each seed reaches first at a hop, itself apart."""
+    sums = reached.where("hop > 0").groupBy("block", "hop").agg(*[F.sum(F.getbit("bits", F.lit(b)).cast("long")).alias(f"n{b}") for b in range(64)])
+    each = F.explode(F.array(*[F.struct((F.col("block") * 64 + b).alias("k"), F.col(f"n{b}").alias("n")) for b in range(64)]))
+    return sums.select("hop", each.alias("c")).where("c.n > 0").select("hop", "c.k", "c.n").join(numbers, "k").select(F.col("nid").alias("target"), "hop", "n")
+
+
 def impact(edges: DataFrame, targets: DataFrame, depth: int = 0, direction: str = "upstream") -> DataFrame:
     """Affected nodes ``(target, nid, hop, severity, entry_edge)`` of each of ``targets(nid)``, the target itself excluded."""
     seeds = targets.select(F.col("nid").alias("target"), "nid")
@@ -59,29 +93,50 @@ def impact_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("target").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("direct", "transitive", "distant")], F.count("*").alias("total"))
 
 
+def impact_summary(edges: DataFrame, targets: DataFrame, depth: int = 0, direction: str = "upstream") -> DataFrame:
+    """The same counts for each of ``targets(nid)`` that affects anything, without a row for each affected node."""
+    counts = hop_counts(*reach(edges, targets, depth, "in" if direction == "upstream" else "out")).withColumn("severity", severity(F.col("hop")))
+    of = lambda s: F.sum(F.when(F.col("severity") == s, F.col("n")).otherwise(0)).alias(s)
+    return counts.groupBy("target").agg(*map(of, ("direct", "transitive", "distant")), F.sum("n").alias("total"))
+
+
 def neighbours(edges: DataFrame, nid: int, side: str, kind: str = "calls") -> DataFrame:
     """Callers (side "in") or callees ("out") of a node, one row per parallel edge."""
     return directed(edges.where(F.col("kind") == kind), side).where(F.col("at") == nid).select(F.col("to").alias("nid"))
 
 
-def shortest_path(edges: DataFrame, source: int, target: int, depth: int = 8) -> DataFrame:
-    """``(step, nid)`` of a shortest directed path: the least one by node numbers; no rows if there is none.
+def shortest_path(edges: DataFrame, source: int, target: int) -> DataFrame:
+    """``(step, nid)`` of a shortest directed path, however long: the least one by node numbers; no rows if there is none.
 
-    Distances to the target come from one bounded search; the walk back follows the smallest node
-    that is one nearer, so only one row moves at each step.
+    Two searches meet: levels from the source and levels to the target, the smaller one growing by a hop.
+    Then levels shrink to what lies on a shortest path, and the path follows the smallest node of each;
+    only its own nodes, one a step, go to the driver.
     """
     spark = edges.sparkSession
-    one = spark.range(1).select(F.lit(target).cast("long").alias("target"), F.lit(target).cast("long").alias("nid"))
-    away = cut(bfs(edges, one, depth, "in").select(F.col("nid").alias("to"), "hop"))
-    at = away.where(F.col("to") == source).select(F.lit(0).alias("step"), F.col("to").alias("nid"), "hop")
-    path = at
-    start = at.first()
-    for step in range(1, (start["hop"] if start else 0) + 1):
-        nearer = at.join(edges, F.col("nid") == F.col("src")).select(F.col("dst").alias("to"), (F.col("hop") - 1).alias("left"))
-        nearer = nearer.join(away, "to").where("hop = left").agg(F.min("to").alias("nid"))
-        at = cut(nearer.select(F.lit(step).alias("step"), "nid", F.lit(start["hop"] - step).alias("hop")))
-        path = path.union(at)
-    return path.select("step", "nid")
+    calls = edges.select("src", "dst").distinct()
+    one = lambda nid: cut(spark.range(1).select(F.lit(nid).cast("long").alias("nid")))
+    ends = {"src": ("dst", [one(source)]), "dst": ("src", [one(target)])}
+    sizes = {"src": 1, "dst": 1}
+    met = source == target
+    while not met:
+        at = min(sizes, key=sizes.get)
+        to, levels = ends[at]
+        fresh = levels[-1].join(calls, F.col("nid") == F.col(at)).select(F.col(to).alias("nid")).distinct()
+        levels.append(cut(fresh.join(reduce(DataFrame.union, levels), "nid", "left_anti")))
+        facing = ends[to][1][-1].withColumn("met", F.lit(True))
+        sizes[at], met = levels[-1].join(facing, "nid", "left").agg(F.count("*"), F.count("met")).first()
+        if not sizes[at]:
+            return spark.createDataFrame([], "step int, nid long")
+    from_source, to_target = ends["src"][1], ends["dst"][1]
+    on = [cut(from_source[-1].join(to_target[-1], "nid", "left_semi"))]
+    for level in from_source[-2::-1]:  # back from the meeting: what leads on to it
+        leads = calls.join(on[0].select(F.col("nid").alias("dst")), "dst", "left_semi").select(F.col("src").alias("nid")).distinct()
+        on.insert(0, cut(level.join(leads, "nid", "left_semi")))
+    path = [source]
+    for level in [*on[1:], *to_target[-2::-1]]:  # a level to the target needs no shrinking: all of it leads on
+        after = calls.where(F.col("src") == path[-1]).select(F.col("dst").alias("nid"))
+        path.append(after.join(level, "nid", "left_semi").agg(F.min("nid")).first()[0])
+    return spark.createDataFrame(list(enumerate(path)), "step int, nid long")
 
 
 def audit_sinks(nodes: DataFrame, edges: DataFrame, targets: DataFrame, depth: int = 8, direction: str = "upstream") -> DataFrame:

@@ -1,7 +1,8 @@
 """Symbol extraction: one parser per language behind a registry.
 
 ``register(extension, parser)`` adds a language: a parser takes (file, text) and yields rows of
-``NODE_SCHEMA`` as dictionaries.
+``NODE_SCHEMA`` as dictionaries. The table of parsers travels with each job, so what is registered on the
+driver runs on the executors.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ def row(**own) -> dict:
     return base | own
 
 
-def parse_source(file: str, text: str) -> list[dict]:
+def parse_source(file: str, text: str, parsers: dict[str, Parser] | None = None) -> list[dict]:
     """Rows of one file, ordered by position; an empty file is an error but for a package marker."""
-    parser = EXTENSIONS.get(file.rsplit(".", 1)[-1].lower())
+    parser = (EXTENSIONS if parsers is None else parsers).get(file.rsplit(".", 1)[-1].lower())
     if parser is None:
         return []
     if not text.strip():

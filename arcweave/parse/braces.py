@@ -35,6 +35,38 @@ _IMPORTS = {
     "typescript": r"^\s*import\s+(?:type\s+)?(?:([^'\"]+?)\s+from\s+)?['\"]([^'\"]+)['\"]", "rust": r"^\s*(?:pub\s+)?use\s+()([^;]+);", "go": r"^\s*(?:import\s+)?(?:[\w.]+\s+)?()\"([^\"]+)\"\s*$",
     "java": r"^\s*import\s+(?:static\s+)?()([\w.*]+)\s*;", "c": r"^\s*#\s*include\s+()[<\"]([^>\"]+)[>\"]", "cpp": r"^\s*#\s*include\s+()[<\"]([^>\"]+)[>\"]", "csharp": r"^\s*using\s+()([\w.]+)\s*;", "dart": r"^\s*import\s+()['\"]([^'\"]+)['\"]",
 }
+#: Declarations that lines without semicolons make: language -> (kind, rule).
+_LINES = {
+    "typescript": [("type_alias", r"^[ \t]*(?:export\s+)?(?:declare\s+)?type\s+(\w+)\s*(?:<[^=;{}]*>)?\s*=")],
+    "go": [("module", r"^package\s+(\w+)"), ("constant", r"^const\s+(\w+)"), ("variable", r"^var\s+(\w+)"), ("type_alias", r"^type\s+(\w+)\s*=?\s*(?!struct\b|interface\b|=)[\w*\[(]")],
+}
+_GROUPS = {"const": "constant", "var": "variable"}
+_MODIFIERS = r"(?:(?:public|private|protected|internal|static|final|readonly|const|volatile|transient|mutable|inline|constexpr|late|required|override|virtual|abstract|sealed|new|extern|unsafe)\s+)*"
+_VARIABLE = rf"(?:[@\[][\w.\]]+(?:\([^)]*\))?\s*)*{_MODIFIERS}[\w:<>,\[\]?. ]+?[\s*&]+(\w+\s*(?:\[\w*\]\s*)?(?:=[^,]*)?(?:,\s*\w+\s*(?:=[^,]*)?)*)"
+
+
+def _stated(head: str, language: str, owners: list[tuple[str | None, str | None]]) -> list[tuple[str, str, str | None]]:
+    """(kind, name, owner) of what a statement declares: aliases, constants, packages, fields, variables."""
+    head = " ".join(head.split())
+    inside = owners[-1][1] if owners else "top"
+    if any(what == "function" for _, what in owners) or inside is None or not head:
+        return []
+    for kind, where, rule in {
+        "rust": [("constant", "any", r"(?:pub(?:\([^)]*\))? )?(?:const|static(?: mut)?) (\w+) ?:.*"), ("type_alias", "any", r"(?:pub(?:\([^)]*\))? )?type (\w+).*")],
+        "java": [("module", "top", r"package ([\w.]+)")], "csharp": [("module", "top", r"namespace ([\w.]+)")], "dart": [("module", "top", r"library ([\w.]+)")],
+        "c": [("type_alias", "any", r"typedef .*?\(\s*\*\s*(\w+)\s*\).*"), ("type_alias", "any", r"typedef .*?(\w+)(?:\[\w*\])?")], "cpp": [("import", "any", r"using (?:namespace )?([\w:]+)")],
+    }.get(language, []):
+        found = re.fullmatch(rule, head)
+        if found and where in ("any", inside):
+            return [(kind, found[1], None)]
+    if not (inside == "type" and language in ("java", "csharp", "cpp") or inside == "top" and language == "dart"):
+        return []
+    found = re.fullmatch(_VARIABLE, re.sub(r"^(?:public|private|protected)\s*:\s*", "", head))
+    if not found or re.match(r"(?:return|using|import|export|part|library|throw|friend|typedef|template|delegate|event)\b", head) or "(" in re.sub(r"^(?:@\w+(?:\([^)]*\))?\s*)+", "", head).split("=")[0]:
+        return []
+    names = [re.match(r"\w+", x.strip())[0] for x in re.split(r",(?![^<(\[{]*[>)\]}])", found[1]) if re.match(r"\w+", x.strip())]
+    owner = owners[-1][0] if inside == "type" else None
+    return [("field" if owner else "variable", name, owner) for name in names]
 
 
 def _blank(text: str) -> str:
@@ -76,9 +108,14 @@ def parse_braces(file: str, text: str, language: str) -> Iterator[dict]:
             star = re.match(r"\*\s+as\s+(\w+)", m[1])
             names = [f"*as:{star[1]}"] if star else [x.split(" as ")[-1].strip() for x in re.sub(r"[{}]", ",", m[1]).split(",") if x.strip()]
         rows.append({"name": m[2], "qualified_name": m[2], "kind": "import", "file": file, "line_start": line_of(m.start()), "line_end": line_of(m.end()), "byte_start": m.start(), "byte_end": m.end(), "references": names})
+    for kind, rule in _LINES.get(language, []):
+        rows += [_row(file, m[1], m[1], kind, m.start(), m.end(), text, line_of, []) for m in re.finditer(rule, plain, re.M)]
+    if language == "go":
+        for group in re.finditer(r"^(const|var)\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)", plain, re.M):
+            rows += [_row(file, m[1], m[1], _GROUPS[group[1]], group.start(2) + m.start(1), group.start(2) + m.end(), text, line_of, []) for m in re.finditer(r"^[ \t]*(\w+)\b[^\n]*", group[2], re.M)]
     owners: list[tuple[str | None, str | None]] = []
-    opened: list[tuple[int, dict | None]] = []
-    head_at, depth_parens = 0, 0
+    opened: list[tuple[int, dict | None, bool]] = []
+    head_at, depth_parens, named = 0, 0, False
     join = "::" if language == "cpp" else "."
     for m in re.finditer(r"[{}();]", plain):
         c, at = m[0], m.start()
@@ -92,7 +129,12 @@ def parse_braces(file: str, text: str, language: str) -> Iterator[dict]:
                     name = re.search(_SIGNED, head)[1]
                     if name not in _WORDS:
                         rows.append(_row(file, name, name, "function", head_at, at, text, line_of, []))
-                head_at, depth_parens = at + 1, 0
+                elif named and re.fullmatch(r"\s*\w+\s*", head):
+                    rows.append(_row(file, head.strip(), head.strip(), "type_alias", head_at, at, text, line_of, []))
+                start = head_at + len(head) - len(head.lstrip())
+                for kind, name, owner in _stated(head, language, owners):
+                    rows.append(_row(file, name, f"{owner}{join}{name}" if owner else name, kind, start, at, text, line_of, []))
+                head_at, depth_parens, named = at + 1, 0, False
             continue
         if c == "{":
             made = _declared(plain[head_at:at], language, owners)
@@ -106,10 +148,10 @@ def parse_braces(file: str, text: str, language: str) -> Iterator[dict]:
                     qualified = f"{owner}{join}{name}" if owner else name
                     row = _row(file, name.split("::")[-1], qualified, kind, start, at, text, line_of, [])
                     rows.append(row)
-            owners.append((made[1], "type" if made[0] not in ("function", "method", "constructor") else "function") if made else (None, None))
-            opened.append((at, row))
+            owners.append((made[1], "function" if made[0] in ("function", "method", "constructor", "field") else "top" if made[0] == "module" else "type") if made else (None, None))
+            opened.append((at, row, bool(re.match(r"\s*typedef\b", plain[head_at:at]))))
         elif opened:
-            begin, row = opened.pop()
+            begin, row, named = opened.pop()
             owners.pop()
             if row is not None:
                 row["line_end"], row["byte_end"] = line_of(at), at + 1
@@ -134,6 +176,8 @@ def _declared(head: str, language: str, owners: list[tuple[str | None, str | Non
         if impl:
             return "impl", impl[1], None
     for kind, rule in _TYPES[language]:
+        # without semicolons a head reaches back to the last block: a type stands on its last line
+        head = head.rsplit("\n", 1)[-1] if language == "go" and re.search(rule, head.rsplit("\n", 1)[-1]) else head
         found = re.search(rule, head)
         if found and "(" not in head[: found.start()]:
             return kind, found[1], None
@@ -142,6 +186,10 @@ def _declared(head: str, language: str, owners: list[tuple[str | None, str | Non
         if found:
             receiver = found[1] if found.re.groups == 2 else owner if language == "rust" else None
             return ("method" if receiver else "function"), found[found.re.groups], receiver
+    if language == "csharp" and owners and owners[-1][1] == "type" and "(" not in head and "=" not in head:
+        found = re.fullmatch(rf"(?:\[[^\]]*\]\s*)*{_MODIFIERS}[\w<>,\[\]?. ]+\s(\w+)", " ".join(head.split()))
+        if found:  # a property and its accessors
+            return "field", found[1], owner
     if language in _FUNCTIONS and not (language == "typescript" and owner and owners and owners[-1][1] == "type"):
         return None
     if any(what == "function" for _, what in owners):

@@ -1,15 +1,41 @@
-"""Lineage control for iterative plans."""
+"""Lineage control for iterative plans: tables and checkpoints in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; our own only where none is set."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` reliably in the folder of ``spark.checkpoint.dir``; our own folder only where none is set."""
+    """``df`` written once as a table and read back: what follows knows its size, and a lost executor costs nothing before it."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/graph/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def placed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out and sorted by ``key`` once and checkpointed, which keeps both: joins on the key move only the other side."""
+    shared_dir(df.sparkSession)
+    return cut(df).repartition(key).sortWithinPartitions(key).checkpoint()
+
+
+_KEPT: dict[tuple[str, str], DataFrame] = {}
+
+
+def kept(spark: SparkSession, key: str, make) -> DataFrame:
+    """What ``make`` gives, written as a table once in a Spark application."""
+    own = (spark.sparkContext.applicationId, key)
+    if own not in _KEPT:
+        _KEPT[own] = cut(make())
+    return _KEPT[own]

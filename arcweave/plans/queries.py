@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon, predicates, text
 from ..operators import change, rank, resolve, search, summary, traverse
 from ..parse.lines import line_symbols, markdown_sections
+from ..plans.lineage import kept
 from ..sources import tables
 from ..streaming.debounce import debounce
 
@@ -31,7 +32,13 @@ def _query(sql: str | None = None):
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return tables.nodes(spark, d), tables.edges(spark, d)
+    """The graph of a folder of tables: built once in a Spark application, as an index is, and kept as two tables."""
+    return kept(spark, f"nodes {d}", lambda: tables.nodes(spark, d)), kept(spark, f"edges {d}", lambda: tables.edges(spark, d))
+
+
+def _centrality(spark: SparkSession, d: str) -> DataFrame:
+    """Centrality of that graph, kept like it; ``centrality_raw`` works it out each time."""
+    return kept(spark, f"centrality {d}", lambda: rank.centrality(*_graph(spark, d), tolerance=None))
 
 
 def _ids(spark: SparkSession, *nids: int) -> DataFrame:
@@ -68,7 +75,7 @@ def graph_stats(spark, d):
 
 @_query(f"{_with()} SELECT regexp_extract(file, '\\.([^./]+)$', 1) AS ext, count(DISTINCT file) AS files FROM nodes GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 def status_languages(spark, d):
-    return summary.languages(tables.nodes(spark, d))
+    return summary.languages(_graph(spark, d)[0])
 
 
 @_query(f"{_with()} SELECT e.src AS nid, n.name FROM edges e JOIN nodes n ON n.nid = e.src WHERE e.dst = {NATION} AND e.kind = 'calls'")
@@ -90,7 +97,7 @@ def degree(spark, d):
 
 @_query(f"{_with(_reach('r', f'SELECT CAST({REGION} AS BIGINT) AS nid', 'in', 3))} SELECT nid, hop FROM r WHERE hop > 0")
 def dependents(spark, d):
-    return traverse.impact(tables.edges(spark, d), _ids(spark, REGION), 3).select("nid", "hop")
+    return traverse.impact(_graph(spark, d)[1], _ids(spark, REGION), 3).select("nid", "hop")
 
 
 def _impact_sql(nid: int, side: str, depth: int) -> str:
@@ -106,12 +113,12 @@ def _impact_sql(nid: int, side: str, depth: int) -> str:
 
 @_query(_impact_sql(NATION, "in", 5))
 def impact_upstream(spark, d):
-    return traverse.impact(tables.edges(spark, d), _ids(spark, NATION), 5).select("nid", "hop", "severity", "entry_edge")
+    return traverse.impact(_graph(spark, d)[1], _ids(spark, NATION), 5).select("nid", "hop", "severity", "entry_edge")
 
 
 @_query(_impact_sql(ORDER, "out", 5))
 def impact_downstream(spark, d):
-    return traverse.impact(tables.edges(spark, d), _ids(spark, ORDER), 5, "downstream").select("nid", "hop", "severity", "entry_edge")
+    return traverse.impact(_graph(spark, d)[1], _ids(spark, ORDER), 5, "downstream").select("nid", "hop", "severity", "entry_edge")
 
 
 _NATIONS = "SELECT nid FROM nodes WHERE file = 'src/geo/nations.py'"
@@ -120,17 +127,31 @@ _NATIONS = "SELECT nid FROM nodes WHERE file = 'src/geo/nations.py'"
 @_query(f"{_with(_reach('r', _NATIONS, 'in', 5))} SELECT target, count(*) FILTER (WHERE hop <= 1) AS direct, count(*) FILTER (WHERE hop IN (2, 3)) AS transitive, count(*) FILTER (WHERE hop > 3) AS distant, count(*) AS total FROM r WHERE hop > 0 GROUP BY target")
 def impact_summary(spark, d):
     nodes, edges = _graph(spark, d)
-    return traverse.impact_counts(traverse.impact(edges, nodes.where("file = 'src/geo/nations.py'"), 5))
+    return traverse.impact_summary(edges, nodes.where("file = 'src/geo/nations.py'"), 5)
 
 
-@_query(
-    f"{_with(_reach('r', f'SELECT CAST({REGION} AS BIGINT) AS nid', 'in', 8))}, p0 AS (SELECT nid, hop FROM r WHERE nid = 101 * 8 + 5)"
-    + "".join(f", p{k} AS (SELECT min(e.dst) AS nid, min(r.hop) AS hop FROM p{k - 1} p JOIN edges e ON e.src = p.nid JOIN r ON r.nid = e.dst AND r.hop = p.hop - 1)" for k in range(1, 9))
-    + " SELECT 0 AS step, nid FROM p0" + "".join(f" UNION ALL SELECT {k}, nid FROM p{k} WHERE nid IS NOT NULL" for k in range(1, 9))
+# Least distances to the target, keyed by node, and the walk from the source: neither has a limit.
+_PATH = (
+    "away(nid, hop) USING KEY (nid) AS (SELECT CAST({target} AS BIGINT), 0 UNION SELECT e.src, r.hop + 1 FROM away r JOIN edges e ON e.dst = r.nid LEFT JOIN recurring.away k ON k.nid = e.src WHERE k.nid IS NULL),"
+    " walk(step, nid, hop) AS (SELECT 0, nid, hop FROM away WHERE nid = {source} UNION ALL SELECT w.step + 1, min(e.dst), w.hop - 1 FROM walk w JOIN edges e ON e.src = w.nid JOIN away a ON a.nid = e.dst AND a.hop = w.hop - 1 GROUP BY w.step, w.hop)"
 )
+
+
+@_query(f"{_with(_PATH.format(source=101 * 8 + 5, target=REGION))} SELECT step, nid FROM walk")
 def shortest_path(spark, d):
     """From order 101 to a region; no rows where none leads there."""
-    return traverse.shortest_path(tables.edges(spark, d), 101 * 8 + 5, REGION)
+    return traverse.shortest_path(_graph(spark, d)[1], 101 * 8 + 5, REGION)
+
+
+_CHAIN = f"WITH RECURSIVE edges AS (SELECT c_custkey AS src, c_custkey + 1 AS dst FROM customer UNION ALL SELECT c_custkey, c_custkey + 3 FROM customer WHERE c_custkey % 5 = 0), {_PATH.format(source=1, target=60)}"
+
+
+@_query(f"{_CHAIN} SELECT step, nid FROM walk")
+def shortest_path_long(spark, d):
+    """A path of dozens of hops along a chain of customers with short cuts."""
+    customers = tables.load(spark, d, "customer")
+    chain = customers.select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 1).alias("dst"))
+    return traverse.shortest_path(chain.union(customers.where("c_custkey % 5 = 0").select("c_custkey", F.col("c_custkey") + 3)), 1, 60)
 
 
 def _rank_ctes(rounds: int = 20) -> str:
@@ -140,7 +161,7 @@ def _rank_ctes(rounds: int = 20) -> str:
     )
     for k in range(1, rounds + 1):
         base += f", s{k} AS MATERIALIZED (SELECT i.nid, 0.15::DOUBLE / n.n + 0.85::DOUBLE * coalesce(g.gain, 0) AS raw FROM nodes i CROSS JOIN n LEFT JOIN (SELECT h.dst, sum(h.share * s.raw) AS gain FROM share h JOIN s{k - 1} s ON s.nid = h.src GROUP BY h.dst) g ON g.dst = i.nid)"
-    return base + f", c AS MATERIALIZED (SELECT nid, round(raw, 12) AS raw, percent_rank() OVER (ORDER BY round(raw, 12)) AS pct FROM s{rounds})"
+    return base + f", c AS MATERIALIZED (SELECT nid, round(raw * n.n, 7) / n.n AS raw, percent_rank() OVER (ORDER BY round(raw * n.n, 7)) AS pct FROM s{rounds}, n)"
 
 
 @_query(f"{_with()}{_rank_ctes()} SELECT nid, round(raw, 9) AS raw FROM c")
@@ -150,13 +171,13 @@ def centrality_raw(spark, d):
 
 @_query(f"{_with()}{_rank_ctes()} SELECT nid, round(pct, 6) AS pct FROM c")
 def centrality_percentile(spark, d):
-    return rank.centrality(*_graph(spark, d), tolerance=None).select("nid", F.round("pct", 6).alias("pct"))
+    return _centrality(spark, d).select("nid", F.round("pct", 6).alias("pct"))
 
 
 @_query(f"{_with()}{_rank_ctes()}, top AS (SELECT * FROM c ORDER BY pct DESC, nid LIMIT 20) SELECT n.nid, n.name, n.file, round(top.pct, 6) AS pct FROM top JOIN nodes n ON n.nid = top.nid")
 def hotspots(spark, d):
     nodes, edges = _graph(spark, d)
-    return summary.hotspots(nodes, rank.centrality(nodes, edges, tolerance=None)).withColumn("pct", F.round("pct", 6))
+    return summary.hotspots(nodes, _centrality(spark, d)).withColumn("pct", F.round("pct", 6))
 
 
 # The resolver, written as lists of candidates rather than as joins on counts.
@@ -209,12 +230,12 @@ def resolve_symbol_ranked(spark, d):
     """The nodes that share the name of part 7."""
     nodes, edges = _graph(spark, d)
     name = nodes.where(F.col("nid") == PART).first()
-    return search.resolve_symbol(nodes, rank.degree(nodes, edges), rank.centrality(nodes, edges, tolerance=None), name["name"] if name else "").withColumn("rank", F.col("rank").cast("long"))
+    return search.resolve_symbol(nodes, rank.degree(nodes, edges), _centrality(spark, d), name["name"] if name else "").withColumn("rank", F.col("rank").cast("long"))
 
 
 @_query(f"{_with()} SELECT nid, name FROM nodes WHERE contains(lower(name), 'gear') OR contains(lower(name), 'page')")
 def search_literal(spark, d):
-    return search.search_literal(tables.nodes(spark, d), "gear|Page").select("nid", "name")
+    return search.search_literal(_graph(spark, d)[0], "gear|Page").select("nid", "name")
 
 
 def _tokens_sql(column: str) -> str:
@@ -242,7 +263,7 @@ def _ranked_sql(query: str) -> str:
 
 @_query(_ranked_sql("get query member"))
 def search_ranked(spark, d):
-    return search.search_ranked(tables.nodes(spark, d), "get query member")
+    return search.search_ranked(_graph(spark, d)[0], "get query member")
 
 
 @_query(f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents) x")
@@ -253,7 +274,7 @@ def tokenize_documents(spark, d):
 
 @_query(f"{_with()}, t AS (SELECT DISTINCT unnest({_tokens_sql('name')}) AS token FROM nodes) SELECT token, {_stem_sql('token')} AS stem FROM t")
 def stem_tokens(spark, d):
-    tokens = tables.nodes(spark, d).select(F.explode(text.tokenize(F.col("name"))).alias("token")).distinct()
+    tokens = _graph(spark, d)[0].select(F.explode(text.tokenize(F.col("name"))).alias("token")).distinct()
     return tokens.select("token", text.stem(F.col("token")).alias("stem"))
 
 
@@ -269,7 +290,7 @@ def concept_expand(spark, d):
 
 @_query(f"{_with()} SELECT nid, name FROM nodes WHERE {_ENTRY}")
 def entry_points(spark, d):
-    return summary.entry_points(tables.nodes(spark, d)).select("nid", "name")
+    return summary.entry_points(_graph(spark, d)[0]).select("nid", "name")
 
 
 @_query(
@@ -279,31 +300,35 @@ def entry_points(spark, d):
 def test_file_flags(spark, d):
     file = F.col("file")
     flags = {"ranking": predicates.is_test_ranking, "segment": predicates.is_test_segment, "service": predicates.is_test_service, "audit": predicates.is_test_audit, "generated": predicates.is_generated}
-    return tables.nodes(spark, d).select("file").distinct().select("file", *[f(file).alias(name) for name, f in flags.items()])
+    return _graph(spark, d)[0].select("file").distinct().select("file", *[f(file).alias(name) for name, f in flags.items()])
 
 
 @_query(f"{_with()} SELECT nid, 'event_source' AS source, 'event_handler' AS kind, 0.7::DOUBLE AS confidence FROM nodes WHERE {_HANDLER} UNION ALL SELECT nid, 'caller', 'callback', 0.6::DOUBLE FROM nodes WHERE {_CALLBACK} UNION ALL SELECT nid, 'parent_widget', 'widget_tree', 0.8::DOUBLE FROM nodes WHERE {_WIDGET}")
 def uncertain_edges(spark, d):
-    return summary.uncertain_edges(tables.nodes(spark, d))
+    return summary.uncertain_edges(_graph(spark, d)[0])
 
 
 @_query(f"{_with()}, s AS (SELECT 'callback' AS pattern, count(*) AS n, 5 AS m FROM nodes WHERE {_CALLBACK} UNION ALL SELECT 'event_handler', count(*), 3 FROM nodes WHERE {_HANDLER} UNION ALL SELECT 'widget', count(*), 0 FROM nodes WHERE {_WIDGET}) SELECT pattern, n FROM s WHERE n > m")
 def analysis_limitations(spark, d):
-    return summary.limitations(tables.nodes(spark, d))
+    return summary.limitations(_graph(spark, d)[0])
 
 
-_PROFILED = "SELECT nid FROM nodes WHERE file IN ('src/geo/regions.py', 'src/geo/nations.py') OR nid IN (29, 37, 45, 60, 61)"
-_PROFILE_SQL = f"{_with(_reach('u', _PROFILED, 'in', 5), _reach('w', _PROFILED, 'out', 5))}, p AS (SELECT t.nid, (SELECT count(*) FROM u WHERE u.target = t.nid AND hop > 0) AS upstream, (SELECT count(*) FROM w WHERE w.target = t.nid AND hop > 0) AS downstream FROM ({_PROFILED}) t)"
+_ALL = "SELECT nid FROM nodes"
+_COUNTED = "SELECT target, count(*) AS n FROM {} WHERE hop > 0 GROUP BY target"
+_PROFILE_SQL = (
+    f"{_with(_reach('u', _ALL, 'in', 5), _reach('w', _ALL, 'out', 5))}, p AS (SELECT t.nid, coalesce(a.n, 0) AS upstream, coalesce(b.n, 0) AS downstream"
+    f" FROM nodes t LEFT JOIN ({_COUNTED.format('u')}) a ON a.target = t.nid LEFT JOIN ({_COUNTED.format('w')}) b ON b.target = t.nid)"
+)
 
 
 def _profiled(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark, d)
-    chosen = nodes.where(F.col("file").isin("src/geo/regions.py", "src/geo/nations.py") | F.col("nid").isin(29, 37, 45, 60, 61))
-    return summary.profile(edges, chosen.select("nid"))
+    return kept(spark, f"profile {d}", lambda: summary.profile(edges, nodes.select("nid")))
 
 
 @_query(f"{_PROFILE_SQL} SELECT nid, upstream, downstream, CASE WHEN upstream = 0 AND downstream = 0 THEN 'isolated' WHEN upstream = 0 THEN 'entry_point' WHEN downstream = 0 THEN 'utility' WHEN (upstream <= 2 AND downstream > 5) OR (downstream <= 2 AND upstream > 5) THEN 'adapter' ELSE 'core_logic' END AS role FROM p")
 def node_role(spark, d):
+    """Of every node."""
     return _profiled(spark, d).select("nid", "upstream", "downstream", "role")
 
 
@@ -312,28 +337,24 @@ def confidence_level(spark, d):
     return _profiled(spark, d).select("nid", "confidence")
 
 
-_ALL = "SELECT nid FROM nodes"
-_COUNTED = "SELECT target, count(*) AS n FROM {} WHERE hop > 0 GROUP BY target"
-_PROFILE_ALL_SQL = (
-    f"{_with(_reach('u', _ALL, 'in', 5), _reach('w', _ALL, 'out', 5))}, p AS (SELECT t.nid, coalesce(a.n, 0) AS upstream, coalesce(b.n, 0) AS downstream"
-    f" FROM nodes t LEFT JOIN ({_COUNTED.format('u')}) a ON a.target = t.nid LEFT JOIN ({_COUNTED.format('w')}) b ON b.target = t.nid)"
+@_query(
+    f"{_with()}{_rank_ctes()}, ins AS (SELECT dst AS nid, count(*) AS n FROM edges WHERE kind = 'calls' GROUP BY dst), outs AS (SELECT src AS nid, count(*) AS n FROM edges WHERE kind = 'calls' GROUP BY src),"
+    f" q AS (SELECT n.nid, coalesce(i.n, 0) AS callers, coalesce(o.n, 0) AS callees, round(c.pct, 6) AS pct, {_ENTRY} AS entry FROM nodes n JOIN c ON c.nid = n.nid LEFT JOIN ins i ON i.nid = n.nid LEFT JOIN outs o ON o.nid = n.nid)"
+    " SELECT *, CASE WHEN entry THEN 'entry_point' WHEN callers = 0 THEN 'unreachable' WHEN callees = 0 THEN 'utility' ELSE 'internal' END AS role FROM q"
 )
-
-
-def _profiled_all(spark: SparkSession, d: str) -> DataFrame:
+def inspect_role(spark, d):
     nodes, edges = _graph(spark, d)
-    return summary.profile(edges, nodes.select("nid"))
-
+    return summary.inspected(nodes, rank.degree(nodes, edges), _centrality(spark, d)).withColumn("pct", F.round("pct", 6))
 
-@_query(_SQL["node_role"].replace(_PROFILE_SQL, _PROFILE_ALL_SQL))
-def node_role_all(spark, d):
-    """Of every node, where ``node_role`` has those of two files and five more."""
-    return _profiled_all(spark, d).select("nid", "upstream", "downstream", "role")
 
-
-@_query(_SQL["confidence_level"].replace(_PROFILE_SQL, _PROFILE_ALL_SQL))
-def confidence_level_all(spark, d):
-    return _profiled_all(spark, d).select("nid", "confidence")
+@_query(
+    f"{_with()}{_rank_ctes()}, e AS (SELECT name, file, row_number() OVER (ORDER BY name, nid) AS rank FROM nodes WHERE {_ENTRY}), h AS (SELECT n.name, n.file, round(c.pct, 6) AS pct, row_number() OVER (ORDER BY c.pct DESC, c.nid) AS rank FROM c JOIN nodes n ON n.nid = c.nid)"
+    " SELECT 'total' AS section, 1::BIGINT AS rank, 'symbols' AS name, NULL::VARCHAR AS detail, (SELECT count(*) FROM nodes)::DOUBLE AS value UNION ALL SELECT 'total', 2, 'connections', NULL, (SELECT count(*) FROM edges)::DOUBLE"
+    " UNION ALL SELECT DISTINCT 'language', NULL::BIGINT, regexp_extract(file, '\\.([^./]+)$', 1), NULL, NULL::DOUBLE FROM nodes WHERE regexp_matches(file, '\\.([^./]+)$')"
+    " UNION ALL SELECT 'entry', rank, name, file, NULL::DOUBLE FROM e WHERE rank <= 20 UNION ALL SELECT 'hotspot', rank, name, file, pct FROM h WHERE rank <= 20"
+)
+def agent_onboard(spark, d):
+    return summary.onboard(*_graph(spark, d), _centrality(spark, d)).withColumn("value", F.round("value", 6))
 
 
 _CHANGED = "SELECT nid FROM nodes WHERE file IN ('src/jobs/supply_1.py', 'src/geo/regions.py')"
@@ -364,17 +385,17 @@ def check_gate(spark, d):
 @_query(f"{_with()} SELECT nid, file FROM nodes WHERE ends_with(file, '/jobs/supply_1.py') OR file = 'src/geo/regions.py'")
 def changed_file_match(spark, d):
     files = spark.createDataFrame([("jobs\\supply_1.py",), ("src/geo/regions.py",), ("ply_2.py",)], "changed string")
-    return change.changed_files(tables.nodes(spark, d), files)
+    return change.changed_files(_graph(spark, d)[0], files)
 
 
-_RANGES = "syms AS (SELECT l_orderkey * 8 + l_linenumber AS nid, concat('order_', CAST(l_orderkey AS VARCHAR)) AS file, 10 * l_linenumber AS line_start, 10 * l_linenumber + CAST(floor(l_quantity) AS INT) AS line_end FROM lineitem), ranges AS (SELECT concat('order_', CAST(o_orderkey AS VARCHAR)) AS file, 15 AS start, 35 AS stop FROM orders WHERE o_orderkey % 7 = 0)"
+_RANGES = "syms AS (SELECT l_orderkey * 8 + l_linenumber AS nid, concat('order_', CAST(l_orderkey AS VARCHAR)) AS file, 10 * l_linenumber AS line_start, 10 * l_linenumber + CAST(floor(l_quantity) AS INT) AS line_end FROM lineitem), ranges AS (SELECT concat('order_', CAST(o_orderkey AS VARCHAR)) AS file, 15 AS start, 35 AS stop FROM orders)"
 
 
-def _ranges(spark: SparkSession, d: str, changed: str = "o_orderkey % 7 = 0") -> tuple[DataFrame, DataFrame]:
+def _ranges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     items, orders = tables.load(spark, d, "lineitem"), tables.load(spark, d, "orders")
     start = 10 * F.col("l_linenumber")
     symbols = items.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("nid"), F.concat(F.lit("order_"), F.col("l_orderkey").cast("string")).alias("file"), start.alias("line_start"), (start + F.floor("l_quantity").cast("int")).alias("line_end"))
-    return symbols, orders.where(changed).select(F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("file"), F.lit(15).alias("start"), F.lit(35).alias("stop"))
+    return symbols, orders.select(F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("file"), F.lit(15).alias("start"), F.lit(35).alias("stop"))
 
 
 @_query(f"WITH {_RANGES} SELECT nid, file FROM syms s WHERE EXISTS (SELECT 1 FROM ranges r WHERE r.file = s.file AND (s.line_end = 0 OR (r.start <= s.line_end AND s.line_start <= r.stop)))")
@@ -387,17 +408,6 @@ def files_without_hits(spark, d):
     return change.files_without_hits(*_ranges(spark, d))
 
 
-@_query(_SQL["changed_ranges"].replace(" WHERE o_orderkey % 7 = 0", ""))
-def changed_ranges_all(spark, d):
-    """With a changed range in every order, where ``changed_ranges`` has one in every seventh."""
-    return change.changed_ranges(*_ranges(spark, d, "true"))
-
-
-@_query(_SQL["files_without_hits"].replace(" WHERE o_orderkey % 7 = 0", ""))
-def files_without_hits_all(spark, d):
-    return change.files_without_hits(*_ranges(spark, d, "true"))
-
-
 @_query(
     "WITH h AS (SELECT o_orderkey, o_custkey % 900 AS c, o_orderkey % 5 AS n FROM orders WHERE o_orderkey % 11 <> 0) SELECT o_orderkey, CASE WHEN n = 0 THEN greatest(c, 1) ELSE c END AS start,"
     " CASE WHEN n = 4 THEN c WHEN n = 0 THEN greatest(c, 1) ELSE c + n - 1 END AS stop FROM h"
@@ -425,17 +435,42 @@ _MAP = (
 @_query(f"{_MAP} SELECT nid, name, file, round(score, 6) AS score, file_rank FROM rk WHERE file_rank <= 5")
 def map_topk_per_file(spark, d):
     nodes, edges = _graph(spark, d)
-    rows = summary.map_rows(nodes, rank.centrality(nodes, edges, tolerance=None))
+    rows = summary.map_rows(nodes, _centrality(spark, d))
     return rows.select("nid", "name", "file", F.round("score", 6).alias("score"), F.col("file_rank").cast("long").alias("file_rank"))
 
 
-@_query()
+# A signature as name(a, b), and the fold over symbols in order: used characters, taken symbols, the file that is full, the end.
+_SHORT = (
+    "left(CASE WHEN n.signature IS NULL THEN n.name ELSE regexp_extract(n.signature, '([^ (]+)\\(', 1) || '('"
+    " || array_to_string(list_transform(string_split(regexp_extract(n.signature, '\\((.*)\\)', 1), ','), lambda x: trim(string_split(string_split(x, ':')[1], '=')[1])), ', ') || ')' END, 80)"
+)
+_FOLD = (
+    ", lead AS (SELECT file, score AS lead, nid AS lead_nid FROM rk WHERE file_rank = 1), so AS MATERIALIZED (SELECT row_number() OVER (ORDER BY l.lead DESC, l.lead_nid, r.file_rank) AS k, r.file_rank, l.lead_nid AS f, r.nid, r.file, r.score,"
+    f" {_SHORT} AS short FROM rk r JOIN lead l ON l.file = r.file JOIN nodes n ON n.nid = r.nid WHERE r.file_rank <= 5),"
+    " fold(k, used, taken, took, full_file, over) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, false, NULL::BIGINT, false UNION ALL"
+    " SELECT k, CASE WHEN fits THEN used + cost ELSE used END, taken + fits::BIGINT, fits, CASE WHEN NOT fits THEN f ELSE full_file END, ended FROM (SELECT s.k, o.used, o.taken, o.full_file, s.f, length(s.short) + 50 AS cost,"
+    " o.over OR (s.file_rank = 1 AND o.used >= 4096) AS ended, NOT (o.over OR (s.file_rank = 1 AND o.used >= 4096)) AND s.f IS DISTINCT FROM o.full_file AND (o.used + length(s.short) + 50 <= 4096 OR o.taken = 0) AS fits FROM fold o JOIN so s ON s.k = o.k + 1) x)"
+)
+
+
+@_query(
+    _MAP + _FOLD
+    + " SELECT o.taken AS rank, s.nid, CASE WHEN len(string_split(s.file, '/')) > 4 THEN concat(string_split(s.file, '/')[1], '/.../', array_to_string(string_split(s.file, '/')[-3:], '/')) ELSE s.file END AS path, s.short AS signature, round(s.score * 100) / 100 AS centrality"
+    " FROM fold o JOIN so s ON s.k = o.k WHERE o.took"
+)
 def map_budget(spark, d):
     nodes, edges = _graph(spark, d)
-    return summary.map_view(nodes, rank.centrality(nodes, edges, tolerance=None))
+    return summary.map_view(nodes, _centrality(spark, d))
 
 
-@_query()
+@_query(
+    f"{_with()}, ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),"
+    f" near_all AS (SELECT CAST({ORDER} AS BIGINT) AS nid, 0 AS hop UNION SELECT w.b, n.hop + 1 FROM near_all n JOIN ways w ON w.a = n.nid WHERE n.hop < 3), near AS (SELECT nid, min(hop) AS hop FROM near_all GROUP BY nid),"
+    " ordered AS MATERIALIZED (SELECT row_number() OVER (ORDER BY hop, x.nid) AS k, x.nid, hop, CAST(ceil((length(qualified_name) + length(file) + length(coalesce(signature, '')) + 2 + greatest(line_end - line_start, 0) * 40) / 4) AS BIGINT) AS tokens FROM near x JOIN nodes n ON n.nid = x.nid WHERE hop <= 2),"
+    " fold(k, used, took) AS (SELECT 0::BIGINT, 0::BIGINT, false UNION ALL SELECT o.k, f.used + CASE WHEN f.used + o.tokens <= 2000 THEN o.tokens ELSE 0 END, f.used + o.tokens <= 2000 FROM fold f JOIN ordered o ON o.k = f.k + 1),"
+    " why AS (SELECT CASE WHEN (SELECT count(*) FROM fold WHERE took) < (SELECT count(*) FROM ordered) THEN 'token_budget' WHEN EXISTS (SELECT 1 FROM near WHERE hop = 3) THEN 'max_depth' ELSE 'complete' END AS reason)"
+    " SELECT o.nid, o.hop AS depth, o.tokens, false AS pinned, reason FROM fold f JOIN ordered o ON o.k = f.k CROSS JOIN why WHERE f.took UNION ALL SELECT NULL, NULL, (SELECT max(used) FROM fold), false, reason FROM why"
+)
 def slice_context(spark, d):
     return summary.slice_context(*_graph(spark, d), ORDER, 2000, 2)
 
@@ -443,13 +478,13 @@ def slice_context(spark, d):
 @_query(f"{_with()}{_rank_ctes()}, hits AS (SELECT n.nid, name, c.pct, CAST(greatest(line_end - line_start, 0) * 40 // 4 AS BIGINT) AS tokens FROM nodes n JOIN c ON c.nid = n.nid WHERE contains(lower(name), 'gear')), run AS (SELECT *, sum(tokens) OVER (ORDER BY pct DESC, nid ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM hits) SELECT nid, name, tokens, used FROM run WHERE used <= 8000")
 def context_prefix(spark, d):
     nodes, edges = _graph(spark, d)
-    return search.context_prefix(nodes, rank.centrality(nodes, edges, tolerance=None), "gear")
+    return search.context_prefix(nodes, _centrality(spark, d), "gear")
 
 
 @_query(f"{_with()}{_rank_ctes()} SELECT n.nid, name, round(c.pct, 6) AS pct FROM nodes n JOIN c ON c.nid = n.nid WHERE contains(lower(name), 'supply') AND kind = 'function' ORDER BY c.pct DESC, n.nid LIMIT 10")
 def discover(spark, d):
     nodes, edges = _graph(spark, d)
-    return search.discover(nodes, rank.centrality(nodes, edges, tolerance=None), "Supply", 10, "function").select("nid", "name", F.round("pct", 6).alias("pct"))
+    return search.discover(nodes, _centrality(spark, d), "Supply", 10, "function").select("nid", "name", F.round("pct", 6).alias("pct"))
 
 
 @_query(f"{_with()} SELECT count(*) AS nodes, count(DISTINCT file) AS files, count(DISTINCT regexp_extract(file, '^(.*)/[^/]*$', 1)) AS directories, count(*) FILTER (WHERE {_ENTRY}) AS entry_points, (SELECT count(*) FROM edges) AS edges FROM nodes")
@@ -468,7 +503,7 @@ def audit_paths(spark, d):
     return found.withColumn("trace", F.array_join(F.transform("trace", lambda x: x.cast("string")), ">"))
 
 
-@_query(f"{_with(_reach('r', f'SELECT CAST({NATION} AS BIGINT) AS nid', 'in', 8))} SELECT r.nid, n.name, r.hop FROM r JOIN nodes n ON n.nid = r.nid WHERE hop > 0 AND regexp_matches(lower(n.name), '{predicates.SINKS}')")
+@_query(f"{_with(_reach('r', f'SELECT CAST({NATION} AS BIGINT) AS nid', 'in', 8))} SELECT r.nid, n.name, r.hop FROM r JOIN nodes n ON n.nid = r.nid WHERE hop > 0 AND regexp_matches(lower(n.name), 'query|exec|eval|write|delete|connect|send|request|fetch|open|read_file|spawn|database|sql|db|auth|login|password')")
 def audit_sinks(spark, d):
     """Dependents of a node whose names look like sinks."""
     nodes, edges = _graph(spark, d)
@@ -477,11 +512,11 @@ def audit_sinks(spark, d):
 
 @_query(f"{_with()}, h AS (SELECT nid, name FROM nodes WHERE contains(lower(name), 'customer')), t AS (SELECT count(*) AS total FROM h) SELECT h.*, total, 60 < total AS has_more, CASE WHEN 60 < total THEN 60 END::BIGINT AS next_offset FROM h, t ORDER BY nid LIMIT 20 OFFSET 40")
 def pagination(spark, d):
-    return search.page(search.search_literal(tables.nodes(spark, d), "customer").select("nid", "name"), 40, 20)
+    return search.page(search.search_literal(_graph(spark, d)[0], "customer").select("nid", "name"), 40, 20)
 
 
 @_query(
-    f"{_with()}, s AS (SELECT nid, name, CASE WHEN lower(name) = 'supply_12' THEN 100 WHEN starts_with(lower(name), 'supply_12') THEN 60 WHEN contains(lower(name), 'supply_12') THEN 40 WHEN jaro_winkler_similarity(lower(name), 'supply_12') > 0.75 THEN 30 END AS score FROM nodes)"
+    f"{_with()}, s AS (SELECT nid, name, CASE WHEN lower(name) = 'supply_12' THEN 100 WHEN ends_with(lower(id), '.supply_12') THEN 80 WHEN starts_with(lower(name), 'supply_12') THEN 60 WHEN contains(lower(name), 'supply_12') THEN 40 WHEN jaro_winkler_similarity(lower(name), 'supply_12') > 0.75 THEN 30 END AS score FROM nodes)"
     " SELECT s.nid, s.name, s.score, (SELECT count(DISTINCT src) FROM edges e WHERE e.dst = s.nid) AS callers FROM s WHERE score IS NOT NULL ORDER BY score DESC, callers DESC, s.nid LIMIT 3"
 )
 def suggest(spark, d):
@@ -522,7 +557,7 @@ def debounce_events(spark, d):
 def _review(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark, d)
     files = spark.createDataFrame([("jobs/supply_1.py",), ("src/geo/regions.py",)], "changed string")
-    return change.review(nodes, edges, rank.centrality(nodes, edges, tolerance=None), change.changed_files(nodes, files))
+    return change.review(nodes, edges, _centrality(spark, d), change.changed_files(nodes, files))
 
 
 _REVIEW = f"{_BLAST}{_rank_ctes()}, rv AS (SELECT n.nid, n.name, (SELECT count(*) FROM edges e WHERE e.dst = n.nid AND e.kind = 'calls') AS callers, {_ENTRY} AS entry, c.pct FROM nodes n JOIN c ON c.nid = n.nid WHERE n.nid IN ({_CHANGED}))"
@@ -557,12 +592,12 @@ def remove_file(spark, d):
 
 @_query(f"{_with()} SELECT CASE WHEN {_TEST_SEGMENT} THEN 'tests' WHEN regexp_matches(lower(file), '\\.(md|rst|txt)$') THEN 'docs' WHEN regexp_matches(lower(file), '\\.(toml|ya?ml|json|ini|cfg|lock)$') THEN 'config' ELSE 'source' END AS category, count(*) AS files FROM (SELECT DISTINCT file FROM nodes) f GROUP BY 1")
 def change_categories(spark, d):
-    return summary.file_kinds(tables.nodes(spark, d).select("file").distinct())
+    return summary.file_kinds(_graph(spark, d)[0].select("file").distinct())
 
 
 @_query(f"{_with()} SELECT nid, {_WIDGET} AS widget, (kind IN ('function', 'class') AND ends_with(file, '.tsx') AND regexp_matches(name, '^\\p{{Lu}}')) AS component, {_HANDLER} AS handler, {_CALLBACK} AS callback, regexp_matches(lower(name), '(factory|provider|injector|container)$|singleton') AS injection FROM nodes")
 def role_flags(spark, d):
-    return summary.role_flags(tables.nodes(spark, d))
+    return summary.role_flags(_graph(spark, d)[0])
 
 
 @_query(_SQL["audit_paths"].replace("SELECT sink, fin AS root", ", a AS (SELECT sink, fin AS root") + ") SELECT count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low, count(DISTINCT n.name) AS entry_names, count(DISTINCT n.file) AS files FROM a JOIN nodes n ON n.nid = a.root")
@@ -574,7 +609,7 @@ def audit_summary(spark, d):
 @_query(f"{_with()}{_rank_ctes()}, s AS (SELECT DISTINCT 'caller' AS side, src AS nid FROM edges WHERE dst = {PART} AND kind = 'calls' UNION SELECT DISTINCT 'callee', dst FROM edges WHERE src = {PART} AND kind = 'calls') SELECT side, s.nid, name, file, round(pct, 6) AS pct FROM s JOIN nodes n ON n.nid = s.nid JOIN c ON c.nid = s.nid")
 def logic_brief(spark, d):
     nodes, edges = _graph(spark, d)
-    return summary.brief(nodes, edges, rank.centrality(nodes, edges, tolerance=None), PART).withColumn("pct", F.round("pct", 6))
+    return summary.brief(nodes, edges, _centrality(spark, d), PART).withColumn("pct", F.round("pct", 6))
 
 
 @_query(f"{_with(_reach('u', _CHANGED, 'in', 3))} SELECT target, count(*) FILTER (WHERE hop > 0) AS affected, count(*) FILTER (WHERE hop = 1) AS callers FROM u GROUP BY target HAVING count(*) FILTER (WHERE hop > 0) > 0")

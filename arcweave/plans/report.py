@@ -34,3 +34,11 @@ def csv_lines(df: DataFrame) -> DataFrame:
 def export(nodes: DataFrame, path: str, version: str = "1") -> None:
     """Nodes as JSON lines, with the version on each."""
     nodes.withColumn("version", F.lit(version)).write.mode("overwrite").json(path)
+
+
+def snapshot(nodes: DataFrame, edges: DataFrame, path: str, version: str = "1") -> None:
+    """A whole graph as JSON: lines of nodes, lines of edges, and one of ``(version, nodes, edges, files)``, written last."""
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    edges.write.mode("overwrite").json(f"{path}/edges")
+    stats = nodes.agg(F.lit(version).alias("version"), F.count("*").alias("nodes"), F.count_distinct("file").alias("files")).join(F.broadcast(edges.agg(F.count("*").alias("edges"))))
+    stats.write.mode("overwrite").json(f"{path}/stats")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import subprocess
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,30 @@ def changed_files(spark: SparkSession, root: str, base: str | None = None) -> Da
     return both.where(~is_generated(F.col("changed"))).distinct().orderBy("changed")
 
 
+# What the looser listing leaves out, wherever it stands in a path.
+INTERNAL = ["node_modules/", "target/", "dist/", "build/", ".arcweave/", "package-lock.json", "Cargo.lock", "generated/", ".min.js", ".min.css"]
+
+
+def changed_files_between(spark: SparkSession, root: str, base: str | None = None, head: str | None = None) -> DataFrame:
+    """``(changed)`` by the looser rules of a tool server: deletions count, and paths that contain a generated part go.
+
+    Between two commits all listed files count; in the work tree those with added or deleted lines, and untracked ones.
+    """
+    base, head = base or os.environ.get("CHANGE_BASE"), head or os.environ.get("CHANGE_HEAD")
+    ranged = bool(base and head)
+    spans = [[f"{base}..{head}"]] if ranged else [[], ["--cached"]]
+    listed = spark.createDataFrame([(x,) for s in spans for x in _git(root, "diff", "-w", "--name-status", "--find-renames", *s)], "line string")
+    parts = F.split("line", "\t")
+    paths = listed.where(F.size(parts) > 1).select(F.when(F.col("line").startswith("R") & (F.size(parts) > 2), F.get(parts, F.lit(2))).otherwise(F.get(parts, F.lit(1))).alias("changed"))
+    if not ranged:
+        counts = spark.createDataFrame([(x,) for s in spans for x in _git(root, "diff", "-w", "--find-renames", "--numstat", *s)], "line string")
+        fresh = spark.createDataFrame([(x,) for x in _git(root, "ls-files", "--others", "--exclude-standard")], "changed string")
+        paths = paths.join(numstat(counts).where("added > 0 or deleted > 0").select("changed").distinct(), "changed", "left_semi").union(fresh)
+    path = F.translate("changed", "\\", "/")
+    internal = [path.contains(x) | path.endswith(x.rstrip("/")) for x in INTERNAL]
+    return paths.select(path.alias("changed")).where(~reduce(or_, internal)).distinct().orderBy("changed")
+
+
 def hunks(spark: SparkSession, diff: list[str]) -> DataFrame:
     """``(file, start, stop)`` of the new side's ranges in the lines of a unified diff; malformed headers are skipped."""
     from pyspark.sql import Window

@@ -90,3 +90,85 @@ def test_incremental_equals_batch(spark, tmp_path):
     now = {f: c for f, c in FILES.items() if f != "q/d.py"} | {"p/b.py": "def helper():\n    late()\n", "q/e.py": "def late():\n    more()\n"}
     incremental.build(spark, table(spark, now), str(tmp_path / "full"))
     assert state(spark, str(tmp_path / "inc")) == state(spark, str(tmp_path / "full"))
+
+
+def test_polls_equal_a_full_build(spark, tmp_path):
+    tree, kept = tmp_path / "tree", str(tmp_path / "kept")
+    tree.mkdir()
+    for name, code in {"a.py": "def main():\n    helper()\n", "b.py": "def helper():\n    pass\n", "c.py": "def other():\n    helper()\n"}.items():
+        (tree / name).write_text(code)
+    assert {r["op"] for r in incremental.sync(spark, str(tree), kept).collect()} == {"modify"}
+    now = incremental.edges(spark, kept)
+    before = spark.createDataFrame(now.collect(), now.schema)
+    scores = incremental.centrality(spark, kept)
+    assert scores.count() == 3 and before.count() == 2
+    assert incremental.sync(spark, str(tree), kept).count() == 0
+    (tree / "c.py").unlink()
+    (tree / "d.py").write_text("def more():\n    helper()\n    main()\n")
+    assert {(r["file"], r["op"]) for r in incremental.sync(spark, str(tree), kept).collect()} == {("c.py", "remove"), ("d.py", "modify")}
+    incremental.build(spark, spark.createDataFrame([(p.name, bytearray(p.read_bytes())) for p in tree.glob("*.py")], "file string, content binary"), str(tmp_path / "full"))
+    rows = lambda p: sorted(map(tuple, incremental.edges(spark, p).collect()))
+    assert rows(kept) == rows(str(tmp_path / "full"))
+    delta = incremental.edge_changes(before, incremental.edges(spark, kept)).collect()
+    assert sorted((r["ref"], r["op"]) for r in delta) == [("helper", "added"), ("helper", "removed"), ("main", "added")]
+    again = {r["nid"]: r["raw"] for r in incremental.centrality(spark, kept).collect()}
+    incremental.centrality(spark, str(tmp_path / "full"))
+    assert len(again) == 3
+
+
+def test_watching_a_tree(spark, tmp_path):
+    import time
+
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree/a.py").write_text("def f():\n    g()\n")
+    query = incremental.watch(spark, str(tmp_path / "tree"), str(tmp_path / "kept"), str(tmp_path / "ck"), "1 second")
+    try:
+        from arcweave.sources import store
+
+        until = time.time() + 90
+        (tmp_path / "tree/b.py").write_text("def g():\n    pass\n")
+        while time.time() < until:
+            assert query.exception() is None
+            if store.committed(spark, str(tmp_path / "kept/listing")) and incremental.edges(spark, str(tmp_path / "kept")).count() == 1:
+                break
+            time.sleep(1)
+        else:
+            raise AssertionError("the change never arrived")
+    finally:
+        query.stop()
+
+
+def test_opening_prefers_what_is_kept(spark, tmp_path):
+    from arcweave.api import CodeGraph
+
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree/a.py").write_text("def main():\n    helper()\ndef helper():\n    pass\n")
+    kept, snap = str(tmp_path / "kept"), str(tmp_path / "snap")
+    made = CodeGraph.open(spark, str(tmp_path / "tree"))
+    report.snapshot(made.nodes, made.edges, snap)
+    assert spark.read.json(f"{snap}/stats").first()["nodes"] == 2
+    (tmp_path / "tree/b.py").write_text("def third():\n    pass\n")
+    assert CodeGraph.open(spark, str(tmp_path / "tree"), kept, snap).info().first()["nodes"] == 2
+    assert CodeGraph.open(spark, str(tmp_path / "tree"), kept).info().first()["nodes"] == 3
+    (tmp_path / "tree/b.py").unlink()
+    again = CodeGraph.open(spark, str(tmp_path / "tree"), kept, snap)
+    assert again.info().first()["nodes"] == 3 and again.centrality.count() == 3
+    main = next(r for r in again.nodes.collect() if r["name"] == "main")
+    row = again.node(main["nid"]).first()
+    assert len(row["callees"]) == 1 and row["callers"] == []
+    assert again.inspect(main["nid"]).first()["role"] == "entry_point"
+    assert again.guard(spark.createDataFrame([("a.py",)], "changed string")).count() == 1
+
+
+def test_looser_git_listing(spark, tmp_path):
+    for name in ("a.py", "gone.py", "x/dist/app.js", "Cargo.lock"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\ny = 2\n")
+    repo(tmp_path, "git init -q", "git config user.email a@b.c", "git config user.name n", "git add .", "git commit -qm one")
+    for name in ("a.py", "x/dist/app.js", "Cargo.lock"):
+        (tmp_path / name).write_text("x = 1\ny = 3\n")
+    repo(tmp_path, "git rm -q gone.py")
+    found = lambda *r: [x["changed"] for x in git.changed_files_between(spark, str(tmp_path), *r).collect()]
+    assert found() == ["a.py", "gone.py"]
+    repo(tmp_path, "git add .", "git commit -qm two")
+    assert found() == [] and found("HEAD~1", "HEAD") == ["a.py", "gone.py"]

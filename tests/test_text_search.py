@@ -111,7 +111,7 @@ def test_python_parser():
 @pytest.mark.parametrize(("file", "code", "want"), [
     ("a.ts", "import {x as y} from './m';\nexport class A { run(a) { this.go(); b.c(); } }\nconst g = (a) => { y(a) }\n", {("import", "./m"): ["y"], ("class", "A"): [], ("method", "A.run"): [".c", "go"], ("function", "g"): ["y"]}),
     ("b.rs", "use std::io;\nimpl P { pub fn new() -> P { helper(1) } }\nfn main() { P::new(); }\n", {("import", "std::io"): [], ("method", "P.new"): ["helper"], ("function", "main"): ["P::new"]}),
-    ("c.go", "package m\nfunc (t *T) Do() { fmt.Println(1) }\nfunc main() { run() }\n", {("method", "T.Do"): ["fmt.Println"], ("function", "main"): ["run"]}),
+    ("c.go", "package m\nfunc (t *T) Do() { fmt.Println(1) }\nfunc main() { run() }\n", {("module", "m"): [], ("method", "T.Do"): ["fmt.Println"], ("function", "main"): ["run"]}),
     ("D.java", "import a.C;\npublic class D { public D(int x) { q(); } int m(int a) { helper(); c.run(); return 1; } }\n", {("import", "a.C"): [], ("class", "D"): [], ("constructor", "D.D"): [], ("method", "D.m"): ["c.run", "helper"]}),
     ("e.c", "#include <x.h>\nint add(int a, int b);\n", {("import", "x.h"): [], ("function", "add"): []}),
     ("f.cpp", "void n::K::z() { h(); o.p(); }\n", {("method", "n::K::z"): ["h"]}),
@@ -124,6 +124,41 @@ def test_brace_and_line_parsers(file, code, want):
     assert kinds(file, code) == want
 
 
+@pytest.mark.parametrize(("file", "code", "want"), [
+    ("a.ts", "export type Id = string | number;\ntype Pair<A> = [A, A]\nconst x = 1;\n", {("type_alias", "Id"), ("type_alias", "Pair")}),
+    ("b.rs", "pub const MAX: u32 = 3;\nstatic mut N: i32 = 0;\npub type R = Vec<u8>;\nfn f() { const IN: u8 = 1; }\n", {("constant", "MAX"), ("constant", "N"), ("type_alias", "R"), ("function", "f")}),
+    ("c.go", "package m\nconst A = 1\nvar b int\nconst (\n\tC = iota\n\tD\n)\ntype Ids []int\ntype S struct { x int }\nfunc f() {\n\tvar z int\n}\n", {("module", "m"), ("constant", "A"), ("variable", "b"), ("constant", "C"), ("constant", "D"), ("type_alias", "Ids"), ("struct", "S"), ("function", "f")}),
+    ("D.java", "package a.b;\nclass D {\n  private final int x = f(1), y;\n  static Map<String, Integer> m;\n  void g() { int local = 1; }\n}\n", {("module", "a.b"), ("class", "D"), ("field", "D.x"), ("field", "D.y"), ("field", "D.m"), ("method", "D.g")}),
+    ("e.c", "typedef unsigned long size;\ntypedef struct { int x; } Point;\ntypedef int (*cb)(int);\n", {("type_alias", "size"), ("type_alias", "Point"), ("type_alias", "cb")}),
+    ("f.cpp", "using std::string;\nclass K {\npublic:\n  int n;\n  void z() { int q; }\n};\ntemplate <typename T> class B { T v; };\n", {("import", "std::string"), ("class", "K"), ("field", "K::n"), ("method", "K::z"), ("class", "B"), ("field", "B::v")}),
+    ("h.cs", "namespace N;\nclass Q {\n  public int X { get; set; }\n  private readonly string name;\n  void M() { int l = 1; }\n}\n", {("module", "N"), ("class", "Q"), ("field", "Q.X"), ("field", "Q.name"), ("method", "Q.M")}),
+    ("i.dart", "library app;\nfinal int top = 1;\nclass W { void b() { var x = 1; } }\n", {("module", "app"), ("variable", "top"), ("class", "W"), ("method", "W.b")}),
+])
+def test_declarations_without_blocks(file, code, want):
+    assert set(kinds(file, code)) == want
+
+
+def test_registered_parsers_reach_the_workers(spark):
+    from arcweave import parse
+
+    parse.register("own", lambda file, text: [{"name": line, "qualified_name": line, "kind": "section", "file": file, "line_start": k} for k, line in enumerate(text.split(), 1)])
+    try:
+        df = spark.createDataFrame([("x.own", bytearray(b"one two")), ("y.py", bytearray(b"def f(): pass"))], "file string, content binary")
+        assert {(r["file"], r["name"]) for r in files.parse_files(df).collect()} == {("x.own", "one"), ("x.own", "two"), ("y.py", "f")}
+    finally:
+        del parse.EXTENSIONS["own"]
+
+
+def test_ignore_files_of_the_tree(spark, tmp_path):
+    for name, text in {".gitignore": "*.gen.py\n# no\n", ".ignore": "private/\n", ".arcweave/config.json": '{"ignore": ["old_*"]}', "a.py": "x = 1", "b.gen.py": "x = 1", "private/c.py": "x = 1", "old_d.py": "x = 1", "out/e.py": "x = 1"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert files.ignore_patterns(spark, str(tmp_path)) == ["*.gen.py", "# no", "private/", "old_*"]
+    assert [r["file"] for r in files.scan_files(spark, str(tmp_path)).collect()] == ["a.py"]
+    (tmp_path / ".arcweave/config.json").write_text("not json")
+    assert {r["file"] for r in files.scan_files(spark, str(tmp_path)).collect()} == {"a.py", "old_d.py"}
+
+
 def test_line_rules_as_columns(spark):
     docs = spark.createDataFrame([(1, "# Head One\ntext\n## 2 Next\nclass Foo\n// class No\nfunc bar()")], "doc_id long, text string")
     assert [(r["line"], r["level"], r["name"]) for r in markdown_sections(docs, F.col("text")).collect()] == [(1, 1, "Head"), (3, 2, "Next")]
@@ -158,6 +193,16 @@ def test_incremental_store_equals_a_full_one(spark, tmp_path):
     assert {r["file"] for r in changed.collect()} == {"a", "b"} and [r["file"] for r in gone.collect()] == ["c"]
 
 
+def test_empty_and_cleared_tables_keep_their_columns(spark, tmp_path):
+    store.save(spark.createDataFrame([], "file string, x int"), str(tmp_path / "e"))
+    assert store.load(spark, str(tmp_path / "e")).columns == ["file", "x"] and store.load(spark, str(tmp_path / "e")).count() == 0
+    store.update(spark, str(tmp_path / "e"), spark.createDataFrame([("a.py", 1)], "file string, x int"), spark.createDataFrame([], "file string"))
+    assert [tuple(r) for r in store.load(spark, str(tmp_path / "e")).collect()] == [("a.py", 1)]
+    store.clear(spark, str(tmp_path / "e"))
+    assert store.load(spark, str(tmp_path / "e")).count() == 0
+    assert store.committed(spark, str(tmp_path / "none")) is None
+
+
 def test_rows_of_another_version_are_none(spark, tmp_path, monkeypatch):
     store.save(spark.createDataFrame([("a.py", 1)], "file string, x int"), str(tmp_path / "v"))
     monkeypatch.setattr(store, "VERSION", "2")
