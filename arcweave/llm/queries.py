@@ -95,9 +95,12 @@ def _url_sql(z: float = 2.58, least_children: int = 16, variable: float = 0.5, l
         ctes += [
             f"child{k} AS (SELECT {', '.join(node)}, s{k} AS s, sum(n)::BIGINT AS n, sum(lab)::BIGINT AS lab, sum(bad)::BIGINT AS bad FROM tree{k - 1} WHERE s{k} IS NOT NULL GROUP BY ALL)",
             f"whole{k} AS (SELECT {', '.join(node)}, count(*) AS children, sum(n)::BIGINT AS n, sum(lab)::BIGINT AS lab, sum(bad)::BIGINT AS bad FROM child{k} GROUP BY ALL)",
-            f"kept{k} AS (SELECT {', '.join(f'c.{x}' for x in node)}, c.s FROM child{k} c JOIN whole{k} w ON {same('c', 'w')} WHERE NOT (w.children >= {least_children} AND w.children >= {variable}::DOUBLE * w.n)"
+            f"apart{k} AS (SELECT {', '.join(f'c.{x}' for x in node)}, c.s, c.lab, c.bad, c.bad / c.lab AS share FROM child{k} c JOIN whole{k} w ON {same('c', 'w')} WHERE NOT (w.children >= {least_children} AND w.children >= {variable}::DOUBLE * w.n)"
             f" AND pow(CAST(c.bad * (w.lab - c.lab) - (w.bad - c.bad) * c.lab AS DOUBLE), 2) * w.lab > {z * z!r}::DOUBLE * w.bad * CAST(w.lab - w.bad AS DOUBLE) * c.lab * (w.lab - c.lab))",
-            f"tree{k} AS MATERIALIZED (SELECT t.*, CASE WHEN k.s IS NOT NULL THEN t.s{k} WHEN t.s{k} IS NOT NULL THEN '*' END AS t{k} FROM tree{k - 1} t LEFT JOIN kept{k} k ON {same('t', 'k')} AND t.s{k} = k.s)",
+            f"beside{k} AS (SELECT *, lag(lab) OVER o AS l, lag(bad) OVER o AS b FROM apart{k} WINDOW o AS (PARTITION BY {', '.join(node)} ORDER BY share, s))",
+            f"runs{k} AS (SELECT *, sum(CASE WHEN l IS NULL OR pow(CAST(bad * l - b * lab AS DOUBLE), 2) * (lab + l) > {z * z!r}::DOUBLE * (bad + b) * CAST(lab + l - bad - b AS DOUBLE) * lab * l THEN 1 ELSE 0 END) OVER (PARTITION BY {', '.join(node)} ORDER BY share, s ROWS UNBOUNDED PRECEDING) AS run FROM beside{k})",
+            f"kept{k} AS (SELECT {', '.join(node)}, s, CASE WHEN count(*) OVER a > 1 THEN min(s) OVER a || '|*' ELSE s END AS name FROM runs{k} WINDOW a AS (PARTITION BY {', '.join(node)}, run))",
+            f"tree{k} AS MATERIALIZED (SELECT t.*, CASE WHEN k.s IS NOT NULL THEN k.name WHEN t.s{k} IS NOT NULL THEN '*' END AS t{k} FROM tree{k - 1} t LEFT JOIN kept{k} k ON {same('t', 'k')} AND t.s{k} = k.s)",
         ]
     key = ", ".join(["host", *(f"t{k}" for k in levels)])
     ctes += [

@@ -1,9 +1,11 @@
 """URL filter: host and path rules first, then a tree of path templates for each host.
 
 Only DataFrame functions run here. Digits in a path are masked; each host's paths then form a tree
-with a level for each segment, however deep. From the root down, a branch stays literal only where its share of bad labels differs from its siblings' by a two-proportion z-test
+with a level for each segment, however deep. From the root down, a branch stays apart only where its share of bad labels differs from its siblings' by a two-proportion z-test
 and the node is not a variable one (many distinct children for its size); all others are merged
-into the wildcard branch ``*``. A template is rejected when its smoothed share of good labels falls
+into the wildcard branch ``*``. Branches that stay apart are merged with each other as well where they are alike: in
+the order of their shares, each joins the one before it unless the same test tells the two apart; a
+merged branch is named after its smallest segment, with ``|*`` behind it. A template is rejected when its smoothed share of good labels falls
 below ``least_purity``; templates without labels keep the corpus's share and are never rejected
 unless the corpus itself is.
 
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -75,9 +77,17 @@ def templates(pages: DataFrame, least_children: int = 16, variable: float = 0.5,
         rest, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
         apart = F.pow((F.col("bad") * rest - rest_bad * F.col("labelled")).cast("double"), F.lit(2.0)) * F.col("all_labelled") > F.lit(z * z) * F.col("all_bad") * (F.col("all_labelled") - F.col("all_bad")).cast("double") * F.col("labelled") * rest
         kept = both.where(~((F.col("children") >= least_children) & (F.col("children") >= variable * F.col("all_n")))).where(apart)
-        kept = kept.select(F.col("host").alias("k_host"), F.col("t").alias("k_t"), "own", F.lit(True).alias("literal"))
+        # of those, neighbours in the order of their shares that the test can't tell apart are one branch
+        by_share = Window.partitionBy("host", "t").orderBy(F.col("bad") / F.col("labelled"), "own")
+        kept = kept.select("host", "t", "own", "labelled", "bad", F.lag("labelled").over(by_share).alias("l"), F.lag("bad").over(by_share).alias("b"), (F.col("bad") / F.col("labelled")).alias("share"))
+        both_bad, both = F.col("bad") + F.col("b"), F.col("labelled") + F.col("l")
+        new = F.pow((F.col("bad") * F.col("l") - F.col("b") * F.col("labelled")).cast("double"), F.lit(2.0)) * both > F.lit(z * z) * both_bad * (both - both_bad).cast("double") * F.col("labelled") * F.col("l")
+        run = F.sum(F.when(F.col("l").isNull() | new, 1).otherwise(0)).over(Window.partitionBy("host", "t").orderBy("share", "own").rowsBetween(Window.unboundedPreceding, 0))
+        alike = Window.partitionBy("host", "t", "run")
+        name = F.when(F.count("*").over(alike) > 1, F.concat(F.min("own").over(alike), F.lit("|*"))).otherwise(F.col("own"))
+        kept = kept.withColumn("run", run).select(F.col("host").alias("k_host"), F.col("t").alias("k_t"), "own", name.alias("literal"))
         tree = tree.join(kept, (F.col("host") == F.col("k_host")) & (F.col("t") == F.col("k_t")) & (own == F.col("own")), "left")
-        tree = tree.withColumn("t", F.concat("t", F.array(F.when(F.col("literal"), F.col("own")).otherwise("*")))).drop("k_host", "k_t", "own", "literal")
+        tree = tree.withColumn("t", F.concat("t", F.array(F.coalesce("literal", F.lit("*"))))).drop("k_host", "k_t", "own", "literal")
     return stored(reduce(DataFrame.union, finished))
 
 

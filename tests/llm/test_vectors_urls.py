@@ -166,16 +166,23 @@ def brute_templates(rows, z=2.58, least=16, variable=0.5, purity=0.5, smoothing=
                 c[0] += 1
                 c[1] += x["bad"] is not None
                 c[2] += x["bad"] or 0
+        differ = lambda l1, b1, l2, b2: float(b1 * l2 - b2 * l1) ** 2 * (l1 + l2) > z * z * (b1 + b2) * float(l1 + l2 - b1 - b2) * l1 * l2
+        names = {}
+        for node, own in nodes.items():
+            n, lab, bad = (sum(c[i] for c in own.values()) for i in range(3))
+            if len(own) >= least and len(own) >= variable * n:
+                continue
+            apart = sorted((cb / cl, s, cl, cb) for s, (_, cl, cb) in own.items() if cl and differ(cl, cb, lab - cl, bad - cb))
+            runs = []
+            for share, s, cl, cb in apart:
+                if runs and not differ(cl, cb, *runs[-1][-1][2:]):
+                    runs[-1].append((share, s, cl, cb))
+                else:
+                    runs.append([(share, s, cl, cb)])
+            names |= {(node, s): s if len(run) == 1 else min(r[1] for r in run) + "|*" for run in runs for _, s, *_ in run}
         for x in items:
             s = x["s"][k]
-            if s is None:
-                x["t"].append(None)
-                continue
-            own = nodes[x["host"], tuple(x["t"])]
-            n, lab, bad = (sum(c[i] for c in own.values()) for i in range(3))
-            _, cl, cb = own[s]
-            apart = float(cb * (lab - cl) - (bad - cb) * cl) ** 2 * lab > z * z * bad * float(lab - bad) * cl * (lab - cl)
-            x["t"].append(s if apart and not (len(own) >= least and len(own) >= variable * n) else "*")
+            x["t"].append(None if s is None else names.get(((x["host"], tuple(x["t"])), s), "*"))
     sums = defaultdict(lambda: [0, 0])
     for x in items:
         c = sums[x["host"], tuple(x["t"])]
@@ -199,6 +206,14 @@ def test_templates_against_brute_force(spark):
     assert [found[k] for k in range(len(rows))] == want and 100 < want.count("block") < 700
 
 
+def test_alike_branches_are_merged(spark):
+    # two bad sections too small to be refused alone, and one that is clean
+    rows = [(f"/spam{'ab'[k % 2]}/x", int(k % 10 < 7)) for k in range(60)] + [("/news/x", 0)] * 150 + [("/shop/x", int(k % 3 == 0)) for k in range(60)]
+    pages = spark.createDataFrame([("h.test", p, b) for p, b in rows], "host string, path string, bad int")
+    found = {r["masked"]: r["t"] for r in urls.templates(pages).collect()}
+    assert found["/spama/x"] == found["/spamb/x"] == ["spama|*", "*"] and found["/news/x"] == ["news", "*"] and found["/shop/x"] == ["*", "*"]
+
+
 def test_bad_branches_below_the_third_level(spark):
     rows = []
     for depth in range(4, 9):
