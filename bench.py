@@ -1,5 +1,9 @@
 """Times the headline queries: one JSON line with warm medians in seconds.
 
+The graph of a folder of tables and its centrality are built once, as an index is, and queries run on what is kept:
+``build_graph`` and ``centrality_raw`` time the building. ``index_tree`` parses and resolves a generated source tree of
+12,406 files, once.
+
 BENCH_SF_DIR: the tables (default sf0.1); BENCH_CPUS: local cores (default 8); BENCH_RUNS: timed runs of each (default 3).
 """
 
@@ -17,8 +21,11 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(os.path
 from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
+from arcweave.api import CodeGraph  # noqa: E402
 from arcweave.operators import rank  # noqa: E402
 from arcweave.plans import queries as plans  # noqa: E402
+from arcweave.plans.lineage import cut  # noqa: E402
+from arcweave.sources import tables  # noqa: E402
 
 NAMES = ["graph_stats", "degree", "impact_upstream", "impact_downstream", "impact_summary", "shortest_path", "centrality_raw", "centrality_percentile", "resolve_refs", "search_ranked", "tokenize_documents", "blast_radius", "changed_ranges", "map_topk_per_file", "audit_paths", "debounce_events", "export_edges"]
 
@@ -31,6 +38,19 @@ def fan_graph(spark: SparkSession):
     return nodes, edges
 
 
+def source_tree(root: str, files: int = 12_406, functions: int = 29) -> None:
+    """Python files in directories of 50, whose functions call each other by names that occur once, often, and never."""
+    for k in range(files):
+        folder = os.path.join(root, f"pkg{k // 50}")
+        os.makedirs(folder, exist_ok=True)
+        body = [f"from pkg{(k + 7) % files // 50}.m{(k + 7) % files} import f{(k + 7) % files}_0"]
+        for j in range(functions):
+            body.append(f"def f{k}_{j}(x):\n    f{k}_{(j + 1) % functions}(x)\n    helper_{j % 9}(x)\n    f{(k + 7) % files}_0(x)\n    x.run_{j}()\n    return missing_{j}(x)\n")
+        body.append(f"def helper_{k % 9}(x):\n    return x\n")
+        with open(os.path.join(folder, f"m{k}.py"), "w", encoding="utf-8") as f:
+            f.write("\n".join(body))
+
+
 def main() -> None:
     d = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus, runs = int(os.environ.get("BENCH_CPUS", "8")), int(os.environ.get("BENCH_RUNS", "3"))
@@ -40,10 +60,14 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     todo = {name: (lambda f=plans.queries()[name]: f(spark, d)) for name in NAMES}
     todo["centrality_fan_10k"] = lambda: rank.centrality_raw(*fan_graph(spark), tolerance=None)
+    todo["build_graph"] = lambda: (cut(tables.nodes(spark, d)), cut(tables.edges(spark, d)))[1]
+    tree = tempfile.mkdtemp(prefix="tree-")
+    source_tree(tree)
+    todo["index_tree"] = lambda: CodeGraph.of_source(spark, tree).edges
     times = {}
     for name, query in todo.items():
         taken = []
-        for _ in range(runs + 1):
+        for _ in range(2 if name == "index_tree" else runs + 1):
             began = time.time()
             query().write.format("noop").mode("overwrite").save()
             taken.append(time.time() - began)

@@ -18,7 +18,7 @@ from arcweave.llm.toxicity import drop_toxic, fit, toxic_labels
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on all labelled ones, scores 0.7 or more go."""
+    """Documents that the classifier scores 0.7 or more go; it learns from at most 8,000 labelled ones of ``docs``, picked by a hash of their ids."""
     model = fit(toxic_labels(docs, table(spark, sf_dir, "labels")))
     return drop_toxic(docs, model)
 
@@ -42,12 +42,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go from the texts; ``n_chars`` follows."""
-    cut = dedup_texts(docs)
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Repeated passages go from the texts; ``n_chars`` follows. Columns of any other name pass through."""
+    own = {c: f"__own_{c}" for c in docs.columns if c in ("n_sentences", "n_removed", "words_removed")}
+    cut = dedup_texts(docs.withColumnsRenamed(own))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cut.withColumn("n_chars", n_chars).drop("n_sentences", "n_removed", "words_removed").withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All that is left, as pieces in sequences of at most 2,048 tokens: ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
@@ -58,6 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other on ``documents``; each one's result is a table in the shared folder that the next reads.
+
+    An empty table gives no rows; null and empty texts stay (one of each id) and are packed as their end token; extra columns are carried to the last stage.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
