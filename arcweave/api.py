@@ -19,7 +19,7 @@ class CodeGraph:
     Centrality is made on first use and kept with both its raw values and percentiles.
     """
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, lexicon: dict[str, str] | None = None):
+    def __init__(self, nodes: DataFrame, edges: DataFrame, lexicon: dict[str, list[str]] | None = None):
         self.nodes, self.edges, self.lexicon = nodes, edges, lexicon
 
     @classmethod

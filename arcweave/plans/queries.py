@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon, predicates, text
 from ..operators import change, rank, resolve, search, summary, traverse
-from ..parse.lines import line_symbols, markdown_sections
+from ..parse.lines import RULES, line_symbols, markdown_sections
 from ..plans.lineage import kept
 from ..sources import tables
 from ..streaming.debounce import debounce
@@ -528,11 +528,17 @@ def markdown_headings(spark, d):
     return markdown_sections(tables.load(spark, d, "documents").select("doc_id", "text"), F.col("text")).drop("text")
 
 
-@_query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) SELECT doc_id, CAST(line AS INT) AS line, 'class' AS kind, regexp_extract(raw, '^\\s*class\\s+([A-Za-z_][A-Za-z0-9_]*)', 1) AS name FROM l WHERE regexp_matches(raw, '^\\s*class\\s+[A-Za-z_]')")
+_RULED = [(kind, f"regexp_matches(raw, '{rule}')", f"regexp_extract(raw, '{rule}', 1)") for kind, rule in RULES]
+
+
+@_query(
+    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), k AS (SELECT doc_id, CAST(line AS INT) AS line,"
+    f" CASE {' '.join(f'WHEN {test} THEN {kind!r}' for kind, test, _ in _RULED)} END AS kind, CASE {' '.join(f'WHEN {test} THEN {name}' for _, test, name in _RULED)} END AS name FROM l WHERE NOT regexp_matches(raw, '^ *(#|//)')) SELECT * FROM k WHERE kind IS NOT NULL"
+)
 def line_declarations(spark, d):
-    """The class rule of the line parser over all documents."""
+    """All rules of the line parser over all documents."""
     docs = tables.load(spark, d, "documents").select("doc_id", "text")
-    return line_symbols(docs, F.col("text"), [("class", r"^\s*class\s+([A-Za-z_][A-Za-z0-9_]*)")]).drop("text")
+    return line_symbols(docs, F.col("text")).drop("text")
 
 
 @_query("SELECT page_id, target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages) t WHERE target <> '' GROUP BY 1, 2")
