@@ -7,6 +7,7 @@ machine-local folder unless that setting is missing (as in tests).
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,14 +33,26 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
-    """``df``, after telling its session to hand Python at most ``rows`` rows at a time.
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the files of shuffles that no table or plan refers to any more.
 
-    Batches are bounded by rows only; with the default of 10,000 very long texts would fill the memory on both sides.
+    It acts when the driver collects garbage, which may be long after a stage of many has ended.
     """
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= rows:
-        conf.set(key, rows)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def small_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """``df``, after telling its session to hand Python about ``most`` bytes at a time, however long the texts are.
+
+    A single row may be larger. What any query returns doesn't depend on the setting, which stays.
+    """
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    units = {"b": 0, "k": 10, "m": 20, "g": 30, "t": 40}
+    now = conf.get(key).strip().lower().removesuffix("b") or "0"
+    size = int(now.rstrip("kmgtib")) << units.get(now[-1], 0)
+    if not 0 < size <= most:
+        conf.set(key, f"{most}b")
     return df
 
 
