@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
@@ -34,14 +33,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, stored
+from .common import drop_shuffles, mix64, small_batches, stored
 
 #: Counts up to MOST are discounted. END and START stand for themselves among the word hashes.
 MOST, END, START = 5, 1, 2
-BATCH_TOKENS, PART_TOKENS, HOT = 1_200_000, 1_200_000, 1000
+BATCH_TOKENS, PART_TOKENS, HOT = 800_000, 800_000, 1000
 
 
 def discounts(seen: np.ndarray) -> np.ndarray:
@@ -94,9 +93,28 @@ def _zip_sorted(x: np.ndarray) -> bytes:
     return _zip(step << 1 ^ step >> 63)
 
 
-def _unzip_sorted(raw: bytes) -> np.ndarray:
+def _unzip_sorted(raw: bytes, signed: bool = True) -> np.ndarray:
     step = _unzip(raw)
-    return np.cumsum(step >> 1 ^ -(step & 1))
+    return np.cumsum(step >> 1 ^ -(step & 1) if signed else step)
+
+
+def _zip_words(x: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """Word ids with their counts: sorted distinct ids, their counts, which mostly fall, and places among them."""
+    words, first, at = np.unique(x, return_index=True, return_inverse=True)
+    return [_zip_sorted(words), _zip_sorted(count[first]), _zip(at)]
+
+
+def _unzip_words(ids: bytes, counts: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray]:
+    at = _unzip(at)
+    return _unzip_sorted(ids)[at], _unzip_sorted(counts)[at]
+
+
+def _order(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
+    """Stable order by two numbers that aren't negative."""
+    wide = int(minor.max(initial=0)) + 1
+    if int(major.max(initial=0)) < 2**62 // wide:
+        return np.argsort(major * wide + minor, kind="stable")
+    return np.lexsort((minor, major))
 
 
 class _Places(dict):
@@ -146,13 +164,6 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
-    """Rows, as dicts, that share the value of column ``key``; they come sorted by it."""
-    rows = (b.slice(k, 1).to_pylist()[0] for b in batches for k in range(b.num_rows))
-    for value, own in groupby(rows, itemgetter(key)):
-        yield value, list(own)
-
-
 _ASK = "part int, batch long, blobs array<binary>"
 _TOLD = "n int, part int, batch long, blobs array<binary>, sums array<double>, hot array<array<double>>"
 
@@ -212,16 +223,12 @@ class _Batch:
         self.sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
         self.train, self.ids = np.frombuffer(row["train"], bool), row["ids"]
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(self.sizes.sum()) - np.repeat(self.starts, self.sizes)
         self.learnt = np.repeat(self.train, self.sizes)
-        told: dict[int, list[dict]] = {}
-        for x in row["told"]:
-            told.setdefault(x["n"], []).append(x)
-        self._words(np.frombuffer(row["words"], np.uint64), _unzip(row["tokens"]), told.get(1, []))
+        self._words(np.frombuffer(row["words"], np.uint64), _unzip(row["tokens"]), row["told1"])
         self.grams: dict[int, _Grams] = {}
         for n in range(2, max(model.discount) + 1):
             self.grams[n] = self._find(n)
-            self._hear(n, told.get(n, []))
+            self._hear(n, row.pop(f"told{n}") or [])  # none where no text is long enough
 
     def _words(self, words: np.ndarray, tokens: np.ndarray, told: list[dict]) -> None:
         parts = self.model.parts
@@ -233,46 +240,48 @@ class _Batch:
         by = np.argsort(ids)
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
-        self.count, self.word_ids, self.start, self.tokens = count[by], ids[by], rank[-1], rank[tokens]
+        self.count, self.word_ids, self.start, self.tokens = count[by], ids[by], rank[-1], rank[tokens].astype(np.int32)
 
     def _history(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts and ids of the (n-1)-grams as histories, and by position the one before it."""
         if n == 2:
-            before = np.empty(len(self.tokens), np.int64)
+            before = np.empty(len(self.tokens), np.int32)
             before[1:] = self.tokens[:-1]
             before[self.starts] = self.start
             return self.count, self.word_ids, before
         g = self.grams[n - 1]
-        before = np.full(len(self.tokens), -1, np.int64)
+        before = np.full(len(self.tokens), -1, np.int32)
         before[1:] = g.at[:-1]
-        before[self.place < n - 2] = -1
+        for k in range(n - 2):  # a text's first words have no such history
+            before[self.starts[self.sizes > k] + k] = -1
         return g.count, g.ids, before
 
-    def _home(self, n: int, ids: np.ndarray) -> np.ndarray:
-        return (mix64(ids.astype(np.uint64) + np.uint64(n)) % np.uint64(self.model.parts)).astype(np.int64)
-
     def _find(self, n: int) -> _Grams:
-        """Distinct n-grams by the part, the id and the word of their history; those of unseen histories come last."""
+        """Distinct n-grams by the part, the id and the word of their history; those of unseen histories come last.
+
+        A history is at home where its own id comes from.
+        """
+        parts = self.model.parts
         count, ids, before = self._history(n)
-        home = self._home(n, ids)
-        home[count == 0] = self.model.parts
-        by = np.lexsort((ids, home))
+        home = ids % parts
+        home[count == 0] = parts
+        by = _order(home, ids // parts)
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
         there = np.flatnonzero(before >= 0)
         width = len(self.count)
         key, inverse = np.unique(rank[before[there]] * width + self.tokens[there], return_inverse=True)
-        at = np.full(len(self.tokens), -1, np.int64)
+        at = np.full(len(self.tokens), -1, np.int32)
         at[there] = inverse
         history, word = np.divmod(key, width)
         g = _Grams(at, by[history], word)
         g.times = np.bincount(inverse[self.learnt[there]], minlength=len(key))
         # only n-grams of seen histories are asked for
         g.asked = int(np.searchsorted(key, int((count > 0).sum()) * width))
-        g.to = home[g.history[: g.asked]]
-        hot = self.model.is_hot(count[g.history[: g.asked]])
-        g.to[hot] = (g.to[hot] + (mix64(self.word_ids[g.word[: g.asked][hot]].astype(np.uint64)) % np.uint64(self.model.parts)).astype(np.int64)) % self.model.parts
-        g.order, g.ends = _in_parts(g.to, self.model.parts)
+        to = home[g.history[: g.asked]]
+        hot = np.flatnonzero(self.model.is_hot(count[g.history[: g.asked]]))
+        to[hot] = (to[hot] + (mix64(self.word_ids[g.word[hot]].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)) % parts
+        g.order, g.ends = _in_parts(to, parts)
         return g
 
     def _rows(self, g: _Grams, part: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,50 +290,62 @@ class _Batch:
         return own, np.flatnonzero(np.diff(g.history[own], prepend=-1))
 
     def _hear(self, n: int, told: list[dict]) -> None:
-        """Take in the answers to what ``_find`` asks; an order that hasn't been asked yet has none."""
-        g, (count, ids, _) = self.grams[n], self._history(n)
+        """Take in the answers to what ``_find`` asks."""
+        g, parts, (count, ids, _) = self.grams[n], self.model.parts, self._history(n)
         g.count, g.ids = np.zeros(len(g.history), np.int64), np.zeros(len(g.history), np.int64)
         g.least, needs = np.full(len(count), MOST + 1, np.int64), []
         for x in told:
             own, head = self._rows(g, x["part"])
-            g.count[own], g.ids[own] = _unzip(x["blobs"][0]), _unzip_sorted(x["blobs"][1]) * self.model.parts + x["part"]
+            g.count[own] = _unzip(x["blobs"][0])
+            if x["blobs"][1]:
+                g.ids[own] = _unzip_sorted(x["blobs"][1]) * parts + x["part"]
             names = g.history[own[head]]
             g.least[names] = _unzip(x["blobs"][2])
             at = names[_unzip_sorted(x["blobs"][3])]
             needs.append((at, _unzip(x["blobs"][4]).reshape(MOST, len(at)), np.frombuffer(x["blobs"][5], "<f8")))
         d = self.model.discount[n]
-        if n in self.model.hot:
-            for name in np.flatnonzero(self.model.is_hot(count)).tolist():
-                if int(ids[name]) in self.model.hot[n]:
-                    sums = self.model.hot[n][int(ids[name])]
-                    g.least[name] = sums[0]
-                    needs.append((np.array([name]), sums[1 : MOST + 1, None], sums[MOST + 1 :]))
+        for name in np.flatnonzero(self.model.is_hot(count)).tolist():
+            sums = self.model.hot[n].get(int(ids[name]))
+            if sums is not None:
+                g.least[name] = sums[0]
+                needs.append((np.array([name]), sums[1 : MOST + 1, None], sums[MOST + 1 :]))
         #: what a history's counts are divided by: one more where nothing is discounted, to leave mass for the rest
         g.below = count + (d[g.least] >= 1)
-        g.backoff = np.zeros(len(count))
+        g.backoff, shorter = np.zeros(len(count)), self._shorter(n)
         for at, of, low in needs:
             mass = (of * np.arange(1, MOST + 1)[:, None] * (1 - d[1 : MOST + 1, None])).sum(0)
             left = np.where(d[g.least[at]] >= 1, 1.0, mass) / g.below[at]
-            g.backoff[at] = np.log10(left) - np.log10(1 - low)
+            g.backoff[at] = np.log10(left) - np.log10(1 - low / shorter[at])
+
+    def _lower(self, g: _Grams, n: int) -> np.ndarray:
+        """Where each n-gram without its first word is among the (n-1)-grams: both end at the same positions."""
+        there, low_at = np.flatnonzero(g.at >= 0), np.empty(len(g.history), np.int64)
+        low_at[g.at[there]] = self.grams[n - 1].at[there]
+        return low_at
+
+    def _shorter(self, n: int) -> np.ndarray:
+        """By history of order ``n``: what the counts after the history without its first word are divided by."""
+        if n == 2:
+            return np.full(len(self.count), float(self.model.words_below))
+        g, lower = self.grams[n], self.grams[n - 1]
+        below = np.ones(len(lower.count))
+        below[g.history] = lower.below[lower.history[self._lower(g, n)]]
+        return below
 
     def ask(self, n: int) -> Iterator[tuple]:
         """Rows (part, batch, blobs) that ask for the n-grams of the next order."""
         g, (count, ids, _) = self._find(n), self._history(n)
-        if n == 2:
-            low_count, below = self.count[g.word], np.full(len(count), self.model.words_below)
-        else:
-            # the shorter history, and the n-gram without its first word, end at the same positions
-            lower, there = self.grams[n - 1], np.flatnonzero(g.at >= 0)
-            low_at = np.empty(len(g.history), np.int64)
-            low_at[g.at[there]] = lower.at[there]
-            low_count = lower.count[low_at]
-            below = np.zeros(len(count), np.int64)
-            below[g.history] = lower.below[lower.history[low_at]]
+        low_count = None if n == 2 else self.grams[n - 1].count[self._lower(g, n)]
+        hot = self.model.is_hot(count)
         for part in np.flatnonzero(np.diff(g.ends)).tolist():
             own, head = self._rows(g, part)
             names = g.history[own[head]]
-            sizes = np.diff(np.append(head, len(own)))
-            yield part, self.batch, [_zip_sorted(ids[names]), _zip(sizes), _zip(count[names]), _zip(below[names]), _zip(self.word_ids[g.word[own]]), _zip(low_count[own]), _zip(g.times[own])]
+            # a history from elsewhere is one of the hot ones: its part comes along
+            away = (ids[names] % self.model.parts - part) % self.model.parts
+            blobs = [_zip_sorted(ids[names] // self.model.parts), _zip(away), _zip(hot[names].astype(np.int64)), _zip(np.diff(np.append(head, len(own))))]
+            words = self.word_ids[g.word[own]]
+            low = _zip_words(words, self.count[g.word[own]]) if n == 2 else [_zip(words), _zip(low_count[own])]
+            yield part, self.batch, [*blobs, _zip(g.times[own]), *low]
 
     def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By text: base score, known tokens, and the model's log10 probability."""
@@ -364,7 +385,7 @@ def _ask_words(parts: int):
                 order = np.lexsort((words, to))
                 ends = np.searchsorted(to[order], np.arange(parts + 1))
                 cut = [order[lo:hi] for lo, hi in zip(ends, ends[1:])]
-                rows = [(p, batch, [words[own].tobytes(), _zip(counts[own])]) for p, own in enumerate(cut) if len(own)]
+                rows = [(p, batch, [_zip(np.diff(words[own], prepend=np.uint64(0))), _zip(counts[own])]) for p, own in enumerate(cut) if len(own)]
                 yield _asked(rows)
 
     return run
@@ -376,7 +397,7 @@ def _tell_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Words are numbered by falling counts: common ones get small numbers, which take little room in n-grams.
     """
     for part, rows in _by_part(batches):
-        asked = [np.frombuffer(r["blobs"][0], np.uint64) for r in rows]
+        asked = [_unzip_sorted(r["blobs"][0], signed=False).view(np.uint64) for r in rows]
         words, at = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(at, np.concatenate([_unzip(r["blobs"][1]) for r in rows]), len(words)).astype(np.int64)
         by = np.argsort(-total, kind="stable")
@@ -399,47 +420,63 @@ def _ask(n: int, model: Model):
                 if len(rows) == 16:
                     yield _asked(rows)
                     rows = []
+            del own  # before the next one is made
             if rows:
                 yield _asked(rows)
 
     return run
 
 
-def _tell(n: int, model: Model):
-    """Answers, the part's table (histories, sizes, words, counts), its counts of counts, and the sums of hot histories."""
+def _tell(n: int, model: Model, last: bool):
+    """Answers, the part's table (histories, sizes, words, counts), its counts of counts, and the sums of hot histories.
+
+    An answer holds the counts, the n-grams' numbers (unless this order is the last), the least count after each history, and
+    for histories that have to back off how many words follow 1..MOST times and the lower-order mass of all
+    that follow, but for what all of it is divided by, which the batch knows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _by_part(batches):
-            got = [[(_unzip_sorted if k == 0 else _unzip)(x) for k, x in enumerate(r["blobs"])] for r in rows]
-            spread = lambda k: np.concatenate([np.repeat(g[k], g[1]) for g in got])
-            flat = lambda k: np.concatenate([g[k] for g in got])
-            history, word = spread(0), flat(4)
-            order = np.lexsort((word, history))
+            asked, histories, words, lows, hots, sizes_of = [], [], [], [], [], []
+            for r in rows:
+                x = r["blobs"]
+                sizes = _unzip(x[3])
+                names = _unzip_sorted(x[0]) * model.parts + (part + _unzip(x[1])) % model.parts
+                word, low = _unzip_words(*x[5:]) if n == 2 else map(_unzip, x[5:])
+                histories.append(np.repeat(names, sizes))
+                hots.append(np.repeat(_unzip(x[2]), sizes))
+                words.append(word)
+                asked.append(_unzip(x[4]))
+                lows.append(low)
+                sizes_of.append(sizes)
+                r["blobs"] = None
+            history, word = np.concatenate(histories), np.concatenate(words)
+            del histories, words
+            order = _order(history, word)
             history, word = history[order], word[order]
             new = np.flatnonzero((np.diff(history, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
             at = np.empty(len(order), np.int64)
             at[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
             history, word, lead = history[new], word[new], order[new]
-            count = np.bincount(at, flat(6), len(new)).astype(np.int64)
-            history_count, below, low = spread(2)[lead], spread(3)[lead], flat(5)[lead]
+            count = np.bincount(at, np.concatenate(asked), len(new)).astype(np.int64)
+            low, warm = np.concatenate(lows)[lead], np.concatenate(hots)[lead]
             head = np.flatnonzero(np.diff(history, prepend=-1))
             sizes = np.diff(np.append(head, len(history)))
             owner = np.repeat(np.arange(len(head)), sizes)
             capped = np.minimum(count, MOST + 1)
             least = np.minimum.reduceat(np.where(count > 0, capped, MOST + 1), head)
             of = np.stack([np.bincount(owner[capped == r], minlength=len(head)) for r in range(1, MOST + 1)])
-            lower = np.bincount(owner, np.where(count > 0, model.discount[n - 1][np.minimum(low, MOST + 1)] * low / np.maximum(below, 1), 0.0), len(head))
+            lower = np.bincount(owner, np.where(count > 0, model.discount[n - 1][np.minimum(low, MOST + 1)] * low, 0.0), len(head))
             done = 0
-            for r, g in zip(rows, got):
-                own = at[done : done + len(g[4])]
-                done += len(g[4])
-                first = np.cumsum(g[1]) - g[1]
+            for r, n_of in zip(rows, sizes_of):
+                first = np.cumsum(n_of) - n_of
+                own = at[done : done + int(n_of.sum())]
+                done += len(own)
                 names = owner[own[first]]
                 need = np.flatnonzero(np.minimum.reduceat(count[own], first) == 0)
-                blobs = [_zip(count[own]), _zip_sorted(own), _zip(least[names]), _zip_sorted(need), _zip(of[:, names[need]].ravel()), lower[names[need]].astype("<f8").tobytes()]
+                blobs = [_zip(count[own]), b"" if last else _zip_sorted(own), _zip(least[names]), _zip_sorted(need), _zip(of[:, names[need]].ravel()), lower[names[need]].astype("<f8").tobytes()]
                 yield _told([(n, part, r["batch"], blobs, None, None)])
-            hot = np.flatnonzero(model.is_hot(history_count[head])).tolist()
-            hot = [[float(history[head[k]]), float(least[k]), *map(float, of[:, k]), float(lower[k])] for k in hot]
+            hot = [[float(history[head[k]]), float(least[k]), *map(float, of[:, k]), float(lower[k])] for k in np.flatnonzero(warm[head]).tolist()]
             yield _told([(n, part, None, [_zip_sorted(history[head]), _zip(sizes), _zip(word), _zip(count)], [float((count == r).sum()) for r in range(1, MOST + 2)], hot)])
 
     return run
@@ -453,6 +490,7 @@ def _score(model: Model):
         for own in _each(batches, model):
             base, known, score = own.scores()
             columns = [pa.array(own.ids, pa.int64()), pa.array(~own.train), pa.array(own.sizes), pa.array(known), pa.array(np.full(len(own.ids), model.total), pa.int64()), pa.array(base), pa.array(score)]
+            del own  # before the next one is made
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _OUT.split(", ")])
 
     return run
@@ -465,40 +503,65 @@ def katz_scores(docs: DataFrame, learns, order: int = 3, id_column: str = "doc_i
     """
     spark = docs.sparkSession
     texts = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.coalesce(learns, F.lit(False)).alias("train"))
-    # bucketed by batch: the answers are brought to the batches, which are never shuffled
-    name, buckets = f"katz_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts.mapInArrow(_batches, _BATCH).write.bucketBy(buckets, "batch").option("compression", "zstd").saveAsTable(name)
+    kept = _Tables(spark)
     try:
-        batches = spark.table(name)
-        model, tables = ngram_tables(batches, order)
+        batches = kept.bucketed(texts.mapInArrow(_batches, _BATCH), "batch")
+        model, tables = ngram_tables(batches, order, kept)
         return stored(_answered(batches, tables).mapInArrow(_score(model), _OUT))
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        kept.drop()
+
+
+class _Tables:
+    """Tables in the warehouse, bucketed by batch: answers are brought to their batches once and then neither is shuffled again."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.names = spark, []
+
+    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        self.names.append(f"katz_{uuid.uuid4().hex}")
+        df.write.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(self.names[-1])
+        return self.spark.table(self.names[-1])
+
+    def told(self, df: DataFrame, last: bool = False) -> DataFrame:
+        """Answers go to their batches; the parts' own rows are dealt out. The last order's answers are read only once, so they go later."""
+        df = df.withColumn("to", F.coalesce("batch", -1 - F.col("part")))
+        if last:
+            return stored(df)
+        return self.bucketed(df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "to"), "to")
+
+    def drop(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _answered(batches: DataFrame, tables: list[DataFrame]) -> DataFrame:
     """Batches with the answers of all orders so far, in order of the parts."""
-    told = reduce(DataFrame.union, tables).where("batch is not null").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("n", "part", "blobs"))).alias("told"))
-    return batches.join(told, "batch")
+    for n, table in enumerate(tables, 1):
+        told = table.where("batch is not null").groupBy("to").agg(F.sort_array(F.collect_list(F.struct("part", "blobs"))).alias(f"told{n}"))
+        batches = batches.join(told, batches["batch"] == told["to"], "left").drop("to")
+    return batches
 
 
-def ngram_tables(batches: DataFrame, order: int) -> tuple[Model, list[DataFrame]]:
+def ngram_tables(batches: DataFrame, order: int, kept: _Tables) -> tuple[Model, list[DataFrame]]:
     """The model, and for each order a stored table: answers by batch, and a row for each part of the n-gram table (batch null).
 
     A part's row holds, compressed, the histories (ids that the order below gave out), how many words follow each,
     the words' ids and the counts; an n-gram's own id is its place in the row times the number of parts, plus the part.
     """
+    spark = batches.sparkSession
     parts = max(4, -(-(batches.agg(F.sum("n")).first()[0] or 0) // PART_TOKENS))
     placed = lambda asked: asked.repartition(parts, "part").sortWithinPartitions("part", "batch")
-    tables = [stored(placed(batches.select("batch", "words", "counts").mapInArrow(_ask_words(parts), _ASK)).mapInArrow(_tell_words, _TOLD))]
+    tables = [kept.told(placed(batches.select("batch", "words", "counts").mapInArrow(_ask_words(parts), _ASK)).mapInArrow(_tell_words, _TOLD), order == 1)]
     added = lambda n, size: [int(x or 0) for x in tables[n - 1].where("sums is not null").select([F.sum(F.col("sums")[k]) for k in range(size)]).first()]
     total, types, *of = added(1, MOST + 3)
     model = Model(parts, total, types, np.array([0, *of]))
     for n in range(2, order + 1):
-        asked = _answered(batches, tables).mapInArrow(_ask(n, model), _ASK)
-        tables.append(stored(placed(asked).mapInArrow(_tell(n, model), _TOLD)))
+        drop_shuffles(spark)  # of the order below: its answers are a table now
+        tables.append(kept.told(placed(_answered(batches, tables).mapInArrow(_ask(n, model), _ASK)).mapInArrow(_tell(n, model, n == order), _TOLD), n == order))
         # at most HOT histories, each in as many rows as there are parts: added up before they move
         hot = tables[-1].where("sums is not null").select(F.explode("hot").alias("h")).groupBy(F.col("h")[0].alias("id"))
         hot = hot.agg(F.min(F.col("h")[1]), *[F.sum(F.col("h")[k]) for k in range(2, MOST + 3)]).collect()
         model.learn(n, np.array([0, *added(n, MOST + 1)]), {int(r[0]): np.array(r[1:], float) for r in hot})
+    drop_shuffles(spark)
     return model, tables

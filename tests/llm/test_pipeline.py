@@ -60,6 +60,29 @@ def test_stages_one_after_the_other(spark, folder):
     assert sorted(map(tuple, whole.collect())) == sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed)
 
 
+def test_odd_tables_from_end_to_end(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tests.llm.conftest import CLASH, DOCS
+    from tests.llm.test_texts import odd
+
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    rows = [*odd(), (7, "y" * 400_000), (8, " " * 300_000), (9, prose(random.Random(3), 20))]
+    for name, own in (("empty", []), ("odd", rows)):
+        docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in own], DOCS)
+        docs = docs.withColumns({k: F.lit(v) for k, v in CLASH.items()} | {"n_removed": F.lit(5), "words_removed": F.lit("w"), "sequence_id": F.lit(1), "offset": F.lit(2)})
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    kept = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, kept, f"{tmp_path}/odd")
+        assert out.columns == kept.columns and out.schema["n_removed"].dataType == kept.schema["n_removed"].dataType
+        assert {r["n_removed"] for r in out.select("n_removed").distinct().collect()} <= {5}
+    found = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {r["doc_id"] for r in found} <= {i for i, _ in rows} and {1, 2, 3, 5, 6, 7, 8, 9} <= {r["doc_id"] for r in found}
+
+
 def test_repeated_rows_leave_one(spark, folder):
     path, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id < 6")

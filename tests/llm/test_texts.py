@@ -403,12 +403,13 @@ def test_katz_tables_hold_all_counts(spark, documents):
     rng = random.Random(17)
     docs = [(k, " ".join(f"v{int(rng.paretovariate(0.9))}" for _ in range(30))) for k in range(50)]
     texts = documents(docs).selectExpr("doc_id as id", "text", "true as train")
-    batches = spark.createDataFrame(texts.mapInArrow(katz._batches, katz._BATCH).toArrow())
-    _, tables = katz.ngram_tables(batches, 3)
+    kept = katz._Tables(spark)
+    _, tables = katz.ngram_tables(kept.bucketed(texts.mapInArrow(katz._batches, katz._BATCH), "batch"), 3, kept)
     for n, table in enumerate(tables[1:], 2):
         held = sorted(c for r in table.where("batch is null").collect() for c in katz._unzip(r["blobs"][3]).tolist())
         want = Counter(tuple(own[k : k + n]) for own in (["<s>", *t.split(), None] for _, t in docs) for k in range(len(own) - n + 1))
         assert held == sorted(want.values())
+    kept.drop()
 
 
 def test_katz_odd_rows(documents):
@@ -416,6 +417,8 @@ def test_katz_odd_rows(documents):
 
     rows = katz.katz_scores(documents(odd(), **CLASH), F.lit(True)).collect()
     assert len(rows) == 9 and {r["n_tokens"] for r in rows if r["id"] in (1, 2, 3)} == {1} and all(math.isfinite(r["score"]) for r in rows)
+    blank = katz.katz_scores(documents([(k, "") for k in range(20)]), F.lit(True)).collect()
+    assert len(blank) == 20 and {r["n_tokens"] for r in blank} == {1}
     none = katz.katz_scores(documents(odd()), F.lit(False)).collect()
     assert {(r["train_tokens"], r["n_known"], r["score"]) for r in none} == {(0, 0, 0.0)}
     assert katz.katz_scores(documents([]), F.lit(True)).count() == 0
