@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import module_path, parent, suffixes
+from ..plans.lineage import cut
 
 # Confidence of a match, penalty of an unknown receiver, limits of ambiguous fan-out.
 CONFIDENCE = {"exact": 1.0, "same_file": 0.95, "via_import": 0.93, "unique_suffix": 0.80, "same_dir": 0.55, "ambiguous": 0.25}
@@ -46,13 +47,14 @@ def _module_runs(file):
     return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.size(parts) - i + 1), lambda n: F.array_join(F.slice(parts, i, n), ".")))))
 
 
-def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame, defs: DataFrame | None = None) -> DataFrame:
     """``refs(src, file, ref)`` -> one row per reference ``(src, file, ref, key, unknown, resolution, nid, n)``.
 
     resolution: exact, unique_suffix, same_file, via_import, same_dir, ambiguous (nid null) or unresolved.
-    An exact match of one definition wins however many suffixes match.
+    An exact match of one definition wins however many suffixes match. ``defs``: the symbols' ``definitions``, if
+    they are at hand as a table; each rung reads them.
     """
-    defs = definitions(symbols)
+    defs = cut(definitions(symbols)) if defs is None else defs
     by_key = defs.groupBy("key").agg(F.count("*").alias("n"), F.min("nid").alias("any_nid"), F.count_if("exact").alias("n_exact"), F.min(F.when(F.col("exact"), F.col("nid"))).alias("exact_nid"))
     one = lambda *by: defs.groupBy(*by).agg(F.count("*").alias("c"), F.min("nid").alias("x")).where("c = 1")
     by_file = one("key", "file").select("key", "file", F.col("x").alias("file_nid"))
@@ -75,12 +77,13 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFram
 
 def resolve_edges(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """Call edges ``(src, dst, ref, kind, resolution, confidence float)`` of references, import validation applied."""
-    found = resolve(refs, symbols, imports)
+    defs = cut(definitions(symbols))
+    found = cut(resolve(refs, symbols, imports, defs).select("src", "file", "ref", "key", "unknown", "resolution", "nid", "n"))
     single = found.where("nid is not null").withColumn("dst", F.col("nid"))
     limit = F.when(F.col("unknown"), UNKNOWN_FANOUT).otherwise(FANOUT)
     several = found.where((F.col("resolution") == "ambiguous") & (F.col("n") <= limit))
     # only definitions of ambiguous names within the limit are expanded: a common name's are dropped by its count
-    few = definitions(symbols).select("key", F.col("nid").alias("dst")).join(several.select("key").distinct(), "key", "left_semi")
+    few = defs.select("key", F.col("nid").alias("dst")).join(several.select("key").distinct(), "key", "left_semi")
     drawn = single.select("src", "file", "ref", "key", "unknown", "resolution", "dst").union(several.join(few, "key").select("src", "file", "ref", "key", "unknown", "resolution", "dst")).where("src <> dst")
     base = F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair])[F.col("resolution")]
     drawn = drawn.withColumn("base", F.when(F.col("unknown"), base * UNKNOWN_RECEIVER).otherwise(base))

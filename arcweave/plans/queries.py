@@ -194,8 +194,13 @@ _RESOLVER = (
 )
 
 
+def _parsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """References, symbols and imports of a folder of tables: what parsing gives, kept like the graph."""
+    return tuple(kept(spark, f"{name} {d}", lambda name=name: getattr(tables, name)(spark, d)) for name in ("references", "symbols", "imports"))
+
+
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    edges = resolve.resolve_edges(tables.references(spark, d), tables.symbols(spark, d), tables.imports(spark, d))
+    edges = resolve.resolve_edges(*_parsed(spark, d))
     return edges.withColumn("confidence", F.round(F.col("confidence").cast("double"), 4))
 
 
@@ -206,7 +211,7 @@ def resolve_refs(spark, d):
 
 @_query(f"{_RESOLVER} SELECT a.unknown, coalesce(r.resolution, 'unresolved') AS resolution, count(*) AS refs FROM asked a LEFT JOIN rung r ON r.src = a.src AND r.ref = a.ref GROUP BY 1, 2")
 def resolution_rungs(spark, d):
-    found = resolve.resolve(tables.references(spark, d), tables.symbols(spark, d), tables.imports(spark, d))
+    found = resolve.resolve(*_parsed(spark, d))
     return found.groupBy("unknown", "resolution").agg(F.count("*").alias("refs"))
 
 
@@ -222,7 +227,7 @@ def confident_edges(spark, d):
 
 @_query(f"WITH {tables.WITH_SYMBOLS} SELECT key, count(DISTINCT nid) AS n FROM (SELECT nid, fqn AS key FROM symbols UNION ALL SELECT nid, split_part(fqn, '.', 2) FROM symbols WHERE contains(fqn, '.')) t GROUP BY key")
 def symbol_suffixes(spark, d):
-    return resolve.definitions(tables.symbols(spark, d)).groupBy("key").agg(F.count("*").alias("n"))
+    return resolve.definitions(_parsed(spark, d)[1]).groupBy("key").agg(F.count("*").alias("n"))
 
 
 @_query(f"{_with()}{_rank_ctes()}, own AS (SELECT nid, file, (SELECT count(*) FROM edges e WHERE (e.dst = n.nid OR e.src = n.nid) AND kind = 'calls') AS degree FROM nodes n WHERE name = (SELECT name FROM nodes WHERE nid = {PART})) SELECT row_number() OVER (ORDER BY degree DESC, pct DESC, file, own.nid) AS rank, own.nid, file, degree FROM own JOIN c ON c.nid = own.nid")
