@@ -29,7 +29,8 @@ class CodeGraph:
     @classmethod
     def of_source(cls, spark: SparkSession, root: str, patterns: list[str] | None = None) -> CodeGraph:
         """Parse a source tree and resolve its references."""
-        nodes, refs, imports = files.tables(files.parse_files(files.scan_files(spark, root, patterns)))
+        # parsed once: nodes, references and imports are read from what parsing gave
+        nodes, refs, imports = files.tables(cut(files.parse_files(files.scan_files(spark, root, patterns))))
         return cls.of_symbols(nodes, refs, imports)
 
     @classmethod

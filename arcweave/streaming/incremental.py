@@ -14,7 +14,7 @@ TABLES = ("nodes", "refs", "imports")
 
 def build(spark: SparkSession, sources: DataFrame, path: str) -> None:
     """Parse ``sources(file, content)`` and keep nodes, references and imports below ``path``."""
-    for name, df in zip(TABLES, files.tables(files.parse_files(sources))):
+    for name, df in zip(TABLES, files.tables(cut(files.parse_files(sources)))):
         store.save(df, f"{path}/{name}")
 
 
@@ -31,7 +31,7 @@ def apply_changes(spark: SparkSession, path: str, changes: DataFrame) -> None:
     """
     last = changes.groupBy("file").agg(F.max_by(F.struct("op", "content"), "ts").alias("c")).select("file", "c.op", "c.content")
     fresh = last.where("op <> 'remove'").select("file", "content")
-    for name, df in zip(TABLES, files.tables(files.parse_files(fresh))):
+    for name, df in zip(TABLES, files.tables(cut(files.parse_files(fresh)))):
         store.update(spark, f"{path}/{name}", df, last.select("file"))
 
 
