@@ -1,8 +1,8 @@
 """Times the headline queries: one JSON line with warm medians in seconds.
 
 The graph of a folder of tables and its centrality are built once, as an index is, and queries run on what is kept:
-``build_graph`` and ``centrality_raw`` time the building. ``index_tree`` parses and resolves a generated source tree of
-12,406 files, once.
+``build_graph`` and ``centrality_raw`` time the building. With BENCH_TREE set, ``index_tree`` parses and resolves a generated
+source tree of 12,406 files, once.
 
 BENCH_SF_DIR: the tables (default sf0.1); BENCH_CPUS: local cores (default 8); BENCH_RUNS: timed runs of each (default 3).
 """
@@ -61,9 +61,10 @@ def main() -> None:
     todo = {name: (lambda f=plans.queries()[name]: f(spark, d)) for name in NAMES}
     todo["centrality_fan_10k"] = lambda: rank.centrality_raw(*fan_graph(spark), tolerance=None)
     todo["build_graph"] = lambda: (cut(tables.nodes(spark, d)), cut(tables.edges(spark, d)))[1]
-    tree = tempfile.mkdtemp(prefix="tree-")
-    source_tree(tree)
-    todo["index_tree"] = lambda: CodeGraph.of_source(spark, tree).edges
+    if os.environ.get("BENCH_TREE"):
+        tree = tempfile.mkdtemp(prefix="tree-")
+        source_tree(tree)
+        todo["index_tree"] = lambda: CodeGraph.of_source(spark, tree).edges
     times = {}
     for name, query in todo.items():
         taken = []
