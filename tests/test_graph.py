@@ -119,6 +119,12 @@ def test_half_digits_do_not_part_equal_scores(spark):
     assert found == pytest.approx({1: 1 / 3, 2: 1 / 3, 3: 0.0, 4: 1.0})
 
 
+def test_half_digits_do_not_part_inspections(spark):
+    nodes, edges = graph(spark, [(1, 4), (2, 4), (3, 4)])
+    rows = summary.inspected(nodes, rank.degree(nodes, edges), rank.percentile(_halves(spark))).collect()
+    assert len({(r["callers"], r["callees"], r["pct"], r["role"]) for r in rows if r["nid"] in (1, 2)}) == 1
+
+
 def test_slices_do_not_depend_on_batches(spark):
     nodes, edges = graph(spark, [(0, k) for k in range(1, 400)])
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
