@@ -125,6 +125,13 @@ def test_half_digits_do_not_part_inspections(spark):
     assert len({(r["callers"], r["callees"], r["pct"], r["role"]) for r in rows if r["nid"] in (1, 2)}) == 1
 
 
+def test_half_digits_do_not_order_a_map(spark):
+    nodes, _ = graph(spark, [(1, 4), (2, 4), (3, 4)])
+    swapped = _halves(spark).withColumn("nid", F.expr("CASE nid WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE nid END"))
+    rows = summary.map_rows(nodes, rank.percentile(swapped)).collect()
+    assert [r["nid"] for r in sorted(rows, key=lambda r: r["file_rank"])] == [4, 1, 2, 3]
+
+
 def test_slices_do_not_depend_on_batches(spark):
     nodes, edges = graph(spark, [(0, k) for k in range(1, 400)])
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
