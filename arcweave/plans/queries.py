@@ -33,7 +33,11 @@ def _query(sql: str | None = None):
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The graph of a folder of tables: built once in a Spark application, as an index is, and kept as two tables."""
-    return kept(spark, f"nodes {d}", lambda: tables.nodes(spark, d)), kept(spark, f"edges {d}", lambda: tables.edges(spark, d))
+    return kept(spark, f"nodes {d}", lambda: tables.nodes(spark, d)), _edges(spark, d)
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, f"edges {d}", lambda: tables.edges(spark, d))
 
 
 def _centrality(spark: SparkSession, d: str) -> DataFrame:
@@ -327,8 +331,8 @@ _PROFILE_SQL = (
 
 
 def _profiled(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _graph(spark, d)
-    return kept(spark, f"profile {d}", lambda: summary.profile(edges, nodes.select("nid")))
+    """Of every node; only their numbers are read, so the table of nodes isn't needed."""
+    return kept(spark, f"profile {d}", lambda: summary.profiles(tables.nodes(spark, d), _edges(spark, d)))
 
 
 @_query(f"{_PROFILE_SQL} SELECT nid, upstream, downstream, CASE WHEN upstream = 0 AND downstream = 0 THEN 'isolated' WHEN upstream = 0 THEN 'entry_point' WHEN downstream = 0 THEN 'utility' WHEN (upstream <= 2 AND downstream > 5) OR (downstream <= 2 AND upstream > 5) THEN 'adapter' ELSE 'core_logic' END AS role FROM p")

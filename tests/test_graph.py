@@ -71,6 +71,36 @@ def test_bits_of_many_sources_equal_pairs(spark):
     assert {tuple(r) for r in traverse.impact_summary(edges, seeds, 4).collect()} == {tuple(r) for r in traverse.impact_counts(pairs).collect()}
 
 
+@pytest.mark.parametrize("depth", [1, 2, 4, 0])
+def test_profiles_in_parts_equal_pairs(spark, monkeypatch, depth):
+    """Cycles, loops and parallel edges; the last hop in several parts; no table of a part stays on disk."""
+    import os
+    import random
+
+    rng = random.Random(5)
+    nodes, edges = graph(spark, [(rng.randrange(300), rng.randrange(200) if k % 9 else 7) for k in range(420)] + [(8, 8), (9, 7), (9, 7), (301, 301)])
+    monkeypatch.setattr(traverse, "PART_WORDS", 900)
+    monkeypatch.setattr(traverse, "PACK", 2)
+    kept = set()
+    whole = traverse.drop
+    monkeypatch.setattr(traverse, "drop", lambda session, *tables: (kept.update(f for t in tables for f in t.inputFiles()), whole(session, *tables)))
+    found = {r["nid"]: (r["upstream"], r["downstream"], r["direct"]) for r in summary.profiles(nodes, edges, depth).collect()}
+    assert len(kept) > 1 and not any(os.path.exists("/" + f.split(":", 1)[1].lstrip("/")) for f in kept)
+    ids = [r["nid"] for r in nodes.collect()]
+    pairs = {(r["src"], r["dst"]) for r in edges.collect()}
+
+    def reach(node, pairs):
+        seen = at = {node}
+        k = 0
+        while at and (not depth or k < depth):
+            at = {b for a, b in pairs if a in at} - seen
+            seen, k = seen | at, k + 1
+        return len(seen) - 1
+
+    back = {(b, a) for a, b in pairs}
+    assert found == {n: (reach(n, back), reach(n, pairs), len({a for a, b in pairs if b == n != a})) for n in ids}
+
+
 def test_audit_paths_skip_tests(spark):
     nodes, edges = graph(spark, [(1, 2), (2, 9), (3, 9), (4, 9)], {4: "tests/x.py"})
     traces = {tuple(r["trace"]): r["severity"] for r in traverse.audit_paths(nodes, edges, seed(spark, 9)).collect()}
