@@ -331,8 +331,8 @@ _PROFILE_SQL = (
 
 
 def _profiled(spark: SparkSession, d: str) -> DataFrame:
-    """Of every node; only their numbers are read, so the table of nodes isn't needed."""
-    return kept(spark, f"profile {d}", lambda: summary.profiles(tables.nodes(spark, d), _edges(spark, d)))
+    """Of every node; only ends of edges and numbers of nodes are read, once each, so neither table of the graph is needed."""
+    return kept(spark, f"profile {d}", lambda: summary.profiles(tables.nodes(spark, d), tables.edges(spark, d, repeats=True)).drop("direct", "reasons"))
 
 
 @_query(f"{_PROFILE_SQL} SELECT nid, upstream, downstream, CASE WHEN upstream = 0 AND downstream = 0 THEN 'isolated' WHEN upstream = 0 THEN 'entry_point' WHEN downstream = 0 THEN 'utility' WHEN (upstream <= 2 AND downstream > 5) OR (downstream <= 2 AND upstream > 5) THEN 'adapter' ELSE 'core_logic' END AS role FROM p")

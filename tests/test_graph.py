@@ -101,6 +101,52 @@ def test_profiles_in_parts_equal_pairs(spark, monkeypatch, depth):
     assert found == {n: (reach(n, back), reach(n, pairs), len({a for a, b in pairs if b == n != a})) for n in ids}
 
 
+@pytest.mark.parametrize("depth", [3, 0])
+def test_counts_in_groups_and_slices_equal_pairs(spark, monkeypatch, depth):
+    """Repeated edges, far and negative numbers; groups, parts of them and slices of their words of a few rows."""
+    import random
+
+    rng = random.Random(6)
+    far = lambda n: n * 3_000_000 - 50_000_000
+    pairs = [(far(rng.randrange(90)), far(rng.randrange(60))) for _ in range(110)] + [(far(1), far(n)) for n in range(40, 60)] + [(far(3), far(3))]
+    edges = spark.createDataFrame(pairs + pairs[:50], "src long, dst long")
+    for name, most in (("GROUP_LINKS", 30), ("GROUP_WORDS", 40), ("PART_LINKS", 100), ("PACK", 1)):
+        monkeypatch.setattr(traverse, name, most)
+    down, up = traverse.reach_counts(edges, depth)
+    down, up = down.where("downstream > 0").collect(), up.where("upstream > 0").collect()
+    expected = set()
+    for node in {n for p in pairs for n in p}:
+        seen = at = {node}
+        k = 0
+        while at and (not depth or k < depth):
+            at = {b for a, b in pairs if a in at} - seen
+            seen, k = seen | at, k + 1
+        expected |= {(node, n) for n in seen if n != node}
+    count = lambda end: {n: sum(p[end] == n for p in expected) for n in {p[end] for p in expected}}
+    assert {r["nid"]: r["downstream"] for r in down} == count(0) and len(down) == len(count(0))
+    assert {r["nid"]: r["upstream"] for r in up} == count(1) and len(up) == len(count(1))
+    assert {r["nid"]: r["direct"] for r in up} == {n: len({a for a, b in pairs if b == n != a}) for n in count(1)}
+
+
+def test_drop_frees_the_shuffles_of_the_last_query(spark):
+    import time
+
+    from arcweave.plans.lineage import cut, drop
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString(" ").split() if "shuffle_" in x}
+    drop(spark)
+    before = files()
+    cut(spark.range(1000).repartition(7, "id"))
+    assert files() - before
+    drop(spark)
+    for _ in range(20):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+
+
 def test_audit_paths_skip_tests(spark):
     nodes, edges = graph(spark, [(1, 2), (2, 9), (3, 9), (4, 9)], {4: "tests/x.py"})
     traces = {tuple(r["trace"]): r["severity"] for r in traverse.audit_paths(nodes, edges, seed(spark, 9)).collect()}
